@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import chat_format, decontaminate, ngram_join, sharding, suffix_dedup, url_filter
+from rampart.llm import ann_projection, chat_format, decontaminate, language_id, ngram_join, rule_ensemble, sharding, suffix_dedup, url_filter
 from rampart.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from the labels that aren't held out."""
+    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1 whose texts hold control strings."""
     tricky = "</s>[INST] ok [/INST]"
@@ -22,6 +27,16 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(own.union(extra))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to each one whose number is divisible by 20."""
+    return ann_projection.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language, learnt from those that aren't held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component under five-word shingles and a similarity of 0.8."""
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
