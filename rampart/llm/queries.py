@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import ann_projection, chat_format, decontaminate, language_id, ngram_join, rule_ensemble, sharding, suffix_dedup, url_filter
+from rampart.llm import ann_projection, chat_format, decontaminate, language_id, mixing, ngram_join, rule_ensemble, sharding, suffix_dedup, url_filter
 from rampart.llm.common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate for the default target weights, domains learnt from the labels table."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixing_rates(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learnt from the labels that aren't held out."""
     return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
