@@ -1,4 +1,6 @@
 """All queries of the posture engine by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from rampart.plans import graph_queries  # noqa: F401  registers its queries
+from rampart.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
