@@ -147,12 +147,11 @@ class _File:
             text = ast.unparse(n.value)
             used = sorted(x.id for x in ast.walk(n.value) if isinstance(x, ast.Name) and x.id in tainted)
             for t in (x.id for target in (n.targets if isinstance(n, ast.Assign) else [n.target]) for x in ast.walk(target) if isinstance(x, ast.Name)):
-                if REQUEST.search(text):
+                if isinstance(n, ast.Assign) and REQUEST.search(text):
                     tainted[t] = (t, "request_param")
-                elif CLEANERS.search(text) or not used:
-                    if isinstance(n, ast.Assign):
-                        tainted.pop(t, None)
-                else:
+                elif used and isinstance(n, ast.Assign) and CLEANERS.search(text):
+                    tainted.pop(t, None)
+                elif used:
                     tainted[t] = tainted[used[0]]
 
     def sink(self, call: ast.Call, qualified: str, tainted: dict) -> None:
