@@ -136,3 +136,35 @@ def test_route_drops_what_is_not_to_be_analysed(spark):
     assert set(got) == {1, 6, 8}
     assert (got[1].files, got[1].branch, got[1].relevant) == (["a.md", "b.py"], "main", True)
     assert (got[6].number, got[6].relevant, got[8].sha) == (7, True, "c2")
+
+
+def test_reading_statements_only(spark):
+    from rampart.plans import ask
+
+    assert ask.ask_sql(spark, "select 'drop table x' as a, :b as b", {"b": 2}).first() == ("drop table x", 2)
+    for bad in ("drop table x", "select 1; select 2", "insert into t values (1)", "with a as (select 1) delete from t", "show tables"):
+        with pytest.raises(ValueError):
+            ask.ask_sql(spark, bad)
+    with pytest.raises(ValueError):
+        ask.answer(spark, "")
+    assert ask.answer(spark, "what is the weather?") is None
+
+
+def test_comment(spark):
+    from rampart.operators import deliver
+
+    row = ("abcdef0123", "HIGH", True, ["one", "two"], 3, 2.5, "x" * 2500)
+    df = spark.createDataFrame([row], "commit_sha string, risk_level string, requires_block boolean, top_issues array<string>, finding_count int, delta double, analysis string")
+    text = deliver.comment(df).first().comment
+    assert text.startswith("## 🟠 Security review") and "`abcdef01`" in text and "Blocked" in text and "degraded by **2.5 points**" in text
+    assert "- one\n- two" in text and "shortened" in text and "x" * 2001 not in text
+
+
+def test_importers_leave_out_changed_files(spark):
+    from rampart.operators import scope
+
+    imports = spark.createDataFrame([("a.py", "pkg.m"), ("b.py", ".m"), ("c.py", "other"), ("pkg/m.py", "pkg.m")], "path string, module string")
+    changed = spark.createDataFrame([("pkg/m.py",), ("README.md",)], "path string")
+    more = scope.importers(imports, changed)
+    assert {r.path for r in more.collect()} == {"a.py", "b.py"}
+    assert {(r.path, r.kind) for r in scope.affected(changed, more).collect()} == {("a.py", "code"), ("b.py", "code"), ("pkg/m.py", "code")}
