@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text that Spark hands to Python at once; keeps a worker's memory small when texts are long.
 BATCH_ROWS = 1000
+#: Rows of ids and keys, of 64 bytes at most each, that may be broadcast.
+SMALL_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few narrow columns, to be broadcast if it has at most `most` rows, else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores before it if df has such a column."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -4,13 +4,15 @@
 2. A set's `probe` is its first shingles in hash order: as many as may miss in a similar set, plus `extra` of them.
    Two similar sets share `extra` shingles of their probes at least, so by the prefix filter they also share one of
    those that remain when each probe drops its `extra - 1` commonest. Commonest is counted over all probes; a shingle
-   of one set alone makes no list, so most sets leave here.
-3. Each list (the nodes that keep one shingle) is cut in blocks by set size, and a node carries the shingle's position
-   in its set. In a round, each open list names heads, which are compared with the nodes of the blocks whose sizes can
-   match, where the positions allow enough overlap. Nodes of the head's component are skipped: they are linked
-   already, through the answers of a highly similar set. A list is closed when one component holds all its nodes or
-   each was a head. Heads grow fourfold each round; a group of near copies takes one round and a link for each copy.
-4. Pairs that remain are compared exactly on the sets of their whole texts. Links between classes give components.
+   of one set alone makes no list. Most sets keep no shared shingle and leave here; only the others go on whole.
+3. Lists: the nodes that keep one shingle, now by the counts of whole sets, a node's rarest shingles first, as many as
+   the prefix filter needs. A node with more shingles of its own than a similar set may miss keeps none.
+4. Each list is cut in blocks by set size, and a node carries the shingle's position in its order. In a round, each open
+   list names heads, which are compared with the nodes of the blocks whose sizes can match, where both positions allow
+   enough overlap. Nodes of the head's component are skipped: they are linked already, through the answers of a highly
+   similar set. A list is closed when one component holds all its nodes or each was a head. Heads grow fourfold each
+   round; a group of near copies takes one round and a link for each copy.
+5. Pairs that remain are compared exactly on the sets of their whole texts. Links between classes give components.
 
 Hashes have 64 bits for shingles and 128 for sets.
 """
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import WordHash, small_batches, windows, written
+from rampart.llm.common import WordHash, small_batches, small_side, windows, written
 from rampart.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -75,29 +77,55 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return written(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
-def _prefix_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, pos, alone: what each node keeps of its probe, for tokens that several probes have."""
-    tokens = nodes.select("node", "n", F.posexplode("probe").alias("pos", "token")).repartition("token")
-    counts = tokens.groupBy("token").agg(F.count("node").alias("df"), F.max("n").alias("_n"), F.max("pos").alias("_p")).where("df > 1")
-    shared = tokens.join(counts.select("token", "df"), "token")
-    n = F.col("n")
-    needs = F.floor((n * percent + 99) / 100)
-    whole = F.least(n.cast("long"), n - needs + F.floor(n / 20) + 1)
-    kept = whole - F.floor(needs / 20)  # all but extra - 1 of the smallest set that may be similar
-    ranked = shared.selectExpr(
+def _needed(n: Column, percent: int) -> Column:
+    return F.floor((n * percent + 99) / 100)
+
+
+def _prefix_lists(tokens: DataFrame, whole: Column, kept: Column) -> DataFrame:
+    """token, node, n, pos, alone: of tokens(token, node, n), each node's rarest ones that other nodes have too.
+
+    `whole` is how many tokens a node has, `kept` how many of them its prefix has; pos counts from 1 in the order of the
+    prefix, and `alone` tokens that no other node has come first.
+    """
+    tokens = tokens.repartition("token")
+    counts = tokens.groupBy("token").agg(F.count("node").alias("df"), F.max("n").alias("most")).where("df > 1").select("token", "df")
+    ranked = tokens.join(counts, "token").selectExpr(
         "*",
-        "row_number() over (partition by node order by df, token) as rank",
+        "row_number() over (partition by node order by df, token) as place",
         "count(*) over (partition by node) as shared",
     )
-    alone = whole - F.col("shared")
-    return ranked.where(F.col("rank") <= kept - alone).select(
-        "token", "node", "n", "pos", (alone * 1000 / whole).cast("int").alias("alone")
-    )
+    ranked = ranked.withColumn("alone", whole - F.col("shared")).withColumn("pos", F.col("alone") + F.col("place"))
+    return ranked.where(F.col("pos") <= kept).select("token", "node", "n", "pos", "alone")
+
 
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """The nodes of nodes(node, n, probe) whose prefixes share a token with another's."""
+    n = F.col("n")
+    needs = _needed(n, percent)
+    whole = F.least(n.cast("long"), n - needs + F.floor(n / 20) + 1)
+    kept = whole - F.floor(needs / 20)  # all but extra - 1 of the smallest set that may be similar
+    return _prefix_lists(nodes.select("node", "n", F.explode("probe").alias("token")), whole, kept).select("node").distinct()
 
-def _band(n: Column) -> Column:
+
+def _lists(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The lists of the whole sets of texts(node, text)."""
+
+    def run(batches):
+        seen = WordHash()
+        for batch in batches:
+            sets = [shingle_set(t, seen, size).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(map(len, sets)), pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+
+    n = F.col("n")
+    sets = texts.dropDuplicates(["node"]).mapInArrow(run, "node long, n int, tokens array<long>")
+    lists = written(_prefix_lists(sets.select("node", "n", F.explode("tokens").alias("token")), n, n - _needed(n, percent) + 1))
+    busy = lists.groupBy("token").agg(F.count("node").alias("m")).where("m > 1").select("token")
+    return written(lists.join(busy, "token", "left_semi"))
+
+
+def _band(n: Column, percent: int) -> Column:
     """Sizes that can match are in the same band or the next."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.01 * 100 / PERCENT))).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.01 * 100 / percent))).cast("int")
 
 
 def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -110,16 +138,15 @@ def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int, percent:
     )
     still = heads.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
     heads = written(heads.join(still, "token").select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "pos", "label"))))
-    near = F.array(*(_band(F.col("h_n")) + i for i in (-1, 0, 1)))
+    near = F.array(*(_band(F.col("h_n"), percent) + i for i in (-1, 0, 1)))
     by_block = heads.withColumn("band", F.explode(near))
-    inner = F.least("pos", "h_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos")) - 1
-    both = F.col("n") + F.col("h_n")
+    both = F.floor(((F.col("n") + F.col("h_n")) * percent + 99 + percent) / (100 + percent))  # the overlap that similar sets need
     pairs = (
-        own.withColumn("band", _band(F.col("n")))
+        own.withColumn("band", _band(F.col("n"), percent))
         .join(by_block, ["token", "band"])
         .where(F.col("label") != F.col("h_label"))
         .where(F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent)
-        .where(inner * (100 + percent) >= both * percent)
+        .where((F.col("pos") <= F.col("n") - both + 1) & (F.col("h_pos") <= F.col("h_n") - both + 1))
         .select(F.col("h_node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
@@ -160,7 +187,7 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text")], names=["node", "text"]).filter(pa.array(keep, pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = own.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "key", "text")
+    rows = own.join(small_side(wanted), F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "key", "text")
     return written(rows.mapInArrow(run, "node long, text binary"))
 
 
@@ -170,17 +197,15 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     Links span the components of the similarity graph between nodes; pairs inside a component that follow from
     others aren't all listed.
     """
-    if percent != PERCENT and not 50 <= percent <= 100:
+    if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     rows = _signatures(docs, size, percent)
-    firsts = rows.where("probe is not null").groupBy("key").agg(F.min("row").alias("node"))
-    lead = rows.where("probe is not null").drop("key").join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
-    lists = written(_prefix_lists(lead.withColumnRenamed("row", "node"), percent))
-    busy = lists.groupBy("token").agg(F.count("node").alias("m")).where("m > 1").select("token")
-    lists = written(lists.join(busy, "token", "left_semi"))
-    ids = lists.select("node").distinct()
-    wanted = rows.select(F.col("row").alias("node"), "doc_id", "key").join(ids, "node", "left_semi")
+    firsts = written(rows.where("probe is not null").groupBy("key").agg(F.min("row").alias("node")))
+    lead = rows.where("probe is not null").join(small_side(firsts.select(F.col("node").alias("row"))), "row", "left_semi")
+    ids = _candidates(lead.withColumnRenamed("row", "node"), percent)
+    wanted = written(rows.select(F.col("row").alias("node"), "doc_id", "key").join(ids, "node", "left_semi"))
     texts = _node_texts(docs, wanted, size)
+    lists = _lists(texts, size, percent)
     links, labels, heads_each, tested = None, None, 1, None
     while not lists.isEmpty():
         pairs, rest = _round(lists, labels, heads_each, percent)
@@ -220,5 +245,10 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     """
     found = ngram_components(docs, size, percent)
     gone = written(found.where("doc_id != component_id").select("doc_id").distinct())
-    ids = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
-    return ids.unionByName(docs.where("doc_id is null"))
+    kept = docs.join(small_side(gone), "doc_id", "left_anti")
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    if not again.isEmpty():
+        again = small_side(again)
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
