@@ -100,3 +100,42 @@ select page_id, p.host, path,
   round(bound, 6) as bound
 from p join hb using (host)
 """
+
+op6_ngram_join = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select distinct r, array_to_string(w[p : p + least(5, len(w)) - 1], ' ') as gram
+  from (select r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as p from d where len(w) > 0)),
+n as (select r, count(*) as n from s group by r),
+shared as (select gram from s group by gram having count(*) > 1),
+few as (select r, gram from s semi join shared using (gram)),
+links as (
+  select a, b from (select a.r as a, b.r as b, count(*) as c from few a join few b on a.gram = b.gram and a.r < b.r group by 1, 2)
+  join n x on x.r = a join n y on y.r = b where 100 * c >= 80 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reached(r, t) as (select r, r from n union select reached.r, b from reached join both_ways on a = t),
+least_id as (select reached.r, min(d.doc_id) as component_id from reached join d on d.r = reached.t group by 1)
+select doc_id, coalesce(n.n, 0) as n_shingles, case when n.n is null then doc_id else component_id end as component_id
+from d left join n using (r) left join least_id using (r)
+"""
+
+op7_suffix_dedup = r"""
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+p as (select r, unnest(range(0, octet_length(b) - 399)) as p from d where octet_length(b) >= 400),
+h as (select r, p, md5(array_slice(b, p + 1, p + 400)) as h from p join d using (r)),
+dup as (select r, p from (select r, p, count(*) over (partition by h) as c from h) where c > 1),
+island as (select r, p, sum(case when q is null or p > q + 400 then 1 else 0 end) over (partition by r order by p) as k
+  from (select r, p, lag(p) over (partition by r order by p) as q from dup)),
+span as (select r, k, min(p) as s, max(p) + 400 as e from island group by 1, 2),
+piece as (
+  select r, s as o, coalesce(lag(e) over (partition by r order by s), 0) as f, s as t from span
+  union all select r, 1000000000, max(e), octet_length(any_value(b)) from span join d using (r) group by r),
+kept as (select r, string_agg(case when t > f then hex(array_slice(b, f + 1, t)) else '' end, '' order by o) as x from piece join d using (r) group by r),
+sums as (select r, sum(e - s) as n_removed, count(*) as n_spans from span group by r)
+select doc_id, octet_length(b) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(case when x is null then b else unhex(x) end) as kept_sha256
+from d left join sums using (r) left join kept using (r)
+"""
