@@ -40,10 +40,15 @@ SENSITIVE = (
     "requirements", "pyproject.toml", "setup.cfg", "setup.py", "poetry.lock", ".env", "config", "auth", "security",
     "middleware", "settings", "secrets", "credentials",
 )
-#: Verbs and clauses of SQL text.
-SQL_READ = r"(?i)\b(SELECT|GET|FETCH|READ)\b"
-SQL_WRITE = r"(?i)\b(INSERT|UPDATE|DELETE|SET|CREATE|DROP)\b"
-SQL_TABLE = (r"""(?i)\bFROM\s+[`"']?(\w+)""", r"""(?i)\bINTO\s+[`"']?(\w+)""", r"""(?i)\bUPDATE\s+[`"']?(\w+)""")
+#: Verbs of SQL text, and its clauses that name a table, in order of precedence.
+SQL_READ = r"(?i)\b(SELECT|FETCH|GET)\b"
+SQL_WRITE = r"(?i)\b(INSERT|UPDATE|DELETE|REPLACE|TRUNCATE|DROP|CREATE)\b"
+SQL_TABLE = (
+    r"""(?i)\bFROM\s+[`"']?(\w+)[`"']?""",
+    r"""(?i)\bINTO\s+[`"']?(\w+)[`"']?""",
+    r"""(?i)\bUPDATE\s+[`"']?(\w+)[`"']?""",
+    r"""(?i)\bDELETE\s+FROM\s+[`"']?(\w+)[`"']?""",
+)
 
 
 def severity_index(severity: Column) -> Column:
@@ -154,14 +159,3 @@ def interpretation(score: Column) -> Column:
 
 def change_label(delta: Column) -> Column:
     return F.when(delta > 0, "DEGRADED").when(delta < 0, "IMPROVED").otherwise("NEUTRAL")
-
-
-def auth_type(decorators: Column) -> Column:
-    d = F.lower(decorators)
-    return (
-        F.when(d.rlike("jwt|token"), "jwt")
-        .when(d.rlike("session|login"), "session")
-        .when(d.contains("api_key"), "api_key")
-        .when(d.contains("basic"), "basic")
-        .otherwise("session")
-    )

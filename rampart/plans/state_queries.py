@@ -145,7 +145,7 @@ _STATEMENTS = """with s as (select o_orderkey as id, case o_orderkey % 5 when 0
 """
 
 
-@query(_STATEMENTS + """select id, case when regexp_matches(sql, '(?i)\\b(SELECT|GET|FETCH|READ)\\b') then 'read' when regexp_matches(sql, '(?i)\\b(INSERT|UPDATE|DELETE|SET|CREATE|DROP)\\b') then 'write' else 'none' end as access,
+@query(_STATEMENTS + """select id, case when regexp_matches(sql, '(?i)\\b(SELECT|FETCH|GET)\\b') then 'read' when regexp_matches(sql, '(?i)\\b(INSERT|UPDATE|DELETE|REPLACE|TRUNCATE|DROP|CREATE)\\b') then 'write' else 'none' end as access,
   case id % 5 when 0 then (select lower(o_orderstatus) from orders where o_orderkey = id) || '_orders' when 1 then 'users' when 2 then 'accounts' when 3 then 'cards' else 'sqlite' end as store,
   id % 5 in (1, 2, 3) as pii from s""")
 def sql_access_classify(spark, sf_dir):

@@ -25,18 +25,29 @@ STORES = (
     (r"redis|cache|r\b", r"^(get|hget|lrange|smembers|zrange|mget)$", "redis", "read"),
     (r"redis|cache|r\b", r"^(set|hset|lpush|rpush|sadd|zadd|mset|delete|expire)$", "redis", "write"),
 )
-#: Calls that tainted values must not reach, by kind.
+#: Calls that tainted values must not reach, by kind; the first that fits counts.
 SINKS = (
-    (r"\b(cursor|conn|connection|session)\.execute\b", "sql_injection"),
-    (r"\bsubprocess\.(run|Popen|call|check_output|check_call)\b|\bos\.(system|popen)\b", "command_injection"),
-    (r"^(eval|exec)$", "code_eval"),
+    (r"(?i)\bcursor\.execute|conn\.execute|connection\.execute|session\.execute\b", "sql_injection"),
+    (r"\bsubprocess\.(run|Popen|call|check_output|check_call)\b", "command_injection"),
+    (r"\bos\.(system|popen)\b", "command_injection"),
+    (r"^eval$", "code_eval"),
+    (r"^exec$", "code_eval"),
     (r"^open$", "path_traversal"),
-    (r"\brequests\.(get|post|put|delete|patch|request|head)\b|\burllib\.(request\.)?urlopen\b|\bhttpx\.(get|post|put|delete|patch|request)\b", "ssrf"),
+    (r"(?i)\brequests\.(get|post|put|delete|patch|request|head)\b", "ssrf"),
+    (r"(?i)\burllib\.(request\.)?urlopen\b|\burllib2\.urlopen\b", "ssrf"),
+    (r"(?i)\bhttpx\.(get|post|put|delete|patch|request)\b", "ssrf"),
 )
+#: What brings request data in, and what cleans it.
 REQUEST = re.compile(r"request\.(args|form|json|data|values|files|get_json)\b", re.I)
-CLEANERS = re.compile(r"\b(escape|sanitize|quote|clean|filter|strip_tags|parameterize)\b", re.I)
+CLEANERS = re.compile(
+    r"\b(escape|sanitize|quote|bleach\.clean|html\.escape|markupsafe|re\.escape|urllib\.parse\.quote|validators\.validate|filter|strip_tags|html\.unescape|parameterize)\b",
+    re.I,
+)
 #: Decorators and parameters that mean authentication.
-AUTH = re.compile(r"login_required|auth_required|require_auth|requires_auth|authenticated|jwt_required|token_required|admin_required|permission_required|admin_only", re.I)
+AUTH = re.compile(
+    r"login_required|auth_required|require_auth|requires_auth|admin_only|permission_required|protect|authenticated|jwt_required|token_required",
+    re.I,
+)
 DEPENDS = re.compile(r"Depends\s*\(\s*(get_current_user|verify_token|authenticate|oauth2_scheme|security)", re.I)
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
 FIELDS = ("file", "kind", "name", "qualified", "line", "end_line", "items", "target", "detail", "flag")
@@ -52,6 +63,13 @@ def _own_nodes(body) -> Iterator[ast.AST]:
                 yield from _own_nodes(child)
 
 
+def auth_type(decorator: str) -> str:
+    """The kind of authentication that a decorator's text means."""
+    text = decorator.lower()
+    kinds = (("jwt", "jwt"), ("token", "jwt"), ("session", "session"), ("login", "session"), ("api_key", "api_key"), ("basic", "basic"))
+    return next((kind for word, kind in kinds if word in text), "session")
+
+
 class _File:
     """The facts of one file, in order of place."""
 
@@ -114,8 +132,8 @@ class _File:
         methods = [m.upper() for m in (methods if verb == "route" else [verb])]
         guards, signature = " ".join(decorators), ast.unparse(node.args)
         auth = "jwt" if DEPENDS.search(f"{guards} {signature}") or "current_user" in signature or "token:" in signature else None
-        if not auth and (hit := AUTH.search(guards)):
-            auth = "jwt" if re.search("jwt|token", hit[0], re.I) else "session"
+        if hit := next((d for d in decorators if AUTH.search(d)), None):
+            auth = auth_type(hit)
         inputs = [*re.findall(r"<(?:\w+:)?(\w+)>", path), *re.findall(r"\{(\w+)\}", path), *params]
         for method in methods:
             self.add("endpoint", node, name=path, qualified=qualified, target=method, items=list(dict.fromkeys(inputs)), detail=auth or "none", flag=auth is not None)
@@ -156,7 +174,7 @@ class _File:
 
     def sink(self, call: ast.Call, qualified: str, tainted: dict) -> None:
         raw = ast.unparse(call.func)
-        kind = next((k for p, k in SINKS if re.search(p, raw, re.I)), None)
+        kind = next((k for p, k in SINKS if re.search(p, raw)), None)
         args = [*call.args, *(k.value for k in call.keywords)]
         names = sorted(x.id for a in args for x in ast.walk(a) if isinstance(x, ast.Name) and x.id in tainted)
         if kind and names:
