@@ -8,6 +8,7 @@ from rampart.functions import columns as C
 from rampart.operators import history, match, retrieval
 from rampart.plans.projection import GRAPH_SQL, project, snapshots
 from rampart.plans.registry import query
+from rampart.sources import config
 
 
 def _t(spark, sf_dir, name):
@@ -124,20 +125,14 @@ _SECRET_SQL = " ".join(f"when regexp_matches(line, '{p.replace(chr(39), chr(39)
   from lines where not regexp_matches(line, '{C.ENVIRONMENT}')) where kind is not null""")
 def config_secret_scan(spark, sf_dir):
     """Secrets, open CORS and debug switches by line; at most one of each on a line."""
-    lines = _lines(spark, sf_dir).where(~F.col("line").rlike(C.ENVIRONMENT))
-    kinds = F.array(C.secret_kind(F.col("line")), F.when(F.col("line").rlike(C.CORS), "cors"), F.when(F.col("line").rlike(C.DEBUG), "debug_mode_enabled"))
-    found = lines.select("doc_id", "n", F.substring(F.trim("line"), 1, 200).alias("evidence"), F.explode(F.array_compact(kinds)).alias("kind"))
-    return found.select("doc_id", "n", "kind", "evidence")
+    return config.scan_lines(_lines(spark, sf_dir)).select("doc_id", "n", "kind", "evidence")
 
 
 @query(_LINES + """select doc_id, n, key || '=***' as evidence from (select doc_id, n, trim(substr(line, 1, strpos(line, '=') - 1)) as key, trim(substr(line, strpos(line, '=') + 1)) as value
   from lines where contains(line, '=')) where regexp_matches(upper(key), 'SECRET|PASSWORD|TOKEN|KEY|PRIVATE') and length(value) > 4 and not starts_with(value, '$')""")
 def env_style_scan(spark, sf_dir):
     """KEY=value lines whose key means a secret; values are masked."""
-    kv = _lines(spark, sf_dir).where(F.col("line").contains("=")).select("doc_id", "n", F.split("line", "=", 2).alias("kv"))
-    kv = kv.select("doc_id", "n", F.trim(F.col("kv")[0]).alias("key"), F.trim(F.col("kv")[1]).alias("value"))
-    kv = kv.where(F.upper("key").rlike("SECRET|PASSWORD|TOKEN|KEY|PRIVATE") & (F.length("value") > 4) & ~F.col("value").startswith("$"))
-    return kv.select("doc_id", "n", F.concat("key", F.lit("=***")).alias("evidence"))
+    return config.scan_environment(_lines(spark, sf_dir)).select("doc_id", "n", "evidence")
 
 
 _STATEMENTS = """with s as (select o_orderkey as id, case o_orderkey % 5 when 0 then 'select a from ' || lower(o_orderstatus) || '_orders where k = 1' when 1 then 'INSERT INTO users (a) VALUES (1)'

@@ -215,9 +215,9 @@ def list_files(root: str, suffix: str = ".py") -> list[str]:
     return out
 
 
-def read_files(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
-    """path (relative), text of the files of a folder that all executors can read."""
-    paths = spark.createDataFrame([(os.path.relpath(p, root), p) for p in list_files(root, suffix)] or [], "path string, at string")
+def texts_of(spark: SparkSession, root: str, found: list[str]) -> DataFrame:
+    """path (below root), text of files that all executors can read; only their paths pass through the driver."""
+    paths = spark.createDataFrame([(os.path.relpath(p, root), p) for p in found], "path string, at string")
 
     def run(batches):
         for batch in batches:
@@ -228,3 +228,8 @@ def read_files(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], names=["path", "text"])
 
     return paths.mapInArrow(run, "path string, text string")
+
+
+def read_files(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
+    """path, text of the source files below a folder."""
+    return texts_of(spark, root, list_files(root, suffix))

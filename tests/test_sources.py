@@ -132,3 +132,31 @@ def test_weaknesses(spark, tmp_path):
     p.write_text('<Catalog><Weaknesses><Weakness ID="89" Name="SQL"><Description>d</Description></Weakness></Weaknesses></Catalog>')
     r = reports.read_weaknesses(spark, str(p)).first()
     assert (r.id, r.name, r.description) == ("CWE-89", "SQL", "d")
+
+
+def test_configuration(spark, tmp_path):
+    from rampart.sources import config
+
+    (tmp_path / "app").mkdir()
+    (tmp_path / "venv").mkdir()
+    (tmp_path / "venv" / "x.py").write_text('token = "0123456789"')
+    (tmp_path / "app" / "c.py").write_text('A = 1\nSECRET_KEY = "abcdefgh"\nx = os.environ["SECRET_KEY"]\nDEBUG = True\nallow_origins=["*"] ; password = "abcde"\n')
+    (tmp_path / ".env").write_text("API_KEY=abcdef\nTOKEN=$OTHER\nNAME=abcdef\nDB_PASSWORD=abc\n")
+    (tmp_path / "notes.md").write_text('token = "0123456789"')
+    got = sorted((r.path, r.n, r.kind, r.severity) for r in config.config_issues(config.read_config(spark, str(tmp_path))).collect())
+    assert got == [
+        (".env", 1, "hardcoded_secret", "HIGH"),
+        ("app/c.py", 2, "hardcoded_secret", "HIGH"),
+        ("app/c.py", 4, "debug_mode_enabled", "MEDIUM"),
+        ("app/c.py", 5, "cors", "MEDIUM"),
+        ("app/c.py", 5, "hardcoded_password", "HIGH"),
+    ]
+
+
+def test_analyse(spark, tmp_path):
+    from rampart.__main__ import analyse
+
+    (tmp_path / "app.py").write_text(APP)
+    out = analyse(spark, str(tmp_path))
+    assert [r.path for r in out["missing authentication"].collect()] == ["/admin/list"]
+    assert out["endpoints"].count() == 3 and out["unreadable"].count() == 0
