@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from rampart.llm.common import written
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no edge's smaller end: then the smaller ends are the labels."""
+    twice = edges.groupBy("u").agg(F.count("v").alias("c")).where("c > 1").select("u")
+    inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return twice.union(inner).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label of every node of links(a, b): label is the smallest node that can be reached.
 
     Null ends, loops and repeated links are ignored. Each round links every node's neighbours to the smallest of
-    them, first the larger ones, then the smaller ones; stars remain. A round is written before the next reads it.
+    them, first the larger ones, then the smaller ones, until only stars remain. A round is written before the next
+    reads it.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, was = written(edges), None
-    while True:
+    edges = written(edges)
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(ends).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return leaves.union(edges.select("v", "v").distinct())

@@ -191,8 +191,9 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return written(rows.mapInArrow(run, "node long, text binary"))
 
 
-def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n, node) of every row of docs, node null for empty sets; links (a, b) that join all similar nodes.
+def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, doc_id, n, node) of every row of docs, node null for empty sets; links (a, b) that join all similar nodes;
+    (node, label) of the components that they make.
 
     Links span the components of the similarity graph between nodes; pairs inside a component that follow from
     others aren't all listed.
@@ -219,8 +220,8 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
             labels = written(components(links))
     members = rows.join(firsts, "key", "left").select("row", "doc_id", "n", "node")
     if links is None:
-        links = docs.sparkSession.createDataFrame([], "a long, b long")
-    return members, links
+        links, labels = (docs.sparkSession.createDataFrame([], s) for s in ("a long, b long", "node long, label long"))
+    return members, links, labels
 
 
 def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -230,8 +231,8 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     nothing: their component is their own id. Rows with a null id take part in links and get their component's id.
     Repeated rows each get a row.
     """
-    members, links = similar_classes(docs, size, percent)
-    members = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members, _, labels = similar_classes(docs, size, percent)
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return members.join(smallest, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id")
