@@ -17,8 +17,8 @@ def _sql(body: str) -> str:
 
 @query(_sql("select ep, path, zone_level from g_endpoint where is_public and zone_level = 0"))
 def public_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public endpoints of the outer zone."""
-    return project(spark, sf_dir).endpoints.where("is_public and zone_level = 0").select("ep", "path", "zone_level")
+    """Public endpoints of every zone."""
+    return project(spark, sf_dir).endpoints.where("is_public").select("ep", "path", "zone_level")
 
 
 @query(_sql("select status, count(*) as n from g_finding group by 1"))
@@ -133,7 +133,7 @@ g_trail as (with recursive t(ep, fn, path, used, n) as (
 """
 
 
-def _trails(g, hops: int, where: str = "is_public and zone_level = 0"):
+def _trails(g, hops: int, where: str = "is_public"):
     starts = g.endpoints.where(where).join(g.handled_by, "ep").select(F.col("ep").alias("start"), F.col("fn").alias("node"))
     return expand.trails(starts, g.calls, hops).select(F.col("start").alias("ep"), F.col("node").alias("fn"), "path")
 
