@@ -179,10 +179,14 @@ def blast_radius(spark, sf_dir):
 select f, path, hops from (select f, t.path, n + 1 as hops, row_number() over (partition by f order by n, t.path, ep) as r
   from g_trail t join g_affects using (fn) where f % 7 = 0) where r <= 5""")
 def public_paths_to_finding_topk(spark, sf_dir):
-    """The five shortest trails from public endpoints into each finding's function."""
+    """The five shortest trails from public endpoints into each finding's function.
+
+    Trails are ranked once a function, before they meet its findings.
+    """
     g = project(spark, sf_dir)
-    found = _trails(g, 5).join(g.affects.where("f % 7 = 0"), "fn").select("f", "ep", F.array_join("path", ">").alias("path"), F.size("path").alias("hops"))
-    return found.selectExpr("*", "row_number() over (partition by f order by hops, path, ep) as r").where("r <= 5").select("f", "path", "hops")
+    found = _trails(g, 5).join(g.affects, "fn", "left_semi").select("fn", "ep", F.array_join("path", ">").alias("path"), F.size("path").alias("hops"))
+    best = found.selectExpr("*", "row_number() over (partition by fn order by hops, path, ep) as r").where("r <= 5")
+    return g.affects.join(best, "fn").select("f", "path", "hops")
 
 
 @query(_deep("select src, dst, 0.9::double as confidence from g_taint"))

@@ -27,3 +27,7 @@ ZONES = (" and zone_level = 0", "")
 @pytest.mark.parametrize("name", ["public_endpoints", "pii_paths_from_public"])
 def test_public_endpoints_of_every_zone_count(spark, con, name):
     check(catalog.QUERIES[name](spark, SF), con, whole(name, ZONES))
+
+
+def test_no_finding_is_left_out_by_its_number(spark, con):
+    check(catalog.QUERIES["public_paths_to_finding_topk"](spark, SF), con, whole("public_paths_to_finding_topk", ZONES, (" where f % 7 = 0", "")))
