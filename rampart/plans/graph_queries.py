@@ -147,11 +147,10 @@ def pii_paths_from_public(spark, sf_dir):
 
 @query("with " + GRAPH_SQL.strip() + _TRAILS + "select distinct ep, ds, path, n + 1 as hops from g_trail join g_access using (fn) where access = 'write' order by hops, ep, ds, path limit 20")
 def trace_dataflow(spark, sf_dir):
-    """The 20 shortest trails from public endpoints to stores that are written."""
+    """The 20 shortest trails from each public endpoint to stores that are read or written."""
     g = project(spark, sf_dir)
-    writes = g.access.where("access = 'write'").select("fn", "ds").distinct()
-    found = _trails(g, 5).join(writes, "fn").select("ep", "ds", F.array_join("path", ">").alias("path"), F.size("path").alias("hops")).distinct()
-    return found.orderBy("hops", "ep", "ds", "path").limit(20)
+    found = _trails(g, 5).join(g.access.select("fn", "ds").distinct(), "fn").select("ep", "ds", F.array_join("path", ">").alias("path"), F.size("path").alias("hops")).distinct()
+    return found.selectExpr("*", "row_number() over (partition by ep order by hops, ds, path) as r").where("r <= 20").select("ep", "ds", "path", "hops")
 
 
 @query("with " + GRAPH_SQL.strip() + """,

@@ -31,3 +31,8 @@ def test_public_endpoints_of_every_zone_count(spark, con, name):
 
 def test_no_finding_is_left_out_by_its_number(spark, con):
     check(catalog.QUERIES["public_paths_to_finding_topk"](spark, SF), con, whole("public_paths_to_finding_topk", ZONES, (" where f % 7 = 0", "")))
+
+
+def test_dataflow_of_each_endpoint_reads_and_writes(spark, con):
+    every = whole("trace_dataflow", ZONES, (" where access = 'write'", ""), (" order by hops, ep, ds, path limit 20", ""), ("select distinct ep, ds", "select * from (select distinct ep, ds"))
+    check(catalog.QUERIES["trace_dataflow"](spark, SF), con, every + ") qualify row_number() over (partition by ep order by hops, ds, path) <= 20")
