@@ -72,7 +72,7 @@ d as (select l_orderkey as did, l_linenumber as ln, 'CWE-' || (l_partkey % 60) a
 select gid, count(did) > 0 as found, min(did) as first_match from gt left join (select distinct cwe, did from d) using (cwe) group by gid""")
 def truth_match(spark, sf_dir):
     """Known findings, whether the scan has their weakness, and the first row that does."""
-    gt = _t(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("gid"), F.concat(F.lit("CWE-"), F.col("p_size").cast("string")).alias("cwe"))
-    d = _t(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select(F.concat(F.lit("CWE-"), (F.col("l_partkey") % 60).cast("string")).alias("cwe"), F.col("l_orderkey").alias("did"))
+    gt = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), F.concat(F.lit("CWE-"), F.col("p_size").cast("string")).alias("cwe"))
+    d = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("CWE-"), (F.col("l_partkey") % 60).cast("string")).alias("cwe"), F.col("l_orderkey").alias("did"))
     first = d.groupBy("cwe").agg(F.min("did").alias("first_match"))
     return gt.join(first, "cwe", "left").select("gid", F.col("first_match").isNotNull().alias("found"), "first_match")

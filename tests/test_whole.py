@@ -36,3 +36,7 @@ def test_no_finding_is_left_out_by_its_number(spark, con):
 def test_dataflow_of_each_endpoint_reads_and_writes(spark, con):
     every = whole("trace_dataflow", ZONES, (" where access = 'write'", ""), (" order by hops, ep, ds, path limit 20", ""), ("select distinct ep, ds", "select * from (select distinct ep, ds"))
     check(catalog.QUERIES["trace_dataflow"](spark, SF), con, every + ") qualify row_number() over (partition by ep order by hops, ds, path) <= 20")
+
+
+def test_all_parts_meet_all_lines(spark, con):
+    check(catalog.QUERIES["truth_match"](spark, SF), con, whole("truth_match", (" where p_partkey % 20 = 0", ""), (" where l_orderkey % 40 = 0", "")))
