@@ -252,16 +252,16 @@ dense as (select query_id, id, score, row_number() over (partition by query_id o
 """
 
 
-def _dense(spark, sf_dir, k):
-    """Vectors of documents by number; the queries are the first 40."""
-    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = v.where("id < 40").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return retrieval.dense(v, F.broadcast(asked), k)
+def _vectors(spark, sf_dir):
+    """Vectors of documents by number."""
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
 @query("with " + _DENSE + "select query_id, rank, id, score from dense where rank <= 5")
 def dense_topk(spark, sf_dir):
-    return _dense(spark, sf_dir, 5)
+    """The five best vectors of every vector whose number 50 divides."""
+    v = _vectors(spark, sf_dir)
+    return retrieval.dense(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 5)
 
 
 _FUSE = _BM.strip() + "," + _DENSE + """,
@@ -272,7 +272,10 @@ fused as (select query_id, id, score, row_number() over (partition by query_id o
 
 
 def _fused(spark, sf_dir, k):
-    return retrieval.fuse(_dense(spark, sf_dir, 4 * k), _sparse(spark, sf_dir, 4 * k), k, 4 * k + 1)
+    """Each benchmark item's text and the vector of its number."""
+    v, items = _vectors(spark, sf_dir), _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked = v.withColumnsRenamed({"id": "query_id", "v": "q"}).join(items, "query_id", "left_semi")
+    return retrieval.fuse(retrieval.dense(v, asked, 4 * k), _sparse(spark, sf_dir, 4 * k), k, 4 * k + 1)
 
 
 @query(_FUSE + "select query_id, rank, id, score from fused where rank <= 5")

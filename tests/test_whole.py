@@ -40,3 +40,18 @@ def test_dataflow_of_each_endpoint_reads_and_writes(spark, con):
 
 def test_all_parts_meet_all_lines(spark, con):
     check(catalog.QUERIES["truth_match"](spark, SF), con, whole("truth_match", (" where p_partkey % 20 = 0", ""), (" where l_orderkey % 40 = 0", "")))
+
+
+def test_every_fiftieth_vector_is_asked(spark, con):
+    check(catalog.QUERIES["dense_topk"](spark, SF), con, whole("dense_topk", ("vec_id < 40", "vec_id % 50 = 0")))
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "exact_or_fallback_lookup"])
+def test_items_from_40_on_have_a_dense_half(spark, tmp_path, name):
+    from tests.oracle import TABLES
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    (tmp_path / "benchmark.parquet").unlink()
+    spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id < 6").selectExpr("item_id + 37 as item_id", "text").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    check(catalog.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), whole(name, ("vec_id < 40", "vec_id in (select item_id from benchmark)")))
