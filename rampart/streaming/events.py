@@ -43,9 +43,9 @@ def route(events: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table as a stream of files: one file, or the part files of a folder."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "false").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
 def hourly(events: DataFrame) -> DataFrame:

@@ -55,3 +55,8 @@ def test_items_from_40_on_have_a_dense_half(spark, tmp_path, name):
     (tmp_path / "benchmark.parquet").unlink()
     spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id < 6").selectExpr("item_id + 37 as item_id", "text").toPandas().to_parquet(tmp_path / "benchmark.parquet")
     check(catalog.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), whole(name, ("vec_id < 40", "vec_id in (select item_id from benchmark)")))
+
+
+def test_events_in_part_files_are_streamed(spark, con, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    check(catalog.QUERIES["stream_events_to_snapshots"](spark, str(tmp_path)), con, whole("stream_events_to_snapshots"))
