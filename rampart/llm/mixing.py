@@ -6,17 +6,19 @@ fit works on token sums by cell, whose number doesn't grow with the documents. T
 
     sum over domains k of (T_k(r) - t_k)^2 / (t_k S)  +  pull * sum over documents of n/S (r - 1)^2,
 
-T_k(r) the expected tokens of domain k, t_k its target and S all tokens: every step aggregates T_k over the cells and
-projects the moved rates onto 0 to `most`. A document is then taken floor(r) times, and once more by a draw of
-probability r - floor(r) that its id decides. Only DataFrame functions run.
+T_k(r) the expected tokens of domain k, t_k its target and S all tokens. The sums of the cells, CELLS rows at most, come
+to the driver; every step there takes T_k over the cells and projects the moved rates onto r >= 0, until the projected
+gradient is NEAR 0. Rates have no upper bound unless `most` gives one. A document is then taken floor(r) times, and once
+more by a draw of probability r - floor(r) that its id decides. Over documents only DataFrame functions run.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import log
+from math import inf, isfinite, log
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ MARKS = (
 )
 LENGTHS = (3.6, 4.6, 5.6)
 CELLS = 5**3 * 4**3
-PULL, MOST, STEPS, NEAR = 0.02, 4.0, 60, 1e-4
+#: NEAR: the largest entry of the projected gradient at the end. STEPS is never met before: a fit that would is an error.
+PULL, MOST, STEPS, NEAR = 0.02, inf, 1_000_000, 1e-10
 _FLOOR = 0.05
 
 
@@ -90,40 +93,38 @@ def posteriors(cells: DataFrame, model: dict, domains: list[str]) -> DataFrame:
     return weights.select("bins", "n", F.array(*(F.col(c) / whole for c in own)).alias("soft"))
 
 
-def rate(history: list[list[float]], pace: float, soft: Column, pull: float = PULL, most: float = MOST) -> Column:
-    """The rate after the gradients of history: projected steps from 1 on."""
-    if not history:
+def rate(errors: list[float], soft: Column, pull: float = PULL, most: float = MOST) -> Column:
+    """The rate that errors, the gradient by domain at the end of the fit, leave no reason to move."""
+    if not errors:
         return F.lit(1.0)
-    steps = F.array(*(F.array(*map(F.lit, e)) for e in history))
+    slope = reduce(add, [soft[k] * F.lit(e) for k, e in enumerate(errors)])
+    r = F.greatest(1 - slope / pull, F.lit(0.0))
+    return F.least(r, F.lit(most)) if isfinite(most) else r
 
-    def step(r: Column, e: Column) -> Column:
-        slope = F.aggregate(F.zip_with(soft, e, lambda p, x: p * x), F.lit(0.0), add)
-        return F.least(F.greatest(r - pace * (slope + pull * (r - 1)), F.lit(0.0)), F.lit(most))
 
-    return F.aggregate(steps, F.lit(1.0), step)
-
-
-def fit(cells: DataFrame, targets: dict[str, float], pull: float = PULL, most: float = MOST, steps: int = STEPS) -> tuple[list[list[float]], float]:
-    """Gradients by domain of each step, and the pace, from rows (soft, n): posteriors and token sums of the cells."""
+def fit(cells: DataFrame, targets: dict[str, float], pull: float = PULL, most: float = MOST, steps: int = STEPS, near: float = NEAR) -> list[float]:
+    """The gradient by domain where the descent ends, from rows (soft, n): posteriors and token sums of the cells."""
     whole = sum(targets.values())
     if not targets or min(targets.values()) < 0 or whole <= 0:
         raise ValueError("targets must be nonnegative and some of them positive")
-    want = [w / whole for w in targets.values()]
-    scale = [max(w, _FLOOR) for w in want]
-    at = range(len(want))
-    first = cells.agg(F.sum("n"), *(F.sum(F.col("soft")[k] * F.col("n")) for k in at)).first()
-    total = float(first[0] or 0)
+    want = np.array([w / whole for w in targets.values()])
+    scale = np.maximum(want, _FLOOR)
+    rows = cells.select("soft", "n").collect()
+    n = np.array([r.n or 0 for r in rows], dtype=float)
+    total = n.sum()
     if not total:
-        return [], 0.0
-    pace = 1 / (max((first[k + 1] or 0) / total / scale[k] for k in at) + pull)
-    history: list[list[float]] = []
-    while len(history) < steps:
-        now = rate(history, pace, F.col("soft"), pull, most)
-        sums = cells.select("soft", (F.col("n") * now).alias("n")).agg(*(F.sum(F.col("soft")[k] * F.col("n")) for k in at)).first()
-        history.append([(sums[k] / total - want[k]) / scale[k] for k in at])
-        if len(history) > 1 and max(abs(a - b) for a, b in zip(*history[-2:], strict=True)) < NEAR:
-            break
-    return history, pace
+        return []
+    soft = np.array([r.soft for r in rows], dtype=float)
+    mass = soft * (n / total)[:, None]
+    pace = 1 / ((mass.sum(0) / scale).max() + pull)
+    r = np.ones(len(rows))
+    for _ in range(steps):
+        e = (r @ mass - want) / scale
+        slope = soft @ e + pull * (r - 1)
+        if np.abs(r - np.clip(r - slope, 0, most)).max() <= near:
+            return [float(x) for x in e]
+        r = np.clip(r - pace * slope, 0, most)
+    raise RuntimeError(f"the rates have not settled to {near} in {steps} steps")
 
 
 def fitted_cells(rows: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -132,8 +133,8 @@ def fitted_cells(rows: DataFrame, labelled: DataFrame, targets: dict[str, float]
     known = labelled.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     model = learn(rows.join(known, "doc_id").select("domain", "bins"))
     cells = written(posteriors(rows.groupBy("bins").agg(F.sum("n").alias("n")), model, domains).coalesce(1))
-    history, pace = fit(cells, targets)
-    return written(cells.select("bins", "soft", F.round(rate(history, pace, F.col("soft")), 9).alias("rate")))
+    errors = fit(cells, targets)
+    return written(cells.select("bins", "soft", F.round(rate(errors, F.col("soft")), 9).alias("rate")))
 
 
 def copies(r: Column, *key: Column) -> Column:
