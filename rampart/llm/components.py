@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import written
+from rampart.llm.common import discard, written
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(low, "u").select(F.explode(ends).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u != v").distinct())
+        before, edges = edges, written(small.select("e.u", "e.v").where("u != v").distinct())
+        discard(before)
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return leaves.union(edges.select("v", "v").distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rampart.llm.common import small_batches
+from rampart.llm.common import sliced
 
 SIZE, SAMPLE, UNKNOWN = 1024, 1500, "und"
 #: Language families by ISO 639-1 codes. Other languages are families of their own.
@@ -139,7 +139,7 @@ def _sample(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
     chosen = rows.where(draw < share).select("lang", F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
             good = pa.array([has_letter(t) for t in texts], pa.bool_())
             made = pa.array([profile(t).tobytes() for t in texts], pa.binary())
@@ -156,12 +156,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Texts that are null or have no letter, and all texts if no language is known, are `und` with score 0. Repeated
     rows each get theirs.
     """
-    small_batches(docs.sparkSession)
     langs, x = _sample(docs, sample)
     sent = docs.sparkSession.sparkContext.broadcast(fit(langs, x) if langs else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
             out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             some = [i for i, t in enumerate(texts) if has_letter(t)] if sent.value else []

@@ -7,14 +7,17 @@
    of one set alone makes no list. Most sets keep no shared shingle and leave here; only the others go on whole.
 3. Lists: the nodes that keep one shingle, now by the counts of whole sets, a node's rarest shingles first, as many as
    the prefix filter needs. A node with more shingles of its own than a similar set may miss keeps none.
-4. Each list is cut in blocks by set size, and a node carries the shingle's position in its order. In a round, each open
-   list names heads, which are compared with the nodes of the blocks whose sizes can match, where both positions allow
-   enough overlap. Nodes of the head's component are skipped: they are linked already, through the answers of a highly
-   similar set. A list is closed when one component holds all its nodes or each was a head. Heads grow fourfold each
-   round; a group of near copies takes one round and a link for each copy.
-5. Pairs that remain are compared exactly on the sets of their whole texts. Links between classes give components.
-
-Hashes have 64 bits for shingles and 128 for sets.
+4. Each list is cut in blocks by set size and by the shingle's position in the node's order. In a round, each open list
+   names heads, which only meet the blocks whose sizes and positions leave enough overlap; the other blocks are skipped.
+   Nodes of the head's component are skipped too. Heads grow fourfold each round; a list is closed when one component
+   holds all its nodes or each was a head.
+5. Answers of a head are derived from those of its lead, the head that it shares most with: where the lead was compared
+   with a node, their overlap, plus what the head has beyond its lead, bounds the head's overlap with that node, and
+   pairs that the bound excludes are answered without a comparison.
+6. Pairs that remain are compared exactly on the sets of their whole texts. Links between classes give components.
+
+Hashes have 64 bits for shingles and 128 for sets and rows. Shingles that a sample of nodes shows to be very common are
+counted before rows are dealt out and never dealt by themselves; the sample only decides where rows go.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import WordHash, small_batches, small_side, windows, written
+from rampart.llm.common import WordHash, discard, free_name, sliced, small_side, windows, written
 from rampart.llm.components import components
 
 SIZE, PERCENT = 5, 80
+#: One node of COMMON_OF is looked at for common shingles, and one that COMMON of them have is common.
+COMMON_OF, COMMON = 16, 32
+#: Blocks of positions in a list: twentieths of the node's set.
+POSITIONS = 20
 
 
 def shingle_set(text: bytes | None, seen: WordHash, size: int = SIZE) -> np.ndarray:
@@ -52,14 +59,25 @@ def probe_size(n: int, percent: int = PERCENT) -> int:
     return min(n, n - needed(n, percent) + extra(n))
 
 
+def row_marks(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by number and text; rows equal in both are repeated."""
+    return F.xxhash64(F.lit(1), doc_id, text).alias("h1"), F.xxhash64(F.lit(2), text, doc_id).alias("h2")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, h1, h2 of every row."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return own.select("doc_id", "text", *row_marks(F.col("doc_id"), F.col("text")))
+
+
 def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """row, doc_id, n, key, probe of every row of docs; only the first of equal sets in a task has a probe."""
-    schema = "doc_id long, n int, key binary, probe array<long>"
-    names = ["doc_id", "n", "key", "probe"]
+    """row, doc_id, h1, h2, n, key, probe of every row of docs; only the first of equal sets in a task has a probe."""
+    schema = "doc_id long, h1 long, h2 long, n int, key binary, probe array<long>"
+    names = ["doc_id", "h1", "h2", "n", "key", "probe"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = WordHash(), set()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ns, keys, probes = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingle_set(text, seen, size)
@@ -68,28 +86,38 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 known.add(key)
                 ns.append(len(own))
                 keys.append(key)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(keys, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], names=names
-            )
+            made = [pa.array(ns, pa.int32()), pa.array(keys, pa.binary()), pa.array(probes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *made], names=names)
 
-    small_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return written(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    return written(_texts(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _needed(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """tokens(token, node, ...) with df, how many have the token; those of one node alone go.
+
+    Common tokens are counted first and meet their counts by broadcast, so no task holds all rows of one; the others are
+    dealt by token once, and counted where they lie.
+    """
+    seen = tokens.where(F.pmod(F.xxhash64("node"), F.lit(COMMON_OF)) == 0)
+    common = written(seen.groupBy("token").agg(F.count("node").alias("c")).where(F.col("c") >= COMMON).select("token"))
+    few = small_side(common)
+    rare = tokens.join(few, "token", "left_anti").repartition("token")
+    rare = rare.join(rare.groupBy("token").agg(F.count("node").alias("df")).where("df > 1"), "token")
+    much = tokens.join(few, "token", "left_semi")
+    return rare.unionByName(much.join(small_side(written(much.groupBy("token").agg(F.count("node").alias("df")))), "token"))
+
+
 def _prefix_lists(tokens: DataFrame, whole: Column, kept: Column) -> DataFrame:
     """token, node, n, pos, alone: of tokens(token, node, n), each node's rarest ones that other nodes have too.
 
     `whole` is how many tokens a node has, `kept` how many of them its prefix has; pos counts from 1 in the order of the
     prefix, and `alone` tokens that no other node has come first.
     """
-    tokens = tokens.repartition("token")
-    counts = tokens.groupBy("token").agg(F.count("node").alias("df"), F.max("n").alias("most")).where("df > 1").select("token", "df")
-    ranked = tokens.join(counts, "token").selectExpr(
+    ranked = _counted(tokens).selectExpr(
         "*",
         "row_number() over (partition by node order by df, token) as place",
         "count(*) over (partition by node) as shared",
@@ -112,15 +140,17 @@ def _lists(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         seen = WordHash()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sets = [shingle_set(t, seen, size).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(map(len, sets)), pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
     n = F.col("n")
-    sets = texts.dropDuplicates(["node"]).mapInArrow(run, "node long, n int, tokens array<long>")
+    sets = written(texts.mapInArrow(run, "node long, n int, tokens array<long>"))
     lists = written(_prefix_lists(sets.select("node", "n", F.explode("tokens").alias("token")), n, n - _needed(n, percent) + 1))
-    busy = lists.groupBy("token").agg(F.count("node").alias("m")).where("m > 1").select("token")
-    return written(lists.join(busy, "token", "left_semi"))
+    busy = written(lists.groupBy("token").agg(F.count("node").alias("m")).where("m > 1").select("token"))
+    out = written(lists.join(small_side(busy), "token", "left_semi"))
+    discard(sets, lists, busy)
+    return out
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -128,8 +158,27 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.01 * 100 / percent))).cast("int")
 
 
-def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (head, node) to compare, and the lists that stay open."""
+def _place(pos: Column, n: Column) -> Column:
+    """The block of a position in a node's order."""
+    return F.floor((pos - 1) * POSITIONS / n).cast("int")
+
+
+def _met_blocks(n: Column, percent: int) -> Column:
+    """(band, place) of the blocks that a head of n may match: later positions leave too little overlap."""
+    base = F.lit(1.01 * 100 / percent)
+
+    def of(band: Column) -> Column:
+        most = F.pow(base, band + 1)  # the largest size of the band
+        last = F.floor(POSITIONS * (1 - percent * (1 + n / most) / (100 + percent)) + 1e-6).cast("int")
+        places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        return F.when(last >= 0, F.transform(places, lambda place: F.struct(band.alias("band"), place.alias("place"))))
+
+    blocks = [of(_band(n, percent) + i) for i in (-1, 0, 1)]
+    return F.flatten(F.array_compact(F.array(*blocks)))
+
+
+def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a: head, b, n_a, n_b) to compare, the lists that stay open, and the table of heads."""
     own = lists.join(labels, "node", "left") if labels is not None else lists.withColumn("label", F.lit(None).cast("long"))
     own = own.withColumn("linked", F.col("label").isNotNull() & F.lit(heads_each > 1)).withColumn("label", F.coalesce("label", "node"))
     part = F.pmod(F.xxhash64("node"), F.lit(heads_each))
@@ -138,62 +187,66 @@ def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int, percent:
     )
     still = heads.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
     heads = written(heads.join(still, "token").select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "pos", "label"))))
-    near = F.array(*(_band(F.col("h_n"), percent) + i for i in (-1, 0, 1)))
-    by_block = heads.withColumn("band", F.explode(near))
+    by_block = heads.withColumn("block", F.explode(_met_blocks(F.col("h_n"), percent)))
+    by_block = by_block.select("*", "block.band", "block.place").drop("block")
     both = F.floor(((F.col("n") + F.col("h_n")) * percent + 99 + percent) / (100 + percent))  # the overlap that similar sets need
     pairs = (
-        own.withColumn("band", _band(F.col("n"), percent))
-        .join(by_block, ["token", "band"])
+        own.withColumns({"band": _band(F.col("n"), percent), "place": _place(F.col("pos"), F.col("n"))})
+        .join(by_block, ["token", "band", "place"])
         .where(F.col("label") != F.col("h_label"))
         .where(F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent)
         .where((F.col("pos") <= F.col("n") - both + 1) & (F.col("h_pos") <= F.col("h_n") - both + 1))
-        .select(F.col("h_node").alias("a"), F.col("node").alias("b"))
+        .select(F.col("h_node").alias("a"), F.col("node").alias("b"), F.col("h_n").alias("n_a"), F.col("n").alias("n_b"))
         .distinct()
     )
+    open_ = small_side(written(heads.select("token").distinct()))
     used = heads.select("token", F.col("h_node").alias("node"))
-    rest = lists.join(still, "token", "left_semi").join(used, ["token", "node"], "left_anti")
-    return pairs, rest
+    rest = lists.join(open_, "token", "left_semi").join(used, ["token", "node"], "left_anti")
+    return pairs, rest, heads
+
+
+def similar(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return common * 100 >= (n_a + n_b - common) * percent
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar."""
+def _derived(pairs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """The pairs that neither were compared before nor are excluded by what the head's lead shares with the node.
+
+    compared(a, b, n_a, n_b, common). The lead of a node is the head, of those it is similar to, that it shares most with.
+    """
+    alike = compared.where(similar(F.col("common"), F.col("n_a"), F.col("n_b"), percent))
+    lead = alike.groupBy(F.col("b").alias("a")).agg(F.max_by(F.struct(F.col("a").alias("lead"), F.col("common").alias("lead_common")), "common").alias("l"))
+    lead = lead.select("a", "l.lead", "l.lead_common")
+    known = compared.select(F.col("a").alias("lead"), "b", F.col("common").alias("lead_b"))
+    bound = F.least(F.col("lead_b") + F.col("n_a") - F.col("lead_common"), "n_a", "n_b")
+    told = pairs.join(lead, "a").join(known, ["lead", "b"]).where(~similar(bound, F.col("n_a"), F.col("n_b"), percent))
+    done = compared.select("a", "b").union(compared.select("b", "a")).union(told.select("a", "b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs(a, b, n_a, n_b) with common, how many shingles both have."""
     first, second = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    names = ["a", "b", "n_a", "n_b"]
 
     def run(batches):
         seen, last = WordHash(), (None, None)
-        for batch in batches:
-            a, b, keep = batch.column("a").to_pylist(), batch.column("text_b").to_pylist(), []
+        for batch in sliced(batches, "text_b"):
+            a, b, common = batch.column("a").to_pylist(), batch.column("text_b").to_pylist(), []
             texts_a = batch.column("text_a")
             for i, node in enumerate(a):
                 if node != last[0]:
                     last = node, shingle_set(texts_a[i].as_py(), seen, size)
-                other = shingle_set(b[i], seen, size)
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(last[1]) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+                common.append(len(np.intersect1d(last[1], shingle_set(b[i], seen, size), assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(common, pa.int32())], names=[*names, "common"])
 
-
-def _node_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, text of wanted(node, doc_id, key); rows that share a number are told apart by the key of their set."""
-
-    def run(batches):
-        seen = WordHash()
-        for batch in batches:
-            sets = (shingle_set(t, seen, size) for t in batch.column("text").to_pylist())
-            keys = batch.column("key").to_pylist()
-            keep = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text")], names=["node", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = own.join(small_side(wanted), F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "key", "text")
-    return written(rows.mapInArrow(run, "node long, text binary"))
+    both = pairs.join(second, "b").join(first, "a").select(*names, "text_a", "text_b")
+    return both.mapInArrow(run, "a long, b long, n_a int, n_b int, common int")
 
 
 def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, doc_id, n, node) of every row of docs, node null for empty sets; links (a, b) that join all similar nodes;
-    (node, label) of the components that they make.
+    """(row, doc_id, h1, h2, n, node) of every row of docs, node null for empty sets; links (a, b) that join all similar
+    nodes; (node, label) of the components that they make.
 
     Links span the components of the similarity graph between nodes; pairs inside a component that follow from
     others aren't all listed.
@@ -203,22 +256,27 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     rows = _signatures(docs, size, percent)
     firsts = written(rows.where("probe is not null").groupBy("key").agg(F.min("row").alias("node")))
     lead = rows.where("probe is not null").join(small_side(firsts.select(F.col("node").alias("row"))), "row", "left_semi")
-    ids = _candidates(lead.withColumnRenamed("row", "node"), percent)
-    wanted = written(rows.select(F.col("row").alias("node"), "doc_id", "key").join(ids, "node", "left_semi"))
-    texts = _node_texts(docs, wanted, size)
+    ids = written(_candidates(lead.withColumnRenamed("row", "node"), percent))
+    wanted = written(rows.select(F.col("row").alias("node"), "h1", "h2").join(small_side(ids), "node", "left_semi"))
+    members = written(rows.select("row", "doc_id", "h1", "h2", "n", "key").join(firsts, "key", "left").drop("key"))
+    discard(rows, firsts, ids)
+    texts = written(_texts(docs).join(small_side(wanted), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
     lists = _lists(texts, size, percent)
-    links, labels, heads_each, tested = None, None, 1, None
+    compared, links, labels, heads_each = None, None, None, 1
     while not lists.isEmpty():
-        pairs, rest = _round(lists, labels, heads_each, percent)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = written(_compare(pairs, texts, size, percent))
-        lists = written(rest)
-        heads_each *= 4
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
+        pairs, rest, heads = _round(lists, labels, heads_each, percent)
+        pairs = written(_derived(pairs, compared, percent) if compared is not None else pairs)
+        found = written(_compare(pairs, texts, size))
+        compared = found if compared is None else compared.union(found)
+        rest = written(rest)
+        discard(pairs, heads, lists)
+        lists, heads_each = rest, heads_each * 4
+        alike = found.where(similar(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+        if not alike.isEmpty():
+            links = alike if links is None else links.union(alike)
+            discard(labels)
             labels = written(components(links))
-    members = rows.join(firsts, "key", "left").select("row", "doc_id", "n", "node")
+    discard(texts, wanted)
     if links is None:
         links, labels = (docs.sparkSession.createDataFrame([], s) for s in ("a long, b long", "node long, label long"))
     return members, links, labels
@@ -240,16 +298,23 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows that repeat a doc_id count as one document.
+    """One row of each component: the one with the smallest doc_id (null last), then the first.
 
-    Rows with a null doc_id stay if nothing with an id is in their component.
+    Rows are told apart by number and text, so different texts under one number, or under none, each count. Texts without
+    words are linked with nothing: all of their rows stay.
     """
-    found = ngram_components(docs, size, percent)
-    gone = written(found.where("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.join(small_side(gone), "doc_id", "left_anti")
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    members, _, labels = similar_classes(docs, size, percent)
+    told = members.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    best = written(told.groupBy("label").agg(F.min_by(F.struct("h1", "h2"), order).alias("b")).select("label", "b.*"))
+    gone = written(told.join(best.withColumn("stays", F.lit(True)), ["label", "h1", "h2"], "left").where("stays is null").select("h1", "h2").distinct())
+    again = written(told.join(best, ["label", "h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"))
+    m1, m2 = free_name(docs, "h1"), free_name(docs, "h2")
+    marks = row_marks(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    marked = docs.withColumns({m1: marks[0], m2: marks[1]})
+    named = lambda df: small_side(df).withColumnsRenamed({"h1": m1, "h2": m2})
+    kept = marked.join(named(gone), [m1, m2], "left_anti")
     if not again.isEmpty():
-        again = small_side(again)
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+        once = kept.join(named(again), [m1, m2], "left_semi").dropDuplicates([m1, m2])
+        kept = kept.join(named(again), [m1, m2], "left_anti").unionByName(once)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

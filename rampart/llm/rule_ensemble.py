@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rampart.llm.common import free_name, small_batches, written
+from rampart.llm.common import free_name, sliced, written
 
 #: Statistics of a text, all 0 for an empty or null one.
 STATISTICS = (
@@ -53,11 +53,10 @@ def statistics(text: bytes | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
     """docs with a struct column of the statistics of each whole text."""
-    small_batches(docs.sparkSession)
     kind = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             rows = np.array([statistics(t) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]).reshape(-1, len(STATISTICS))
             own = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATISTICS))], names=list(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, name])

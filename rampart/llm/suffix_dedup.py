@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import small_batches, written
+from rampart.llm.common import sliced, written
 
 LENGTH, GRAM, STRIDE, LEVELS, HOT = 400, 24, 72, 3, 20_000
 _BLOCK = 1 << 20
@@ -138,7 +138,6 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], k) for c, k in zip(names[1:], kinds, strict=True))], names=names)
 
-    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return written(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
