@@ -1,9 +1,10 @@
 """Chat formatting: typed content parts become one string a conversation, with its loss mask and attachments.
 
 Every turn is `<|turn|>role<|says|>content<|end|>`. Content parts are visited in order: text is escaped, an image,
-audio or document part becomes its placeholder, and its reference and expanded token count are recorded. Escaping
-puts a backslash into every control string of a text (and doubles backslashes), so that no text can pose as markup and
-the text can be read back exactly.
+audio or document part becomes its placeholder, and its reference and expanded token count are recorded. Control strings
+of this template and of common others begin with `<` or `[`. Escaping puts a backslash behind each of the two, and doubles
+backslashes; so a `<` or `[` of a text is never followed by what stands next in the text, in the next part or in the
+template, no text can pose as markup wherever parts meet, and everything can be read back exactly.
 """
 
 from __future__ import annotations
@@ -14,20 +15,21 @@ from pyspark.sql import functions as F
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Placeholder by part type, and the tokens that one unit (tile, second, page) of it expands to.
 PLACEHOLDERS = {"image": ("<|image|>", 256), "audio": ("<|audio|>", 25), "document": ("<|document|>", 512)}
-#: Beginnings of control strings of this template and of common others, each with its escaped form.
-CONTROL = (("\\", "\\\\"), ("<|", "<\\|"), ("</s>", "<\\/s>"), ("<s>", "<\\s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"))
+#: Characters that control strings begin with.
+OPENERS = ("<", "[")
 #: A row is a content part of a turn.
 PARTS = "array<struct<kind:string,text:string,ref:string,units:int>>"
 
 
 def escape(text: Column) -> Column:
-    for plain, safe in CONTROL:
-        text = F.replace(text, F.lit(plain), F.lit(safe))
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c in OPENERS:
+        text = F.replace(text, F.lit(c), F.lit(f"{c}\\"))
     return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"(?s)\\(.?)", "$1")
 
 
 def text_part(text: Column) -> Column:
@@ -63,54 +65,65 @@ def attachments(turn: Column, parts: Column) -> Column:
     return F.filter(all_parts, lambda x: x["kind"].isin(*PLACEHOLDERS))
 
 
+def plain_text(parts: Column) -> Column:
+    """The texts of the text parts, one after the other."""
+    texts = F.transform(parts, lambda p: F.when(p["kind"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit("")))
+    return F.coalesce(F.array_join(texts, ""), F.lit(""))
+
+
 def format_conversations(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
     """conv_id, formatted, loss_spans, attachments, attachment_tokens; a row for each conv_id of (conv_id, turn, role, text).
 
-    Turns go by number, null first, ties by role and text. A null text or role is empty; repeated rows stay repeated.
-    Rows with a null conv_id make one conversation. loss_spans: (start, length) in code points of each assistant text.
+    Turns go by number, null first, ties by role and text as they are in the input, then by parts. A null text or role is
+    empty; repeated rows stay repeated; other columns are left out. Rows with a null conv_id make one conversation.
+    loss_spans: (start, length) in code points of each assistant text. A text may be of any length.
     """
-    parts = F.col(f"`{parts_col}`").cast(PARTS) if parts_col else text_part(F.col("text"))
-    rows = turns.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.coalesce("role", F.lit("")).alias("role"),
-            visit(parts).alias("content"),
-            attachments(F.col("turn"), parts).alias("more"),
-        ).alias("row"),
-    )
-    own = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    head = lambda r: F.concat(F.lit(TURN), escape(r["role"]), F.lit(SAYS))
-    pieces = F.transform("rows", lambda r: F.concat(head(r), r["content"], F.lit(END)))
+    role = F.coalesce("role", F.lit("")).alias("role")
+    if parts_col:
+        parts = F.col(f"`{parts_col}`").cast(PARTS)
+        row = F.struct(F.col("turn").alias("turn"), role, plain_text(parts).alias("text"), parts.alias("parts"))
+        content, more = lambda r: visit(r["parts"]), F.flatten(F.transform("rows", lambda r: attachments(r["turn"], r["parts"])))
+    else:
+        row = F.struct(F.col("turn").alias("turn"), role, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        content, more = lambda r: escape(r["text"]), F.flatten(F.transform("rows", lambda r: attachments(r["turn"], F.array().cast(PARTS))))
+    own = turns.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    said = lambda r: F.struct((r["role"] == "assistant").alias("mine"), F.concat(F.lit(TURN), escape(r["role"]), F.lit(SAYS)).alias("head"), content(r).alias("content"))
+    own = own.select("conv_id", F.transform("rows", said).alias("said"), more.alias("attachments"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, r: Column) -> Column:
-        begins = acc["at"] + F.length(head(r))
+        begins = acc["at"] + F.length(r["head"])
         ends = begins + F.length(r["content"])
         span = F.array(F.struct(begins.alias("start"), (ends - begins).alias("length")))
-        mine = F.when(r["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"])
+        mine = F.when(r["mine"], F.concat(acc["spans"], span)).otherwise(acc["spans"])
         return F.struct((ends + len(END)).alias("at"), mine.alias("spans"))
 
-    more = F.flatten(F.transform("rows", lambda r: r["more"]))
     return own.select(
         "conv_id",
-        F.array_join(pieces, "").alias("formatted"),
-        F.aggregate("rows", start, step)["spans"].alias("loss_spans"),
-        more.alias("attachments"),
-        F.aggregate(more, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
+        F.array_join(F.transform("said", lambda r: F.concat(r["head"], r["content"], F.lit(END))), "").alias("formatted"),
+        F.aggregate("said", start, step)["spans"].alias("loss_spans"),
+        "attachments",
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and loss_text, read from the formatted string and its loss spans."""
+    """conv_id, turns (role, text, parts) and loss_text, read from the formatted string and its loss spans.
+
+    parts: (kind, text) in order, with the texts between placeholders; text: all of them, one after the other.
+    """
+    marks = r"<\|(" + "|".join(PLACEHOLDERS) + r")\|>"
     pieces = F.slice(F.split("formatted", r"<\|turn\|>"), 2, F.lit(2**31 - 2))
+    none = F.lit(None).cast("string")
 
     def one(piece: Column) -> Column:
         body = F.left(piece, F.length(piece) - len(END))
-        return F.struct(
-            unescape(F.split_part(body, F.lit(SAYS), F.lit(1))).alias("role"),
-            unescape(F.split_part(body, F.lit(SAYS), F.lit(2))).alias("text"),
-        )
+        content = F.split_part(body, F.lit(SAYS), F.lit(2))
+        texts = F.transform(F.split(content, marks), unescape)
+        kinds = F.concat(F.regexp_extract_all(content, F.lit(marks), F.lit(1)), F.array(none))
+        both = F.flatten(F.zip_with(texts, kinds, lambda t, k: F.array(F.struct(F.lit("text").alias("kind"), t.alias("text")), F.struct(k.alias("kind"), none.alias("text")))))
+        parts = F.filter(both, lambda p: p["kind"].isNotNull() & (F.coalesce(p["text"], F.lit("-")) != ""))
+        return F.struct(unescape(F.split_part(body, F.lit(SAYS), F.lit(1))).alias("role"), F.array_join(texts, "").alias("text"), parts.alias("parts"))
 
     masked = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return formatted.select("conv_id", F.transform(pieces, one).alias("turns"), F.array_join(masked, "").alias("loss_text"), "formatted")

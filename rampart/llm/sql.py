@@ -8,12 +8,7 @@ with t as (
 e as (
   select *,
     length(role) + length(text)
-    + (length(role || text) - length(replace(role || text, '\', '')))
-    + (length(text) - length(replace(text, '<|', ''))) // 2 + (length(role) - length(replace(role, '<|', ''))) // 2
-    + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(role) - length(replace(role, '</s>', ''))) // 4
-    + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(role) - length(replace(role, '<s>', ''))) // 3
-    + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(role) - length(replace(role, '[INST]', ''))) // 6
-    + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(role) - length(replace(role, '[/INST]', ''))) // 7
+    + length(role || text) - length(translate(role || text, '\<[', ''))
     + 8 + 8 + 7 as size
   from t)
 select conv_id, count(*) as n_turns,
