@@ -131,6 +131,7 @@ piece as (
 kept as (select r, string_agg(case when t > f then hex(array_slice(b, f + 1, t)) else '' end, '' order by o) as x from piece join d using (r) group by r),
 sums as (select r, sum(e - s) as n_removed, count(*) as n_spans from span group by r)
 select doc_id, octet_length(b) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
-  sha256(case when x is null then b else unhex(x) end) as kept_sha256
+  sha256(case when x is null then b else unhex(x) end) as kept_sha256, octet_length(b) - cast(coalesce(n_removed, 0) as bigint) as n_kept,
+  try(decode(case when x is null then b else unhex(x) end)) as kept
 from d left join sums using (r) left join kept using (r)
 """

@@ -1,17 +1,22 @@
-"""Removal of repeated 400-byte strings: prefix doubling over sampled suffixes, then windows compared exactly.
+"""Removal of repeated 400-byte strings: distributed prefix doubling over sampled suffixes, windows only at the edges.
 
 1. Equal texts are one class; of a class one row goes on. All bytes of copies are repeated.
 2. Suffixes are sampled by content: a suffix is an anchor if its first GRAM bytes have the least hash among STRIDE
-   neighbours. Every 400-byte string holds the same anchors wherever it starts, but for its edges. Every window belongs
-   to its first anchor inside those edges, and the segments between anchors that all windows of an anchor hold in
-   full are known.
-3. Prefix doubling over anchors: the rank of an anchor at level 0 names its segment; at each next level the pair of the
-   ranks at the anchor and at a growing offset behind it is ranked anew. An anchor whose rank is unique leaves; one
-   whose known segments are covered is past the threshold and stays as a candidate. Only equality of ranks matters,
-   so a rank is a 64-bit name of its pair and not an order number.
-4. The windows of candidates are sent, as stretches of text, to the task of the rarest gram that they hold, and equal
-   windows are found there by rolling 64-bit hashes of their whole 400 bytes. A gram that more than HOT stretches hold
-   is not gathered in one task: its windows go as rows that are counted and joined.
+   neighbours, so equal 400-byte strings hold the same anchors wherever they start, but for their edges. Segments lie
+   between anchors. Every window of 400 bytes belongs to its first anchor inside those edges.
+3. Prefix doubling: at level 0 anchors are sorted by their segment (128 bits of it) and ranked; at level k Spark sorts the
+   pairs of the ranks at an anchor and at 2**(k-1) anchors behind it, and ranks anew. An anchor whose rank is unique leaves.
+   An anchor is past the threshold when its ranked prefix covers all windows that start before the next anchor: these are
+   repeated, and nothing of them is looked at any more. Its prefix needn't be a power of two: it ends with a pair at a
+   quarter of the offset.
+4. What doubling leaves open are windows around the ends of repeated strings: their anchors' inner segments are repeated,
+   but the bytes before the first anchor or behind the last segment aren't known. Only these windows, and those of other
+   anchors with the same two first segments, are sent as stretches of text to the task of the rarest gram that they hold,
+   and compared there by 128-bit rolling hashes of their 400 bytes. A gram that more than HOT stretches hold is not
+   gathered in one task: its windows go as rows that are counted first and then joined.
+
+Pairs that a sample shows to be very common get their rank by broadcast and aren't dealt out; the sample only decides
+where rows go.
 """
 
 from __future__ import annotations
@@ -22,50 +27,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampart.llm.common import sliced, written
+from rampart.llm.common import discard, sliced, small_side, written
 
-LENGTH, GRAM, STRIDE, LEVELS, HOT = 400, 24, 72, 3, 20_000
+#: HOT: bytes of stretches with one gram that a task may gather.
+LENGTH, GRAM, STRIDE, HOT = 400, 24, 72, 8 << 20
+#: One anchor of COMMON_OF is looked at for common pairs, and one that COMMON of them have is common.
+COMMON_OF, COMMON = 16, 32
 _BLOCK = 1 << 20
-_STEP = 0xD6E8FEB86659FD93
-_BACK = pow(_STEP, -1, 1 << 64)
-_BYTE = np.random.default_rng(400).integers(0, 1 << 64, 256, np.uint64)
+#: Two independent rolling hashes of 64 bits: the second is only taken where the first finds equals.
+_STEPS = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
+_BYTES = np.random.default_rng(400).integers(0, 1 << 64, (2, 256), np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _LOW = np.uint64(0xFFFFFFFF)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
+def _power(n: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash's step and of its inverse modulo 2**64."""
+    if (kind, 1) not in _powers or len(_powers[kind, 1]) < n:
         size = max(n, 1 << 16)
-        for name, base in (("up", _STEP), ("down", _BACK)):
-            all_ = np.full(size, base, np.uint64)
+        for way in (1, -1):
+            all_ = np.full(size, pow(_STEPS[kind], way, 1 << 64), np.uint64)
             all_[0] = 1
-            _powers[name] = np.multiply.accumulate(all_)
-    return _powers["up"], _powers["down"]
+            _powers[kind, way] = np.multiply.accumulate(all_)
+    return _powers[kind, 1], _powers[kind, -1]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = _power(len(data) + 1)
+def prefix_sums(data: np.ndarray, kind: int = 0) -> np.ndarray:
+    up, _ = _power(len(data) + 1, kind)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(_BYTES[kind][data] * up[: len(data)], out=out[1:])
     return out
 
 
-def string_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the strings from starts to ends, equal for equal strings wherever they stand."""
-    h = (sums[ends] - sums[starts]) * _power(len(sums))[1][starts]
+def string_hashes(sums: np.ndarray, starts: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
+    """Hashes of the strings of a length at starts, equal for equal strings wherever they stand."""
+    h = (sums[starts + length] - sums[starts]) * _power(len(sums), kind)[1][starts]
     h ^= h >> np.uint64(29)
     return h * _MIX
 
 
-def all_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+def all_hashes(sums: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
     """Hashes of all strings of a length, by start."""
     n = len(sums) - length
-    h = (sums[length:] - sums[:n]) * _power(len(sums))[1][:n]
+    h = (sums[length:] - sums[:n]) * _power(len(sums), kind)[1][:n]
     h ^= h >> np.uint64(29)
     return h * _MIX
 
@@ -95,15 +103,17 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def segment_names(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Hash of each segment from an anchor through the next anchor's gram."""
-    out = np.empty(max(0, len(places) - 1), np.uint64)
-    starts, ends = places[:-1], places[1:] + GRAM
-    for at in range(0, len(data), _BLOCK):
-        own = slice(*np.searchsorted(starts, [at, at + _BLOCK]))
-        if own.stop > own.start:
-            out[own] = string_hashes(prefix_sums(data[at : at + _BLOCK + GRAM + STRIDE]), starts[own] - at, ends[own] - at)
-    return out
+def segment_names(text: bytes, places: np.ndarray) -> np.ndarray:
+    """128 bits of each segment, from an anchor through the next anchor's gram, as two columns."""
+    at = places.tolist()
+    digests = b"".join([xxhash.xxh3_128_digest(text[a : b + GRAM]) for a, b in zip(at[:-1], at[1:], strict=True)])
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def covering(places: np.ndarray, length: int) -> np.ndarray:
+    """By anchor but the last: how many segments hold all windows that start before the next anchor; 0 if the text ends."""
+    end = np.searchsorted(places, places[1:] + length - 1 - GRAM)
+    return np.where(end < len(places), end - np.arange(len(places) - 1), 0)
 
 
 def owned(places: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,53 +124,110 @@ def owned(places: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarr
     return first, last, np.where(last >= first, np.maximum(inner, 0), 0)
 
 
+def needs(cover: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """How many segments from each anchor on must be ranked, for its own sake or for anchors before it."""
+    goal = np.maximum(cover - 1, inner)
+    if not len(goal):
+        return goal
+    reach = int(goal.max())
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(reach, goal.dtype), goal)), reach + 1).max(axis=1)
+
+
 def _signatures(docs: DataFrame, length: int) -> DataFrame:
-    """row, doc_id, n, key, sha, names, inner of every row; only the first of equal texts in a task has names."""
-    schema = "doc_id long, n long, key binary, sha string, names array<long>, inner array<int>"
-    names = ["doc_id", "n", "key", "sha", "names", "inner"]
+    """row, doc_id, text, n, key, sha of every row; only the first of equal texts in a task has anchors: places, a and b (the
+    names of segments), cover, inner and need."""
+    schema = "doc_id long, text binary, n long, key binary, sha string, places array<int>, a array<long>, b array<long>, cover array<int>, inner array<int>, need array<int>"
+    kinds = {"n": pa.int64(), "key": pa.binary(), "sha": pa.string(), "places": pa.list_(pa.int32()), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64()), "cover": pa.list_(pa.int32()), "inner": pa.list_(pa.int32()), "need": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
-        for batch in batches:
-            out = {c: [] for c in names[1:]}
+        for batch in sliced(batches, "text"):
+            out = {c: [] for c in kinds}
             for text in batch.column("text").to_pylist():
-                text = text or b""
                 key = xxhash.xxh3_128_digest(text)
-                named = inner = None
+                made = [None] * 6
                 if len(text) >= length and key not in known:
-                    data = np.frombuffer(text, np.uint8)
-                    places = anchors(data)
-                    named = segment_names(data, places).view(np.int64)
-                    inner = owned(places, len(text), length)[2][:-1].astype(np.int32)
+                    places = anchors(np.frombuffer(text, np.uint8))
+                    names = segment_names(text, places)
+                    cover, inner = covering(places, length).astype(np.int32), owned(places, len(text), length)[2][:-1].astype(np.int32)
+                    made = [places.astype(np.int32), names[:, 0], names[:, 1], cover, inner, needs(cover, inner)]
                 known.add(key)
-                for c, v in zip(names[1:], (len(text), key, hashlib.sha256(text).hexdigest(), named, inner), strict=True):
+                for c, v in zip(kinds, (len(text), key, hashlib.sha256(text).hexdigest(), *made), strict=True):
                     out[c].append(v)
-            kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], k) for c, k in zip(names[1:], kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(out[c], k) for c, k in kinds.items())], names=["doc_id", "text", *kinds])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"))
     return written(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
-def _repeated(ranks: DataFrame) -> DataFrame:
-    """The rows whose rank another row has too."""
-    counts = ranks.groupBy("rank").agg(F.count("i").alias("c")).where("c > 1").select("rank")
-    return ranks.join(counts, "rank", "left_semi")
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys another row has too, with their rank: the place of the first of equals when all are sorted by keys.
 
+    Keys that are common in a sample have negative ranks and meet them by broadcast; all others are sorted.
+    """
+    seen = rows.where(F.pmod(F.xxhash64("row", "i"), F.lit(COMMON_OF)) == 0)
+    common = seen.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).select(*keys)
+    common = small_side(written(common.withColumn("name", -1 - F.monotonically_increasing_id())))
+    rare = rows.join(common.drop("name"), keys, "left_anti").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    equal = Window.partitionBy(*keys)
+    rare = rare.withColumn("at", F.monotonically_increasing_id()).withColumns({"name": F.min("at").over(equal), "c": F.count("*").over(equal)})
+    return rare.where("c > 1").drop("at", "c").unionByName(rows.join(common, keys))
+
+
+def doubled(suffixes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(row, i) whose windows before the next anchor are repeated, (row, i) whose inner segments are, the ranks
+    (row, i, rank) at level 1, by prefix doubling over suffixes(row, i, a, b, cover, inner, need); and the tables they read."""
+    own = ["row", "i", "cover", "inner", "need"]
+    ranks = written(_ranked(suffixes, ["a", "b"]).select(*own, F.col("name").alias("rank")))
+    made, whole, inner, second, level = [ranks], ranks.where("cover = 1").select("row", "i"), None, None, 0
+    order = Window.partitionBy("row").orderBy("i")
+    while True:
+        size, steps = 2**level, min(4, 2**level)
+        unit = size // steps
+        now = ranks.where((F.col("inner") >= size) & (F.col("inner") < 2 * size)).select("row", "i")
+        inner = now if inner is None else inner.union(now)
+        if level == 1:
+            second = ranks.select("row", "i", "rank")
+        ends = (F.col("cover") > size) & (F.col("cover") <= 2 * size)  # the prefix is ranked whole by one more pair
+        part = F.ceil((F.col("cover") - size) / unit).cast("int")
+        on = F.col("need") >= 2 * size
+        then = F.array(*(F.max("rank").over(order.rangeBetween(k * unit, k * unit)) for k in range(1, steps + 1)))
+        parts = F.array_distinct(F.array_compact(F.array(F.when(ends, part), F.when(on, F.lit(steps)))))
+        pairs = ranks.withColumn("then", then).where(ends | on).withColumn("part", F.explode(parts)).withColumn("then", F.col("then")[F.col("part") - 1])
+        found = written(_ranked(pairs.where("then is not null"), ["part", "rank", "then"]))
+        made.append(found)
+        whole = whole.union(found.where(ends & (F.col("part") == part)).select("row", "i"))
+        ranks = found.where((F.col("part") == steps) & on).select(*own, F.col("name").alias("rank"))
+        level += 1
+        if level > 1 and ranks.isEmpty():
+            return whole, inner, second, made
+
+
+def _decided(lead: DataFrame, whole: DataFrame, inner: DataFrame, length: int) -> DataFrame:
+    """row, done, open, inner: runs of starts (first, last) that doubling decides, and anchors with windows left open."""
+    mine = whole.withColumn("w", F.lit(True)).union(inner.withColumn("w", F.lit(False)))
+    by_row = mine.groupBy("row").agg(F.collect_list(F.when(F.col("w"), F.col("i"))).alias("whole"), F.collect_list(F.when(~F.col("w"), F.col("i"))).alias("inner"))
+    spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    ints = pa.list_(pa.int32())
 
-def candidates(suffixes: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """row, i of the anchors whose known segments start elsewhere too, by prefix doubling over (row, i, rank, inner)."""
-    ranks, done = written(_repeated(suffixes).select("row", "i", "rank", "inner")), None
-    for level in range(levels + 1):
-        last = F.lit(level == levels) | (F.col("inner") < 2 ** (level + 1))
-        ready = ranks.where((F.col("inner") >= 2**level) & last).select("row", "i")
-        done = ready if done is None else done.union(ready)
-        if level == levels or ranks.where(F.col("inner") >= 2 ** (level + 1)).isEmpty():
-            return done
-        behind = ranks.select("row", (F.col("i") - 2**level).alias("i"), F.col("rank").alias("then"))
-        pairs = ranks.join(behind, ["row", "i"]).select("row", "i", F.xxhash64("rank", "then").alias("rank"), "inner")
-        ranks = written(_repeated(pairs).select("row", "i", "rank", "inner"))
-    return done
+    def run(batches):
+        for batch in batches:
+            done, left = [], []
+            for n, places, whole, inner in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "whole", "inner")), strict=True):
+                places = np.array(places)
+                sure = np.zeros(len(places), bool)
+                sure[np.array(whole, int)] = True
+                sure[-1] = False
+                done.append([{"first": int(places[a]), "last": int(places[b]) - 1} for a, b in zip(*_runs(sure), strict=True)])
+                first, last, _ = owned(places, n, length)
+                before = np.concatenate(([0], np.cumsum(~sure)))
+                low, high = np.searchsorted(places, first, "right") - 1, np.searchsorted(places, last, "right") - 1
+                shut = (low >= 0) & (before[high + 1] == before[np.maximum(low, 0)])
+                left.append([i for i in inner if not shut[i] and last[i] >= first[i]])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(done, spans), pa.array(left, ints), batch.column("inner")], names=["row", "done", "open", "inner"])
+
+    rows = lead.select("row", "n", "places").join(by_row, "row").select("row", "n", "places", "whole", "inner")
+    return rows.mapInArrow(run, "row long, done array<struct<first:long,last:long>>, open array<int>, inner array<int>")
 
 
 def _stretches(texts: DataFrame, length: int) -> DataFrame:
@@ -168,38 +235,37 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
     names = ["row", "start", "gram", "bytes"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = [], [], [], []
-            for row, text, chosen in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "chosen")), strict=True):
+            for row, text, places, chosen in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "places", "chosen")), strict=True):
                 data = np.frombuffer(text, np.uint8)
-                first, last, _ = owned(anchors(data), len(text), length)
+                first, last, _ = owned(np.array(places), len(text), length)
                 chosen = np.sort(np.array(chosen))
                 want = np.zeros(len(text) - length + 2, np.int32)
                 np.add.at(want, first[chosen], 1)
                 np.add.at(want, last[chosen] + 1, -1)
-                edge = np.diff(np.concatenate(([0], (np.cumsum(want[:-1]) > 0).astype(np.int8), [0])))
-                for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+                for a, b in zip(*(x.tolist() for x in _runs(np.cumsum(want[:-1]) > 0)), strict=True):
                     for at in range(a, b, _BLOCK):
                         end = min(b, at + _BLOCK)
                         hashes = all_hashes(prefix_sums(data[at : end + length - 1]), GRAM)
-                        least = least_of(hashes, length - GRAM + 1)
-                        cuts = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1, [end - at]))
+                        least = hashes[least_of(hashes, length - GRAM + 1)]
+                        cuts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1, [end - at]))
                         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                            for k, v in zip(out, (row, at + x, int(hashes[least[x]].view(np.int64)), text[at + x : at + y + length - 1]), strict=True):
+                            for k, v in zip(out, (row, at + x, int(least[x].view(np.int64)), text[at + x : at + y + length - 1]), strict=True):
                                 k.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     return texts.mapInArrow(run, "row long, start long, gram long, bytes binary")
 
 
-def _window_hashes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of all pieces, and how many each piece has."""
+def _joined(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces as one array, where their windows start in it, and how many each piece has."""
     sizes = np.array([len(p) for p in pieces])
-    hashes = all_hashes(prefix_sums(np.frombuffer(b"".join(pieces), np.uint8)), length)
-    inside = np.ones(len(hashes) + length, bool)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    inside = np.ones(len(data) + 1, bool)
     for end in np.cumsum(sizes):
-        inside[end - length + 1 : end] = False
-    return hashes[inside[: len(hashes)]], sizes - length + 1
+        inside[max(0, end - length + 1) : end] = False
+    return data, np.flatnonzero(inside[: len(data) - length + 1]), sizes - length + 1
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,12 +277,18 @@ def _equal_in_task(stretches: DataFrame, length: int) -> DataFrame:
     """row, first, last: starts of repeated windows; stretches of a gram stand together in sorted partitions."""
 
     def flush(rows, starts, pieces):
-        hashes, counts = _window_hashes(pieces, length)
+        data, places, counts = _joined(pieces, length)
+        flags = np.zeros(len(places), bool)
+        hashes = all_hashes(prefix_sums(data), length)[places]
         order = np.argsort(hashes, kind="stable")
         same = hashes[order][1:] == hashes[order][:-1]
-        flags = np.zeros(len(hashes), bool)
-        flags[order[1:][same]] = True
-        flags[order[:-1][same]] = True
+        if same.any():
+            some = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+            again = string_hashes(prefix_sums(data, 1), places[some], length, 1)
+            both = np.lexsort((again, hashes[some]))
+            one, two = hashes[some][both], again[both]
+            same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            flags[some[both][np.concatenate(([False], same)) | np.concatenate((same, [False]))]] = True
         out, at = ([], [], []), 0
         for row, start, n in zip(rows, starts, counts.tolist(), strict=True):
             for a, b in zip(*(x.tolist() for x in _runs(flags[at : at + n])), strict=True):
@@ -244,28 +316,28 @@ def _equal_in_task(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def _equal_by_rows(stretches: DataFrame, length: int) -> DataFrame:
-    """The same for grams of many stretches: a row for each window, counted before hashes meet."""
+    """The same for grams of many stretches: a row for each window; hashes are counted before rows meet them."""
 
     def run(batches):
-        for batch in batches:
-            hashes, counts = _window_hashes(batch.column("bytes").to_pylist(), length) if batch.num_rows else (np.empty(0, np.uint64), np.empty(0, int))
-            at = np.concatenate([np.arange(n) for n in counts]) if len(counts) else np.empty(0, int)
+        for batch in sliced(batches, "bytes"):
+            data, places, counts = _joined(batch.column("bytes").to_pylist(), length)
+            at = np.concatenate([np.arange(n) for n in counts])
             each = lambda c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(each("row"), pa.int64()), pa.array(each("start") + at, pa.int64()), pa.array(hashes.view(np.int64))], names=["row", "first", "rank"]
-            )
+            w = [string_hashes(prefix_sums(data, kind), places, length, kind).view(np.int64) for kind in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(each("row"), pa.int64()), pa.array(each("start") + at, pa.int64()), *map(pa.array, w)], names=["row", "first", "w1", "w2"])
 
-    rows = stretches.mapInArrow(run, "row long, first long, rank long")
-    counts = rows.groupBy("rank").agg(F.count("first").alias("c")).where("c > 1").select("rank")
-    return rows.join(counts, "rank", "left_semi").select("row", "first", F.col("first").alias("last"))
+    rows = written(stretches.mapInArrow(run, "row long, first long, w1 long, w2 long"))
+    counts = written(rows.groupBy("w1", "w2").agg(F.count("first").alias("c")).where("c > 1").select("w1", "w2"))
+    return rows.join(small_side(counts), ["w1", "w2"], "left_semi").select("row", "first", F.col("first").alias("last"))
 
 
-def _cut(texts: DataFrame, cover: DataFrame, length: int) -> DataFrame:
-    """row, n_removed, n_spans, kept of the texts that lose bytes."""
+def _cut(rows: DataFrame, cover: DataFrame, length: int) -> DataFrame:
+    """rows(row, ...) that lose bytes, with n_removed, n_spans and kept instead of text."""
     by_row = cover.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("cover"))
+    more = ["doc_id", "n", "copies"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
                 gone = np.zeros(len(text) + 1, np.int32)
@@ -276,67 +348,68 @@ def _cut(texts: DataFrame, cover: DataFrame, length: int) -> DataFrame:
                 for k, v in zip(out, (int(lost.sum()), len(_runs(lost)[0]), kept), strict=True):
                     k.append(v)
             kinds = pa.int64(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=["row", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=[*more, "n_removed", "n_spans", "kept"])
 
-    return texts.join(by_row, "row").select("row", "text", "cover").mapInArrow(run, "row long, n_removed long, n_spans long, kept binary")
+    return rows.join(by_row, "row").select(*more, "text", "cover").mapInArrow(run, "doc_id long, n long, copies long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept of every row of docs(doc_id, text); kept is null where nothing is left
-    out or all is.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept (bytes) of every row of docs(doc_id, text).
 
     A byte goes if a string of `length` bytes around it also starts anywhere else, in the same text or another; strings
     are those of the input. Null texts are empty; texts shorter than `length` lose nothing; repeated rows are copies
-    of each other.
+    of each other, whatever their ids; other columns are left out; an empty table gives no rows. Texts may be of any
+    length and periodic.
     """
     if length < 3 * STRIDE + GRAM:
         raise ValueError(f"length must be {3 * STRIDE + GRAM} at least")
     rows = _signatures(docs, length)
     long = rows.where(F.col("n") >= length)
-    classes = long.groupBy("key").agg(F.count("row").alias("copies"), F.min(F.when(F.col("names").isNotNull(), F.col("row"))).alias("node"))
-    lead = long.where("names is not null").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    suffixes = lead.select("row", F.posexplode(F.arrays_zip(F.col("names").alias("rank"), F.col("inner").alias("inner"))).alias("i", "s"))
-    chosen = candidates(suffixes.select("row", "i", "s.rank", "s.inner"), levels)
-    chosen = written(chosen.groupBy("row").agg(F.collect_list("i").alias("chosen")))
-    wanted = rows.select("row", "doc_id", "key").join(chosen, "row")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
-    texts = written(_same_text(own.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")))))
-    stretches = written(_stretches(texts, length))
-    many = stretches.groupBy("gram").agg(F.count("row").alias("c")).where(F.col("c") > hot).select("gram")
+    classes = written(long.groupBy("key").agg(F.count("row").alias("copies"), F.min(F.when(F.col("places").isNotNull(), F.col("row"))).alias("node")))
+    nodes = small_side(classes.select(F.col("node").alias("row")))
+    lead = rows.where("places is not null").join(nodes, "row", "left_semi")
+    suffixes = lead.select("row", F.posexplode(F.arrays_zip("a", "b", "cover", "inner", "need")).alias("i", "s")).select("row", "i", "s.*")
+    whole, inner, second, made = doubled(suffixes)
+    told = written(_decided(lead, whole, inner, length))
+    open_ = told.select("row", F.explode("open").alias("i"))
+    asked = written(open_.join(second, ["row", "i"]).select("rank").distinct())
+    wanted = second.join(small_side(asked), "rank", "left_semi").select("row", "i").join(told.select("row", F.explode("inner").alias("i")), ["row", "i"], "left_semi")
+    chosen = written(wanted.groupBy("row").agg(F.collect_list("i").alias("chosen")))
+    texts = rows.join(small_side(chosen.select("row")), "row", "left_semi").select("row", "text", "places").join(chosen, "row")
+    stretches = written(_stretches(texts.select("row", "text", "places", "chosen"), length))
+    discard(asked, *made)
+    many = written(stretches.groupBy("gram").agg(F.sum(F.length("bytes")).alias("c")).where(F.col("c") > hot).select("gram"))
     if many.isEmpty():
-        cover = _equal_in_task(stretches, length)
+        cover = written(_equal_in_task(stretches, length))
     else:
-        many = written(many)
-        cover = _equal_in_task(stretches.join(many, "gram", "left_anti"), length)
-        cover = cover.union(_equal_by_rows(stretches.join(many, "gram", "left_semi"), length))
-    cuts = _cut(texts, cover, length).dropDuplicates(["row"])
-    copies = F.coalesce(F.col("copies"), F.lit(1)) > 1
-    all_ = rows.select("row", "doc_id", "n", "key", "sha").join(classes, "key", "left").join(cuts, "row", "left")
-    return all_.select(
+        few = small_side(many)
+        cover = _equal_in_task(stretches.join(few, "gram", "left_anti"), length)
+        cover = written(cover.union(_equal_by_rows(stretches.join(few, "gram", "left_semi"), length)))
+    cover = written(cover.union(told.select("row", F.explode("done").alias("d")).select("row", "d.*")))
+    discard(chosen, stretches, told)
+    ids = small_side(written(cover.select("row").distinct()))
+    all_ = rows.select("row", "doc_id", "n", "key", "sha", "text").join(small_side(classes.where("copies > 1").select("key", "copies")), "key", "left")
+    copied = F.col("copies").isNotNull()
+    lost = all_.where(~copied).join(ids, "row", "left_semi").select("row", "doc_id", "n", "copies", "text")
+    cut = _cut(lost, cover, length).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    none = F.when(copied, F.lit(b"")).otherwise(F.col("text"))
+    rest = all_.where(copied).unionByName(all_.where(~copied).join(ids, "row", "left_anti"))
+    rest = rest.select(
         "doc_id",
         F.col("n").alias("n_bytes"),
-        F.when(copies, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copies, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(~copies, F.col("kept")).alias("kept"),
-        F.when(copies, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.sha2("kept", 256), "sha")).alias("kept_sha256"),
+        F.when(copied, F.col("n")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(copied, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(copied, hashlib.sha256(b"").hexdigest()).otherwise(F.col("sha")).alias("kept_sha256"),
+        none.alias("kept"),
     )
+    return cut.unionByName(rest).withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
-def _same_text(joined: DataFrame) -> DataFrame:
-    """row, text, chosen of rows(row, text, key, chosen) whose text has the key: rows may share a number.
+def repeats_report(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, digest, size and text of what is kept, of every row of docs.
 
-    A row may come twice, if copies share a number; they lose all bytes anyway.
+    The text is null where the bytes that are left aren't UTF-8, as cuts may fall into a character.
     """
-
-    def run(batches):
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            keep = [t is not None and xxhash.xxh3_128_digest(t) == k for t, k in zip(batch.column("text").to_pylist(), keys, strict=True)]
-            yield batch.select(["row", "text", "chosen"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("row", "text", "key", "chosen").mapInArrow(run, "row long, text binary, chosen array<int>")
-
-
-def repeats_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of what is kept, of every row of docs."""
-    return remove_repeats(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    told = remove_repeats(docs, **options)
+    text = F.try_validate_utf8(F.col("kept").cast("string")).alias("kept")
+    return told.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", text)

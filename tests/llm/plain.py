@@ -34,7 +34,7 @@ def ngram_components(rows):
 
 
 def repeats(rows, length=400):
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of rows (doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept) of rows (doc_id, text); kept is None if it isn't UTF-8."""
     texts = [(t or "").encode() for _, t in rows]
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
@@ -45,7 +45,11 @@ def repeats(rows, length=400):
                 gone[p : p + length] = [True] * length
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
-        out.append((doc, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        try:
+            text = kept.decode()
+        except UnicodeDecodeError:
+            text = None
+        out.append((doc, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(), len(kept), text))
     return out
 
 

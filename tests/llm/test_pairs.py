@@ -87,7 +87,7 @@ def repeating():
     return rows
 
 
-@pytest.mark.parametrize("wide, hot", [(False, 20_000), (True, 1)])
+@pytest.mark.parametrize("wide, hot", [(False, suffix_dedup.HOT), (True, 1)])
 def test_repeats(spark, repeating, wide, hot):
     got = [tuple(r) for r in suffix_dedup.repeats_report(frame(spark, repeating, wide).repartition(4), hot=hot).collect()]
     key = lambda r: tuple((x is None, x) for x in r)
