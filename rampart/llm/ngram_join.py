@@ -254,12 +254,14 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     rows = _signatures(docs, size, percent)
-    firsts = written(rows.where("probe is not null").groupBy("key").agg(F.min("row").alias("node")))
-    lead = rows.where("probe is not null").join(small_side(firsts.select(F.col("node").alias("row"))), "row", "left_semi")
+    probed = rows.where("probe is not null")
+    firsts = written(probed.groupBy("key").agg(F.min("row").alias("node")))
+    others = written(probed.select("row", "key").join(firsts, "key").where("row != node").select("row"))  # equal sets of different tasks
+    lead = probed.join(small_side(others), "row", "left_anti")
     ids = written(_candidates(lead.withColumnRenamed("row", "node"), percent))
     wanted = written(rows.select(F.col("row").alias("node"), "h1", "h2").join(small_side(ids), "node", "left_semi"))
     members = written(rows.select("row", "doc_id", "h1", "h2", "n", "key").join(firsts, "key", "left").drop("key"))
-    discard(rows, firsts, ids)
+    discard(rows, firsts, others, ids)
     texts = written(_texts(docs).join(small_side(wanted), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
     lists = _lists(texts, size, percent)
     compared, links, labels, heads_each = None, None, None, 1
@@ -267,15 +269,17 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         pairs, rest, heads = _round(lists, labels, heads_each, percent)
         pairs = written(_derived(pairs, compared, percent) if compared is not None else pairs)
         found = written(_compare(pairs, texts, size))
-        compared = found if compared is None else compared.union(found)
+        if compared is not None:
+            before, compared = (compared, found), written(compared.union(found))
+            discard(*before)
+        else:
+            compared = found
         rest = written(rest)
         discard(pairs, heads, lists)
         lists, heads_each = rest, heads_each * 4
-        alike = found.where(similar(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-        if not alike.isEmpty():
-            links = alike if links is None else links.union(alike)
-            discard(labels)
-            labels = written(components(links))
+        links = compared.where(similar(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+        discard(labels)
+        labels = written(components(links))
     discard(texts, wanted)
     if links is None:
         links, labels = (docs.sparkSession.createDataFrame([], s) for s in ("a long, b long", "node long, label long"))
