@@ -4,8 +4,9 @@
 2. Suffixes are sampled by content: a suffix is an anchor if its first GRAM bytes have the least hash among STRIDE
    neighbours, so equal 400-byte strings hold the same anchors wherever they start, but for their edges. Segments lie
    between anchors. Every window of 400 bytes belongs to its first anchor inside those edges.
-3. Prefix doubling: at level 0 anchors are sorted by their segment (128 bits of it) and ranked; at level k Spark sorts the
-   pairs of the ranks at an anchor and at 2**(k-1) anchors behind it, and ranks anew. An anchor whose rank is unique leaves.
+3. Prefix doubling: anchors are sorted by their first two segments (128 bits of them) and ranked; then Spark sorts the pairs
+   of the ranks at an anchor and at 2, 4, 8, ... anchors behind it, and ranks anew. An anchor whose rank is unique leaves.
+   Only equality of ranks matters, so rows are dealt by a hash of their pair and sorted where they lie.
    An anchor is past the threshold when its ranked prefix covers all windows that start before the next anchor: these are
    repeated, and nothing of them is looked at any more. Its prefix needn't be a power of two: it ends with a pair at a
    quarter of the offset.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from rampart.llm.common import discard, sliced, small_side, written
 
 #: HOT: bytes of stretches with one gram that a task may gather.
-LENGTH, GRAM, STRIDE, HOT = 400, 24, 72, 8 << 20
+LENGTH, GRAM, STRIDE, HOT = 400, 24, 75, 4 << 20
 #: One anchor of COMMON_OF is looked at for common pairs, and one that COMMON of them have is common.
 COMMON_OF, COMMON = 16, 32
 _BLOCK = 1 << 20
@@ -104,9 +105,9 @@ def anchors(data: np.ndarray) -> np.ndarray:
 
 
 def segment_names(text: bytes, places: np.ndarray) -> np.ndarray:
-    """128 bits of each segment, from an anchor through the next anchor's gram, as two columns."""
+    """128 bits of each two segments, from an anchor through the gram of the second anchor behind it, as two columns."""
     at = places.tolist()
-    digests = b"".join([xxhash.xxh3_128_digest(text[a : b + GRAM]) for a, b in zip(at[:-1], at[1:], strict=True)])
+    digests = b"".join([xxhash.xxh3_128_digest(text[a : b + GRAM]) for a, b in zip(at[:-2], at[2:], strict=True)])
     return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
@@ -149,7 +150,7 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
                 if len(text) >= length and key not in known:
                     places = anchors(np.frombuffer(text, np.uint8))
                     names = segment_names(text, places)
-                    cover, inner = covering(places, length).astype(np.int32), owned(places, len(text), length)[2][:-1].astype(np.int32)
+                    cover, inner = covering(places, length)[:-1].astype(np.int32), owned(places, len(text), length)[2][:-2].astype(np.int32)
                     made = [places.astype(np.int32), names[:, 0], names[:, 1], cover, inner, needs(cover, inner)]
                 known.add(key)
                 for c, v in zip(kinds, (len(text), key, hashlib.sha256(text).hexdigest(), *made), strict=True):
@@ -161,46 +162,52 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows whose keys another row has too, with their rank: the place of the first of equals when all are sorted by keys.
+    """rows whose keys another row has too, with their rank: the place of the first of equals when rows are sorted by keys.
 
     Keys that are common in a sample have negative ranks and meet them by broadcast; all others are sorted.
     """
     seen = rows.where(F.pmod(F.xxhash64("row", "i"), F.lit(COMMON_OF)) == 0)
     common = seen.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).select(*keys)
     common = small_side(written(common.withColumn("name", -1 - F.monotonically_increasing_id())))
-    rare = rows.join(common.drop("name"), keys, "left_anti").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rare = rows.join(common.drop("name"), keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
     equal = Window.partitionBy(*keys)
     rare = rare.withColumn("at", F.monotonically_increasing_id()).withColumns({"name": F.min("at").over(equal), "c": F.count("*").over(equal)})
     return rare.where("c > 1").drop("at", "c").unionByName(rows.join(common, keys))
 
 
 def doubled(suffixes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """(row, i) whose windows before the next anchor are repeated, (row, i) whose inner segments are, the ranks
-    (row, i, rank) at level 1, by prefix doubling over suffixes(row, i, a, b, cover, inner, need); and the tables they read."""
+    """(row, i) whose windows before the next anchor are repeated, (row, i) whose inner segments are, the first ranks
+    (row, i, rank), by prefix doubling over suffixes(row, i, a, b, cover, inner, need); and the tables they read."""
     own = ["row", "i", "cover", "inner", "need"]
-    ranks = written(_ranked(suffixes, ["a", "b"]).select(*own, F.col("name").alias("rank")))
-    made, whole, inner, second, level = [ranks], ranks.where("cover = 1").select("row", "i"), None, None, 0
+    first = written(_ranked(suffixes, ["a", "b"]).select(*own, F.col("name").alias("rank")))
+    made, whole, inner, ranks, size = [first], first.where("cover between 1 and 2").select("row", "i"), None, first, 2
     order = Window.partitionBy("row").orderBy("i")
     while True:
-        size, steps = 2**level, min(4, 2**level)
+        steps = min(4, size)
         unit = size // steps
         now = ranks.where((F.col("inner") >= size) & (F.col("inner") < 2 * size)).select("row", "i")
         inner = now if inner is None else inner.union(now)
-        if level == 1:
-            second = ranks.select("row", "i", "rank")
         ends = (F.col("cover") > size) & (F.col("cover") <= 2 * size)  # the prefix is ranked whole by one more pair
         part = F.ceil((F.col("cover") - size) / unit).cast("int")
         on = F.col("need") >= 2 * size
-        then = F.array(*(F.max("rank").over(order.rangeBetween(k * unit, k * unit)) for k in range(1, steps + 1)))
+        # an anchor between that has left was unique, and so is the longer prefix: the row `step` behind must be the anchor `step` behind
+        behind = F.array(*(F.lead(F.struct("i", "rank"), k * unit).over(order) for k in range(1, steps + 1)))
         parts = F.array_distinct(F.array_compact(F.array(F.when(ends, part), F.when(on, F.lit(steps)))))
-        pairs = ranks.withColumn("then", then).where(ends | on).withColumn("part", F.explode(parts)).withColumn("then", F.col("then")[F.col("part") - 1])
-        found = written(_ranked(pairs.where("then is not null"), ["part", "rank", "then"]))
+        pairs = ranks.withColumn("behind", behind).where(ends | on).withColumn("part", F.explode(parts)).withColumn("behind", F.col("behind")[F.col("part") - 1])
+        pairs = pairs.where(F.col("behind.i") == F.col("i") + F.col("part") * unit).withColumn("then", F.col("behind.rank")).drop("behind")
+        found = written(_ranked(pairs, ["part", "rank", "then"]))
         made.append(found)
         whole = whole.union(found.where(ends & (F.col("part") == part)).select("row", "i"))
         ranks = found.where((F.col("part") == steps) & on).select(*own, F.col("name").alias("rank"))
-        level += 1
-        if level > 1 and ranks.isEmpty():
-            return whole, inner, second, made
+        size *= 2
+        if ranks.isEmpty():
+            return whole, inner, first.select("row", "i", "rank"), made
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of numbers of a column, without nulls, as arrays."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), (ends - ends[0])[1:-1]) if len(column) else []
 
 
 def _decided(lead: DataFrame, whole: DataFrame, inner: DataFrame, length: int) -> DataFrame:
@@ -213,17 +220,17 @@ def _decided(lead: DataFrame, whole: DataFrame, inner: DataFrame, length: int) -
     def run(batches):
         for batch in batches:
             done, left = [], []
-            for n, places, whole, inner in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "whole", "inner")), strict=True):
-                places = np.array(places)
+            for n, places, whole, inner in zip(batch.column("n").to_pylist(), *(_lists(batch.column(c)) for c in ("places", "whole", "inner")), strict=True):
                 sure = np.zeros(len(places), bool)
-                sure[np.array(whole, int)] = True
+                sure[whole] = True
                 sure[-1] = False
                 done.append([{"first": int(places[a]), "last": int(places[b]) - 1} for a, b in zip(*_runs(sure), strict=True)])
+                places = places.astype(np.int64)
                 first, last, _ = owned(places, n, length)
                 before = np.concatenate(([0], np.cumsum(~sure)))
                 low, high = np.searchsorted(places, first, "right") - 1, np.searchsorted(places, last, "right") - 1
                 shut = (low >= 0) & (before[high + 1] == before[np.maximum(low, 0)])
-                left.append([i for i in inner if not shut[i] and last[i] >= first[i]])
+                left.append(inner[~shut[inner] & (last[inner] >= first[inner])])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(done, spans), pa.array(left, ints), batch.column("inner")], names=["row", "done", "open", "inner"])
 
     rows = lead.select("row", "n", "places").join(by_row, "row").select("row", "n", "places", "whole", "inner")
@@ -237,10 +244,10 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in sliced(batches, "text"):
             out = [], [], [], []
-            for row, text, places, chosen in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "places", "chosen")), strict=True):
+            for row, text, places, chosen in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), _lists(batch.column("places")), _lists(batch.column("chosen")), strict=True):
                 data = np.frombuffer(text, np.uint8)
-                first, last, _ = owned(np.array(places), len(text), length)
-                chosen = np.sort(np.array(chosen))
+                first, last, _ = owned(places.astype(np.int64), len(text), length)
+                chosen = np.sort(chosen)
                 want = np.zeros(len(text) - length + 2, np.int32)
                 np.add.at(want, first[chosen], 1)
                 np.add.at(want, last[chosen] + 1, -1)
@@ -299,7 +306,7 @@ def _equal_in_task(stretches: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         rows, starts, pieces, held, gram = [], [], [], 0, None
-        for batch in batches:
+        for batch in sliced(batches, "bytes"):
             for row, start, g, piece in zip(*(batch.column(c).to_pylist() for c in ("row", "start", "gram", "bytes")), strict=True):
                 if g != gram and held > _BLOCK:
                     yield flush(rows, starts, pieces)
@@ -333,16 +340,16 @@ def _equal_by_rows(stretches: DataFrame, length: int) -> DataFrame:
 
 def _cut(rows: DataFrame, cover: DataFrame, length: int) -> DataFrame:
     """rows(row, ...) that lose bytes, with n_removed, n_spans and kept instead of text."""
-    by_row = cover.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("cover"))
+    by_row = cover.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("c")).select("row", F.col("c.first").alias("first"), F.col("c.last").alias("last"))
     more = ["doc_id", "n", "copies"]
 
     def run(batches):
         for batch in sliced(batches, "text"):
             out = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
+            for text, first, last in zip(batch.column("text").to_pylist(), _lists(batch.column("first")), _lists(batch.column("last")), strict=True):
                 gone = np.zeros(len(text) + 1, np.int32)
-                np.add.at(gone, [s["first"] for s in spans], 1)
-                np.add.at(gone, [s["last"] + length for s in spans], -1)
+                np.add.at(gone, first, 1)
+                np.add.at(gone, last + length, -1)
                 lost = np.cumsum(gone[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
                 for k, v in zip(out, (int(lost.sum()), len(_runs(lost)[0]), kept), strict=True):
@@ -350,7 +357,7 @@ def _cut(rows: DataFrame, cover: DataFrame, length: int) -> DataFrame:
             kinds = pa.int64(), pa.int64(), pa.binary()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=[*more, "n_removed", "n_spans", "kept"])
 
-    return rows.join(by_row, "row").select(*more, "text", "cover").mapInArrow(run, "doc_id long, n long, copies long, n_removed long, n_spans long, kept binary")
+    return rows.join(by_row, "row").select(*more, "text", "first", "last").mapInArrow(run, "doc_id long, n long, copies long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -361,13 +368,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     of each other, whatever their ids; other columns are left out; an empty table gives no rows. Texts may be of any
     length and periodic.
     """
-    if length < 3 * STRIDE + GRAM:
-        raise ValueError(f"length must be {3 * STRIDE + GRAM} at least")
+    if length < 5 * STRIDE + GRAM - 3:  # so that every window holds two segments behind its anchor
+        raise ValueError(f"length must be {5 * STRIDE + GRAM - 3} at least")
     rows = _signatures(docs, length)
     long = rows.where(F.col("n") >= length)
-    classes = written(long.groupBy("key").agg(F.count("row").alias("copies"), F.min(F.when(F.col("places").isNotNull(), F.col("row"))).alias("node")))
-    nodes = small_side(classes.select(F.col("node").alias("row")))
-    lead = rows.where("places is not null").join(nodes, "row", "left_semi")
+    named = F.when(F.col("places").isNotNull(), F.col("row"))
+    classes = long.groupBy("key").agg(F.count("row").alias("copies"), F.min(named).alias("node"), F.count(named).alias("named"))
+    classes = written(classes.where("copies > 1"))
+    again = long.where("places is not null").select("row", "key").join(small_side(classes.where("named > 1")), "key").where("row != node").select("row")
+    lead = rows.where("places is not null").join(small_side(written(again)), "row", "left_anti")  # one of each class, of whatever task
     suffixes = lead.select("row", F.posexplode(F.arrays_zip("a", "b", "cover", "inner", "need")).alias("i", "s")).select("row", "i", "s.*")
     whole, inner, second, made = doubled(suffixes)
     told = written(_decided(lead, whole, inner, length))
@@ -388,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     cover = written(cover.union(told.select("row", F.explode("done").alias("d")).select("row", "d.*")))
     discard(chosen, stretches, told)
     ids = small_side(written(cover.select("row").distinct()))
-    all_ = rows.select("row", "doc_id", "n", "key", "sha", "text").join(small_side(classes.where("copies > 1").select("key", "copies")), "key", "left")
+    all_ = rows.select("row", "doc_id", "n", "key", "sha", "text").join(small_side(classes.select("key", "copies")), "key", "left")
     copied = F.col("copies").isNotNull()
     lost = all_.where(~copied).join(ids, "row", "left_semi").select("row", "doc_id", "n", "copies", "text")
     cut = _cut(lost, cover, length).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
