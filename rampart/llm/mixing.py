@@ -1,140 +1,138 @@
 """Mixing to target weights: soft domain membership, and document rates fitted by projected gradient least squares.
 
-A classifier learnt from a labelled table gives each document posteriors over domains: naive Bayes on binned counts of
-characters. Its bins, CELLS at most in all, also decide the posteriors, so documents of one cell share a rate, and the
-fit works on token sums by cell, whose number doesn't grow with the documents. The rates r >= 0 minimise
+A multinomial logistic regression over hashed words, learnt from a labelled table, gives each document posteriors p over
+domains. Every document has a rate r >= 0 of its own; the rates minimise, from r = 1 on,
 
-    sum over domains k of (T_k(r) - t_k)^2 / (t_k S)  +  pull * sum over documents of n/S (r - 1)^2,
+    sum over domains k of (T_k(r) - t_k)^2 / s_k,      T_k(r) = sum over documents of (tokens / all tokens) r p_k,
 
-T_k(r) the expected tokens of domain k, t_k its target and S all tokens. The sums of the cells, CELLS rows at most, come
-to the driver; every step there takes T_k over the cells and projects the moved rates onto r >= 0, until the projected
-gradient is NEAR 0. Rates have no upper bound unless `most` gives one. A document is then taken floor(r) times, and once
-more by a draw of probability r - floor(r) that its id decides. Over documents only DataFrame functions run.
+t_k the target share and s_k the larger of t_k and FLOOR. A step moves each rate against its gradient, the sum over k of
+p_k (T_k - t_k) / s_k, and projects it onto r >= 0 (and r <= most, if that is asked for). It reads the documents once and
+brings back one sum for each domain and the length of the step, which choose the next step's pace (Barzilai and Borwein's,
+held down where the error would grow). Rates follow from p by the paces and gradients of all steps, so nothing is written
+between most steps. A document is then taken floor(r) times, and once more by a draw of probability r - floor(r) that
+its id decides. Over documents only DataFrame functions and Spark ML's own transformers run.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import inf, isfinite, log
+from math import inf, isfinite
 from operator import add
 
-import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import free_name, written
+from rampart.llm.common import discard, free_name, written
 
 #: Shares of tokens by domain: languages, and texts labelled as poor.
 TARGETS = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10, "poor": 0.0}
-#: Patterns whose counts are binned, each per 256 characters, and the upper ends of the bins.
-MARKS = (
-    ("[äöüßÄÖÜ]", (0, 2, 6, 14)),
-    ("[ñóíáúÑÓÍ]", (0, 2, 6, 14)),
-    ("[éèêçàùôî]", (0, 2, 6, 14)),
-    ("[A-Z]", (2, 8, 32)),
-    ("[|!#$%&*]", (0, 4, 16)),
-)
-LENGTHS = (3.6, 4.6, 5.6)
-CELLS = 5**3 * 4**3
-#: NEAR: the largest entry of the projected gradient at the end. STEPS is never met before: a fit that would is an error.
-PULL, MOST, STEPS, NEAR = 0.02, inf, 1_000_000, 1e-10
-_FLOOR = 0.05
-
-
-def tokens(text: Column) -> Column:
-    """Words of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def bins(text: Column, n_tokens: Column) -> Column:
-    """The cell of a text as an array of small numbers; all 0 for null and empty texts."""
-    size = F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1))
-
-    def place(x: Column, ends) -> Column:
-        return reduce(add, [(x > end).cast("int") for end in ends])
-
-    own = [place(F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) * 256.0 / size, ends) for p, ends in MARKS]
-    mean = F.coalesce(F.length(text), F.lit(0)) / F.greatest(n_tokens, F.lit(1)) - 1
-    return F.array(*own, place(mean, LENGTHS))
-
-
-def _bins_of() -> list[int]:
-    return [len(ends) + 1 for _, ends in MARKS] + [len(LENGTHS) + 1]
-
-
-def learn(cells: DataFrame) -> dict:
-    """Log prior and log likelihoods by bin of each domain, from rows (domain, bins); unseen pairs count as one."""
-    counts: dict = {}
-    for r in cells.select("domain", F.posexplode("bins").alias("f", "bin")).groupBy("domain", "f", "bin").count().collect():
-        counts.setdefault(r.domain, {})[r.f, r.bin] = r["count"]
-    sizes = {k: sum(c for (f, _), c in own.items() if f == 0) for k, own in counts.items()}
-    total = sum(sizes.values())
-    return {
-        k: (log((sizes[k] + 1) / (total + len(counts))), [[log((own.get((f, b), 0) + 1) / (sizes[k] + n)) for b in range(n)] for f, n in enumerate(_bins_of())])
-        for k, own in sorted(counts.items())
-    }
-
-
-def posteriors(cells: DataFrame, model: dict, domains: list[str]) -> DataFrame:
-    """cells(bins, n) with soft: probabilities of the domains in their order, even where no domain was learnt."""
-    if not model:
-        return cells.withColumn("soft", F.array(*(F.lit(1.0 / len(domains)) for _ in domains)))
-
-    def logs(k: str) -> Column:
-        if k not in model:
-            return F.lit(-1e3)
-        prior, rows = model[k]
-        return reduce(add, [F.lit(prior), *(F.array(*map(F.lit, row))[F.col("bins")[f]] for f, row in enumerate(rows))])
-
-    odds = written(cells.select("bins", "n", *(logs(k).alias(f"l{i}") for i, k in enumerate(domains))))
-    own = [f"l{i}" for i in range(len(domains))]
-    weights = written(odds.select("bins", "n", *(F.exp(F.col(c) - F.greatest(*own, F.lit(-1e4))).alias(c) for c in own)))
-    whole = reduce(add, map(F.col, own))
-    return weights.select("bins", "n", F.array(*(F.col(c) / whole for c in own)).alias("soft"))
-
-
-def rate(errors: list[float], soft: Column, pull: float = PULL, most: float = MOST) -> Column:
-    """The rate that errors, the gradient by domain at the end of the fit, leave no reason to move."""
-    if not errors:
-        return F.lit(1.0)
-    slope = reduce(add, [soft[k] * F.lit(e) for k, e in enumerate(errors)])
-    r = F.greatest(1 - slope / pull, F.lit(0.0))
-    return F.least(r, F.lit(most)) if isfinite(most) else r
-
-
-def fit(cells: DataFrame, targets: dict[str, float], pull: float = PULL, most: float = MOST, steps: int = STEPS, near: float = NEAR) -> list[float]:
-    """The gradient by domain where the descent ends, from rows (soft, n): posteriors and token sums of the cells."""
+#: SAMPLE: labelled documents that the classifier is fitted on, at most about so many, chosen by a hash of their ids.
+SAMPLE, BUCKETS, PENALTY, ROUNDS = 4000, 1 << 14, 1e-4, 30
+#: The fit ends when the projected gradient is NEAR 0 or after STEPS; FLOOR bounds the weight of small targets; after CUT
+#: steps the rates so far are written.
+NEAR, STEPS, FLOOR, CUT, MOST = 1e-6, 60, 0.02, 12, inf
+Steps = list[tuple[float, list[float]]]
+
+
+def words(text: Column) -> Column:
+    """Lower-cased words of a text; none for null."""
+    split = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+")
+    return F.filter(split, lambda w: w != "")
+
+
+def _features(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with two columns: the words of each whole text, and their hashed counts as a vector of length 1."""
+    w, counts = free_name(docs, "words"), free_name(docs, "counts")
+    told = HashingTF(numFeatures=BUCKETS, inputCol=w, outputCol=counts).transform(docs.withColumn(w, words(F.col(f"`{text_col}`"))))
+    unit = free_name(told, "unit")
+    return Normalizer(p=2.0, inputCol=counts, outputCol=unit).transform(told).drop(counts), w, unit
+
+
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> LogisticRegressionModel | list[float]:
+    """A classifier of documents into domains, or fixed posteriors where the labels name one domain only, or none."""
+    known = labelled.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    known = written(known)
+    counts = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
+    if len(counts) < 2:
+        return [1.0 / len(domains) if not counts else float(k in counts) for k in domains]
+    share = min(1.0, sample / sum(counts.values()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # SAMPLE rows
+    place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
+    rows, _, unit = _features(own.withColumn("label", place.cast("double")))
+    logistic = LogisticRegression(family="multinomial", featuresCol=unit, regParam=PENALTY, maxIter=ROUNDS, standardization=False)
+    return logistic.fit(rows.select("label", unit))
+
+
+def with_posteriors(docs: DataFrame, model: LogisticRegressionModel | list[float], domains: list[str], tokens: str, soft: str) -> DataFrame:
+    """docs with the number of each text's words, and an array of the probabilities of the domains in their order."""
+    told, w, unit = _features(docs)
+    told = told.withColumn(tokens, F.size(w).cast("long"))
+    if isinstance(model, list):
+        return told.withColumn(soft, F.array(*map(F.lit, model))).drop(w, unit)
+    p = free_name(told, "probability")
+    told = model.copy().setFeaturesCol(unit).setProbabilityCol(p).setRawPredictionCol("").setPredictionCol("").transform(told)
+    rest = F.array_repeat(F.lit(0.0), len(domains) - model.numClasses)
+    return told.withColumn(soft, F.concat(vector_to_array(p), rest)).drop(w, unit, p)
+
+
+def rate(soft: Column, steps: Steps, start: Column | None = None, most: float = MOST) -> Column:
+    """The rate that the steps lead to, from 1 or from `start`."""
+    r = F.lit(1.0) if start is None else start
+    for pace, slope in steps:
+        r = F.greatest(r - pace * reduce(add, [soft[k] * e for k, e in enumerate(slope)]), F.lit(0.0))
+        r = F.least(r, F.lit(most)) if isfinite(most) else r
+    return r
+
+
+def fit(rows: DataFrame, targets: dict[str, float], most: float = MOST, steps: int = STEPS, near: float = NEAR) -> Steps:
+    """The steps of the descent over rows(n, soft): tokens and posteriors of each document."""
     whole = sum(targets.values())
     if not targets or min(targets.values()) < 0 or whole <= 0:
         raise ValueError("targets must be nonnegative and some of them positive")
-    want = np.array([w / whole for w in targets.values()])
-    scale = np.maximum(want, _FLOOR)
-    rows = cells.select("soft", "n").collect()
-    n = np.array([r.n or 0 for r in rows], dtype=float)
-    total = n.sum()
+    want = [w / whole for w in targets.values()]
+    scale = [max(w, FLOOR) for w in want]
+    ks = range(len(want))
+    total = rows.agg(F.sum("n")).first()[0] or 0
     if not total:
         return []
-    soft = np.array([r.soft for r in rows], dtype=float)
-    mass = soft * (n / total)[:, None]
-    pace = 1 / ((mass.sum(0) / scale).max() + pull)
-    r = np.ones(len(rows))
-    for _ in range(steps):
-        e = (r @ mass - want) / scale
-        slope = soft @ e + pull * (r - 1)
-        if np.abs(r - np.clip(r - slope, 0, most)).max() <= near:
-            return [float(x) for x in e]
-        r = np.clip(r - pace * slope, 0, most)
-    raise RuntimeError(f"the rates have not settled to {near} in {steps} steps")
 
-
-def fitted_cells(rows: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """bins, soft, rate of the cells that rows(doc_id, bins, n) have: CELLS rows at most, so small enough to broadcast."""
-    domains = list(targets)
-    known = labelled.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    model = learn(rows.join(known, "doc_id").select("domain", "bins"))
-    cells = written(posteriors(rows.groupBy("bins").agg(F.sum("n").alias("n")), model, domains).coalesce(1))
-    errors = fit(cells, targets)
-    return written(cells.select("bins", "soft", F.round(rate(errors, F.col("soft")), 9).alias("rate")))
+    base, since, done, made = rows.select("n", "soft", F.lit(1.0).alias("r")), [], [], None
+
+    def after(pending: Steps) -> tuple[list[float], float]:
+        """Shares of the domains after the pending steps, and the squared length of the last of them."""
+        moved = base.select("n", "soft", rate(F.col("soft"), pending[:-1], F.col("r"), most).alias("was"))
+        moved = moved.select("n", "soft", "was", rate(F.col("soft"), pending[-1:], F.col("was"), most).alias("r"))
+        sums = [F.sum(F.col("n") * F.col("r") * F.col("soft")[k]) for k in ks]
+        row = moved.agg(*sums, F.sum(F.col("n") * (F.col("r") - F.col("was")) * (F.col("r") - F.col("was")))).first()
+        return [row[k] / total for k in ks], row[len(want)] / total
+
+    error = lambda t: sum((t[k] - want[k]) ** 2 / scale[k] for k in ks)
+    slopes = lambda t: [round((t[k] - want[k]) / scale[k], 12) for k in ks]
+    shares, _ = after([(0.0, [0.0] * len(want))])
+    sure = 1 / max(shares[k] / scale[k] for k in ks)  # a pace that never lets the error grow
+    pace, slope, last = sure, slopes(shares), [error(shares)]
+    for _ in range(steps):
+        now, length = after([*since, (pace, slope)])
+        if error(now) > max(last[-4:]) * (1 + 1e-9) and pace > sure:
+            pace = sure
+            continue
+        since.append((pace, slope))
+        if length**0.5 <= near * pace:
+            break
+        curve = sum((slopes(now)[k] - slope[k]) * (now[k] - shares[k]) for k in ks)
+        shares, slope = now, slopes(now)
+        last.append(error(now))
+        pace = float(f"{max(sure, length / curve if curve > 0 else sure):.12g}")
+        if len(since) == CUT:
+            before, made = made, written(base.select("n", "soft", rate(F.col("soft"), since, F.col("r"), most).alias("r")))
+            discard(before)
+            base, done, since = made, done + since, []
+    discard(made)
+    return done + since
 
 
 def copies(r: Column, *key: Column) -> Column:
@@ -150,22 +148,20 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("doc_id", F.when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, F.col("lang")).alias("domain"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text).alias("n"), text.alias("text"))
-    return own.select("doc_id", "n", bins(F.col("text"), F.col("n")).alias("bins"))
-
-
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), rate, copies of every row of docs(doc_id, text).
 
     labelled: (doc_id, domain), of which domains outside the targets are left out, and the first counts if a document
-    has several. Texts that are null or empty have no tokens but get their cell's rate; repeated rows get the same
-    rate and draw. Without labels posteriors are even; without tokens all rates are 1.
+    has several. Texts that are null or empty have no tokens, don't count in the fit, and get a rate like others; equal
+    rows get the same rate and draw; ties between domains go to the first; other columns are left out. Without labels
+    posteriors are even; without tokens all rates are 1.
     """
-    rows = written(_rows(docs))
-    p, names = F.col("soft"), F.array(*map(F.lit, targets))
-    return rows.join(F.broadcast(fitted_cells(rows, labelled, targets)), "bins").select(
+    domains = list(targets)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(with_posteriors(own, learn(own, labelled, domains), domains, "n", "soft").select("doc_id", "n", "soft"))
+    p, names = F.col("soft"), F.array(*map(F.lit, domains))
+    told = rows.withColumn("rate", F.round(rate(p, fit(rows, targets, most), most=most), 9))
+    return told.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         names[F.array_position(p, F.array_max(p)).cast("int") - 1].alias("domain"),
@@ -174,13 +170,13 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     )
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> DataFrame:
     """The rows of docs, each as often as its rate and draw say, with their own columns."""
-    cells = fitted_cells(written(_rows(docs)), labelled, targets)
-    n, own, r, times = (free_name(docs, c) for c in ("n", "bins", "rate", "times"))
-    text = F.col("text").cast("string")
-    told = docs.withColumn(n, tokens(text)).withColumn(own, bins(text, F.col(n)))
-    told = told.join(F.broadcast(cells.select(F.col("bins").alias(own), F.col("rate").alias(r))), own)
-    told = told.withColumn(times, copies(F.col(r), F.col("doc_id").cast("long"), F.col(n)))
+    domains = list(targets)
+    n, soft, times = (free_name(docs, c) for c in ("n", "soft", "times"))
+    told = written(with_posteriors(docs, learn(docs, labelled, domains), domains, n, soft))
+    steps = fit(told.select(F.col(n).alias("n"), F.col(soft).alias("soft")), targets, most)
+    r = F.round(rate(F.col(soft), steps, most=most), 9)
+    told = told.withColumn(times, copies(r, F.col("doc_id").cast("long"), F.col(n)))
     again = told.where(F.col(times) > 0).withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(times))))
     return again.select(*(F.col(f"`{c}`") for c in docs.columns))
