@@ -3,7 +3,8 @@
 A text's profile is the hashed counts of two- and three-byte strings of the whole text, case and marks left out. Linear
 support vector machines tell families from one another, and then, one versus one, the languages of the family; votes
 decide, then margins. They are fitted on the driver on at most SAMPLE labelled texts of each language, chosen by a hash
-of their ids; only their profiles are gathered.
+of their ids, and GATHERED texts of all; only their profiles are gathered. Languages that the table of families doesn't name
+are put together by their mean profiles, into MOST_FAMILIES families at most, so that machines don't grow with all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 from rampart.llm.common import sliced
 
 SIZE, SAMPLE, UNKNOWN = 1024, 1500, "und"
-#: Language families by ISO 639-1 codes. Other languages are families of their own.
+GATHERED, MOST_FAMILIES = 60_000, 12
+#: Language families by ISO 639-1 codes.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
@@ -72,23 +74,36 @@ def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, batch: int = 64,
     return mean
 
 
-def family_of(lang: str) -> str:
-    return next((f for f, own in FAMILIES.items() if lang in own), f"only {lang}")
+def families(langs: list[str], profiles: np.ndarray) -> dict[str, str]:
+    """The family of each language: as the table says, else with the nearest of a few far apart, by mean profile."""
+    named = {lang: family for family, own in FAMILIES.items() for lang in own}
+    own = np.array(langs)
+    other = sorted(set(langs) - set(named))
+    means = {lang: profiles[own == lang].mean(axis=0) for lang in other}
+    seeds = other[:1]
+    away = {lang: np.inf for lang in other}
+    while len(seeds) < min(len(other), MOST_FAMILIES - len(FAMILIES)):
+        for lang in other:
+            away[lang] = min(away[lang], float(((means[lang] - means[seeds[-1]]) ** 2).sum()))
+        seeds.append(max(other, key=lambda lang: (away[lang], lang)))
+    near = {lang: min(seeds, key=lambda s, lang=lang: (float(((means[lang] - means[s]) ** 2).sum()), s)) for lang in other}
+    return {lang: named.get(lang) or f"like {near[lang]}" for lang in set(langs)}
 
 
 def fit(langs: list[str], profiles: np.ndarray) -> dict:
     """Machines by pair of families and by pair of languages of one family."""
+    family_of = families(langs, profiles)
     langs_of: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
-        langs_of.setdefault(family_of(lang), []).append(lang)
+        langs_of.setdefault(family_of[lang], []).append(lang)
     own = np.array(langs)
-    families = np.array([family_of(x) for x in langs])
+    kinds = np.array([family_of[x] for x in langs])
 
     def machine(kind, a, b):
         both = (kind == a) | (kind == b)
         return linear_svm(profiles[both], np.where(kind[both] == a, 1.0, -1.0))
 
-    pairs = {(a, b): machine(families, a, b) for a, b in combinations(sorted(langs_of), 2)}
+    pairs = {(a, b): machine(kinds, a, b) for a, b in combinations(sorted(langs_of), 2)}
     within = {(a, b): machine(own, a, b) for some in langs_of.values() for a, b in combinations(some, 2)}
     return {"languages": langs_of, "families": pairs, "within": within}
 
@@ -129,14 +144,10 @@ def held_out(doc_id: Column) -> Column:
 def _sample(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
     """Languages and profiles of at most `most` texts of each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    counts = {r.lang: r.c for r in rows.groupBy("lang").agg(F.count("*").alias("c")).collect()}
-    if not counts:
-        return [], np.zeros((0, SIZE), np.float32)
-    share = F.lit(0)
-    for lang, c in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 0.9 * most / c) * (1 << 20))).otherwise(share)
-    chosen = rows.where(draw < share).select("lang", F.col("text").cast("string").cast("binary").alias("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("c"))
+    each = max(1, min(most, GATHERED // max(1, counts.count())))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), 0.9 * each / F.col("c")) * (1 << 30)
+    chosen = rows.join(F.broadcast(counts), "lang").where(draw).select("lang", F.col("text").cast("string").cast("binary").alias("text"))  # a row for each language
 
     def run(batches):
         for batch in sliced(batches, "text"):
@@ -145,7 +156,7 @@ def _sample(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
             made = pa.array([profile(t).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), made], names=["lang", "profile"]).filter(good)
 
-    got = chosen.mapInArrow(run, "lang string, profile binary").limit(most * len(counts)).toArrow()
+    got = chosen.mapInArrow(run, "lang string, profile binary").toArrow()
     x = np.frombuffer(b"".join(got["profile"].to_pylist()), np.float32).reshape(-1, SIZE)
     return got["lang"].to_pylist(), x
 
