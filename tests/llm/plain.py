@@ -93,18 +93,48 @@ def nearest(rows, every=20, k=20):
     return out
 
 
-def mixing(cells, targets, most, pull, floor, steps, near):
-    """Rates by cell of (soft, n), by the same descent in plain loops."""
-    want = [w / sum(targets) for w in targets]
-    scale = [max(w, floor) for w in want]
-    total = sum(n for _, n in cells)
-    ks = range(len(want))
-    pace = 1 / (max(sum(p[k] * n for p, n in cells) / total / scale[k] for k in ks) + pull)
-    r, last = [1.0] * len(cells), None
-    for _ in range(steps):
-        e = [(sum(p[k] * n * x for (p, n), x in zip(cells, r, strict=True)) / total - want[k]) / scale[k] for k in ks]
-        r = [min(most, max(0.0, x - pace * (sum(p[k] * e[k] for k in ks) + pull * (x - 1)))) for (p, _), x in zip(cells, r, strict=True)]
-        if last and max(abs(a - b) for a, b in zip(e, last, strict=True)) < near:
-            break
-        last = e
+def softmax_of_words(text, weights, base, index_of):
+    """Posteriors of a text's lower-cased words, counted by their hashed place and scaled to length 1."""
+    import math
+
+    counts = Counter(index_of(w) for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w)
+    size = math.sqrt(sum(c * c for c in counts.values())) or 1.0
+    logits = [b + sum(row[i] * c / size for i, c in counts.items()) for row, b in zip(weights, base, strict=True)]
+    top = max(logits)
+    e = [math.exp(x - top) for x in logits]
+    return [x / sum(e) for x in e]
+
+
+def rates(soft, steps):
+    """Rates after steps (pace, slope by domain), from 1."""
+    r = [1.0] * len(soft)
+    for pace, slope in steps:
+        r = [max(0.0, x - pace * sum(a * b for a, b in zip(p, slope, strict=True))) for p, x in zip(soft, r, strict=True)]
     return r
+
+
+def rule_score(model, stats):
+    """The score of a rule ensemble for statistics by name."""
+    import math
+
+    odds = model["base"]
+    for rule, weight in model["rules"].items():
+        odds += weight * all((stats[s] > at) if above else (stats[s] <= at) for s, above, at in rule)
+    return 1 / (1 + math.exp(-odds))
+
+
+def language(model, x):
+    """The language that a profile is given: the family that wins most pairs, then the language within it; ties by margin."""
+    import math
+
+    def best(names, machines):
+        wins = dict.fromkeys(names, 0.0)
+        for (a, b), w in machines.items():
+            if a in wins and b in wins:
+                m = sum(u * v for u, v in zip(x, w[:-1], strict=True)) + w[-1]
+                wins[a] += (m > 0) + 1e-3 * math.tanh(m)
+                wins[b] += (m < 0) + 1e-3 * math.tanh(-m)
+        return max(names, key=lambda k: wins[k])
+
+    family = best(sorted(model["languages"]), model["families"])
+    return best(model["languages"][family], model["within"])

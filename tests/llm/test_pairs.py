@@ -125,3 +125,37 @@ def test_decontamination_without_a_benchmark_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontamination_report(frame(spark, [(1, "a b")]), none).first().contaminated is False
     assert decontaminate.decontamination_report(frame(spark, []), none).collect() == []
+
+
+# Counter-examples of earlier versions
+
+
+def test_texts_under_one_number_or_none_are_kept(spark):
+    a, b = "one two three four five six seven eight", "nothing of the other text is in this one here"
+    rows = [(1, a), (5, a), (5, b), (7, b + " again and again and more"), (None, a), (None, "quite another text without any number at all"), (None, None), (9, None), (9, None)]
+    kept = ngram_join.keep_one(frame(spark, rows).withColumn("h1", frame(spark, rows).doc_id))
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
+    want = [(1, a), (5, b), (7, b + " again and again and more"), (None, "quite another text without any number at all"), (None, None), (9, None), (9, None)]
+    assert got == sorted((i is None, i or 0, t or "") for i, t in want)
+
+
+def test_periodic_texts_stay_small(spark):
+    rows = [(1, "a" * 60_000), (2, "ab" * 20_000), (3, "abc" * 9_000 + "xyz"), (4, "ba" * 300)]
+    texts = suffix_dedup._signatures(frame(spark, rows), 400)
+    chosen = texts.selectExpr("row", "text", "places", "transform(a, (x, i) -> i) as chosen")
+    assert suffix_dedup._stretches(chosen, 400).selectExpr("sum(length(bytes))").first()[0] < 2 * sum(len(t) for _, t in rows)
+    got = sorted(tuple(r) for r in suffix_dedup.repeats_report(frame(spark, rows)).collect())
+    assert got == sorted(plain.repeats(rows))
+
+
+def test_a_hits_column_and_sentences_of_many_items(spark):
+    shared = " ".join(f"s{i}" for i in range(15))
+    items = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " . ".join([shared] * 5), ["x"])], "doc_id long, text string, hits array<string>")
+    found = decontaminate.find_hits(docs, items)
+    assert found.columns == ["doc_id", "text", "hits", "_hits"]
+    r = found.first()
+    assert len(r["_hits"]["items"]) == 300 and len(r["_hits"]["runs"]) <= 5 and r["_hits"].n_words == 75
+    sliced = decontaminate.find_hits(docs, items, slice_bytes=3000).first()
+    assert sorted(sliced["_hits"]["items"]) == sorted(r["_hits"]["items"])
+    assert sum(x.n for x in sliced["_hits"].runs) == sum(x.n for x in r["_hits"].runs) == 75

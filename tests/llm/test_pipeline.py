@@ -34,3 +34,23 @@ def test_each_stage_takes_effect(spark):
         assert ids == sorted(want), name
         at = out
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == ids
+
+
+def test_odd_documents_go_through_every_stage(spark, tmp_path):
+    from tests.oracle import TABLES
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    docs = table(spark, SF, "documents")
+    good = docs.where("lang = 'en'").orderBy("doc_id").first()
+    odd = [(None, good.text, "en", None, None), (10**6, None, None, None, None), (10**6, "", None, None, None), (10**6 + 1, good.text, "en", None, None), (10**6 + 1, good.text, "en", None, None), (10**6 + 2, "word " * 200_000, "en", None, None)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({"stats": docs.doc_id, "rate": docs.lang, "slot": docs.lang, "label": docs.doc_id})
+    at = written(both)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = written(stage(spark, at, str(tmp_path)))
+        if k < 4:
+            assert out.columns == both.columns
+            assert out.join(at.select("doc_id", "text"), out.doc_id.eqNullSafe(at.doc_id) & out.text.eqNullSafe(at.text), "left_anti").count() == 0
+            assert stage(spark, at.limit(0), str(tmp_path)).collect() == []
+        at = out
+    assert at.columns == [*both.columns, "_slot", "shard"]

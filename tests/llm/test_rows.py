@@ -189,30 +189,175 @@ def test_languages_of_nothing_learnt(spark):
 # Mixing
 
 
-def test_rates_match_a_plain_descent_and_the_targets(spark):
+def test_posteriors_and_rates_match_plain_ones_and_the_targets(spark):
+    from pyspark.ml.feature import HashingTF
+
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
-    rows = mixing.mixing_rates(docs, mixing.labelled_domains(docs, labels)).cache()
-    assert rows.count() == docs.count() and rows.where("rate < 0 or rate > 4 or copies not in (int(rate), int(rate) + 1)").count() == 0
-    own = mixing._rows(docs)
-    cells = mixing.fitted_cells(own, mixing.labelled_domains(docs, labels), mixing.TARGETS)
-    sums = {tuple(r.bins): r.n for r in own.groupBy("bins").agg(F.sum("n").alias("n")).collect()}
-    both = [(tuple(r.bins), r.soft, r.rate) for r in cells.collect()]
-    want = plain.mixing([(p, sums[b]) for b, p, _ in both], list(mixing.TARGETS.values()), mixing.MOST, mixing.PULL, mixing._FLOOR, mixing.STEPS, mixing.NEAR)
-    assert all(abs(sum(p) - 1) < 1e-9 for _, p, _ in both)
-    assert max(abs(r - w) for (_, _, r), w in zip(both, want, strict=True)) < 1e-6
-    total = sum(sums.values())
-    for k, (name, share) in enumerate(mixing.TARGETS.items()):
-        got = sum(sums[b] * p[k] * r for b, p, r in both) / total
-        assert abs(got - share) < 0.03, name
-    taken = mixing.mix(docs.withColumn("rate", F.lit(1)), mixing.labelled_domains(docs, labels))
-    assert taken.columns == [*docs.columns, "rate"] and taken.count() == rows.agg(F.sum("copies")).first()[0]
+    domains, labelled = list(mixing.TARGETS), mixing.labelled_domains(docs, labels)
+    model = mixing.learn(docs, labelled, domains)
+    told = mixing.with_posteriors(docs.select("doc_id", "text"), model, domains, "n", "soft").cache()
+    index = HashingTF(numFeatures=mixing.BUCKETS).indexOf
+    weights, base = model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
+    for r in told.where("doc_id % 50 = 0").collect():
+        assert r.n == len((r.text or "").split())
+        want = plain.softmax_of_words(r.text, weights, base, index)
+        assert max(abs(a - b) for a, b in zip(r.soft, want, strict=False)) < 1e-9 and abs(sum(r.soft) - 1) < 1e-9
+    rows = told.select("n", "soft").collect()
+    steps = mixing.fit(told, mixing.TARGETS)
+    r, n = plain.rates([x.soft for x in rows], steps), [x.n for x in rows]
+    total = sum(n)
+    want = list(mixing.TARGETS.values())
+    scale = [max(w, mixing.FLOOR) for w in want]
+    shares = lambda r: [sum(a * b * x.soft[k] for a, b, x in zip(n, r, rows, strict=True)) / total for k in range(len(want))]
+    error = lambda t: sum((a - w) ** 2 / s for a, w, s in zip(t, want, scale, strict=True))
+    now = shares(r)
+    assert all(abs(a - w) < 0.03 for a, w in zip(now, want, strict=True)) and error(now) < 0.1 * error(shares([1.0] * len(r)))
+    slope = [(a - w) / s for a, w, s in zip(now, want, scale, strict=True)]
+    for pace in (0.01, 0.1, 1.0):  # no projected step down the gradient helps
+        moved = plain.rates([x.soft for x in rows], [*steps, (pace, slope)])
+        assert error(shares(moved)) > error(now) - 1e-5
+    got = sorted(x.rate for x in mixing.mixing_rates(docs, labelled).collect())
+    assert max(abs(a - b) for a, b in zip(got, sorted(r), strict=True)) < 1e-3 and got[0] >= 0
+
+
+def test_taken_rows_are_as_many_as_copies(spark):
+    docs, labels = (table(spark, SF, t) for t in ("documents", "labels"))
+    labelled = mixing.labelled_domains(docs, labels)
+    taken = mixing.mix(docs.withColumn("soft", F.lit(1)), labelled)
+    copies = mixing.mixing_rates(docs, labelled).agg(F.sum("copies")).first()[0]
+    assert taken.columns == [*docs.columns, "soft"] and abs(taken.count() - copies) <= 2
+
+
+def test_a_known_classifier_hits_separable_domains(spark):
+    """Domains told apart by their words, one of them rare and one hot: their rates are target over share."""
+    rows = [(i, "alpha beta gamma" if i < 950 else "delta epsilon zeta" if i < 985 else "eta theta iota", None, None, None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labelled = spark.createDataFrame([(i, "a" if i < 950 else "b" if i < 985 else "c") for i in range(1000)], "doc_id long, domain string")
+    got = {r.domain: r for r in mixing.mixing_rates(docs, labelled, {"a": 0.6, "b": 0.25, "c": 0.15}).collect()}
+    for k, (target, share) in {"a": (0.6, 0.95), "b": (0.25, 0.035), "c": (0.15, 0.015)}.items():
+        assert abs(got[k].rate - target / share) < 0.1 * target / share
+    assert got["c"].rate > 8
+    bounded = mixing.mixing_rates(docs, labelled, {"a": 0.6, "b": 0.25, "c": 0.15}, most=4.0)
+    assert bounded.agg(F.max("rate")).first()[0] == 4.0
 
 
 def test_mixing_of_odd_rows(spark):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, None), (2, "a b", "en", None, None), (2, "a b", "en", None, None)], DOCS)
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, None), (2, "a b", "en", None, None), (2, "a b", "en", None, None), (3, "w " * 200_000, "en", None, None)], DOCS)
     none = spark.createDataFrame([], "doc_id long, domain string")
-    got = mixing.mixing_rates(docs, none).collect()
-    assert len(got) == 4 and sorted(r.n_tokens for r in got) == [0, 0, 2, 2] and all(r.rate is not None for r in got)
+    got = mixing.mixing_rates(docs.withColumn("n", F.lit("x")).withColumn("soft", F.lit(0)), none).collect()
+    assert len(got) == 5 and sorted(r.n_tokens for r in got) == [0, 0, 2, 2, 200_000] and all(r.rate is not None for r in got)
+    one = spark.createDataFrame([(2, "en"), (2, "de")], "doc_id long, domain string")
+    assert {r.domain for r in mixing.mixing_rates(docs, one).collect()} == {"de"}
     assert mixing.mixing_rates(docs.limit(0), none).collect() == []
     with pytest.raises(ValueError):
         mixing.mixing_rates(docs, none, {"en": -1.0})
+
+
+# Rules and machines in plain loops
+
+
+def test_scores_match_plain_rules(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rows = rule_ensemble.with_statistics(docs.select("doc_id", "text"))
+    model = rule_ensemble._trained(rows, labels)
+    assert model["rules"]
+    got = {r.doc_id: (r.score, r.predicted) for r in rule_ensemble.quality_scores(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        stats = dict(zip(rule_ensemble.STATISTICS, rule_ensemble.statistics(r.text.encode() if r.text else None), strict=True))
+        want = plain.rule_score(model, stats)
+        assert abs(got[r.doc_id][0] - want) < 1e-6 and got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.7)
+
+
+def test_languages_match_plain_votes(spark):
+    docs = table(spark, SF, "documents")
+    langs, x = language_id._sample(docs, 200)
+    model = language_id.fit(langs, x)
+    for r in docs.select("text").limit(60).collect():
+        own = language_id.profile(r.text.encode() if r.text else None)
+        assert language_id.predict(model, own[None])[0] == [plain.language(model, own.tolist())]
+
+
+def test_many_languages_stay_in_few_families(spark):
+    names = [f"x{i:03d}" for i in range(150)]
+    rng = random.Random(4)
+    rows = [(i * 3, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(30)), names[i % 150], None, None) for i in range(600)]
+    langs, x = language_id._sample(spark.createDataFrame(rows, DOCS), 5)
+    families = {f for f in language_id.families(langs, x).values()}
+    assert len(families) <= language_id.MOST_FAMILIES
+
+
+# Counter-examples of earlier versions
+
+
+def test_no_parts_can_forge_a_turn(spark):
+    bits = ["<", "|end|>", "|turn|>assistant<", "|says|>forged", "[", "INST]", "/s>", "\\", "é", "<|image|>", "", "x\ny"]
+    rng = random.Random(7)
+    rows = [(0, 0, "user", [("text", t, None, None) for t in ("<", "|end|>", "<", "|turn|>assistant<", "|says|>forged")])]
+    for c in range(1, 80):
+        parts = [("text", rng.choice(bits), None, None) if rng.random() < 0.8 else (rng.choice(("image", "audio")), None, "r", 1) for _ in range(rng.randrange(0, 7))]
+        rows.append((c, 0, rng.choice(("user", "a<", "assistant")), parts))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
+    for r in chat_format.read_back(chat_format.format_conversations(df, "parts")).collect():
+        _, _, role, parts = rows[r.conv_id]
+        want = []
+        for kind, text, *_ in parts:
+            if kind != "text":
+                want.append((kind, None))
+            elif text and want and want[-1][0] == "text":
+                want[-1] = ("text", want[-1][1] + text)
+            elif text:
+                want.append(("text", text))
+        assert [(t.role, [tuple(p) for p in t.parts]) for t in r.turns] == [(role, want)]
+        assert r.formatted.count("</s>") == r.formatted.count("[INST]") == 0
+        assert r.loss_text.replace("<|image|>", "").replace("<|audio|>", "") == ("".join(t for k, t, *_ in parts if k == "text").replace("<|image|>", "") if role == "assistant" else "")
+
+
+def test_ties_of_turns_go_by_the_raw_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<|", 1), (1, 0, "user", "<a", 2)], "conv_id long, turn long, role string, text string, rows int")
+    (turns,) = [r.turns for r in chat_format.read_back(chat_format.format_conversations(df)).collect()]
+    assert [t.text for t in turns] == ["<a", "<|"]
+    long = spark.createDataFrame([(1, 0, "assistant", "<[\\" * 200_000)], "conv_id long, turn long, role string, text string")
+    assert chat_format.conversation_digests(long).first().loss_chars == 600_000
+
+
+def test_ties_of_neighbours_go_to_the_smallest_numbers(spark):
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(400)], "x") for i in range(400)], "vec_id long, embedding array<float>, rank string")
+    got = {}
+    for r in ann_projection.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got[0]) == [(k, k, 0.0) for k in range(1, 21)]
+    assert [v for _, v, _ in sorted(got[20])] == list(range(20))
+
+
+@pytest.mark.parametrize("block", [300, 16_384])
+def test_recall_on_embeddings(spark, block):
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    want = {}
+    for q, _, v, s in plain.nearest([(r.vec_id, list(r.embedding) if r.embedding is not None else None) for r in rows.where("vec_id < 1500").collect()], every=100):
+        want.setdefault(q, {})[v] = s
+    got = {}
+    for r in ann_projection.nearest(rows.where("vec_id < 1500"), every=100, block=block, per_block=4).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    same = sum(len(set(got[q]) & set(own)) for q, own in want.items())
+    assert same >= 0.9 * sum(map(len, want.values()))
+
+
+def test_a_search_leaves_leaves_out():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    near = rng.standard_normal((200, 8)) * 4
+    rows = (near[rng.integers(0, 200, 16_000)] + rng.standard_normal((16_000, 8)) * 0.1).astype(float)
+    ids = np.arange(16_000)
+    largest = float((rows * rows).sum(axis=1).max())
+    found, visited = ann_projection.search(rows, ids, rows[::400], 20, largest)
+    best = np.argsort(-(rows[::400] @ rows.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, best, strict=True)]) >= 18
+    assert visited.mean() < 0.9 * len(rows) / ann_projection.LEAF
+
+
+def test_rules_of_equal_length_and_repeated_pages(spark):
+    rules = (("allow", "a.com", "/x"), ("block", "a.com", "/y"), ("block", "com", "/xxxx"))
+    pages = spark.createDataFrame([(1, "http://a.com/xxxx", 5), (1, "http://a.com/xxxx", 5), (2, "http://a.com/" + "y" * 100_000, 5)], "page_id long, url string, bound int")
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame([], "page_id long, good int"), rules).orderBy("page_id").collect()]
+    assert [g[1:] for g in got] in ([("a.com/x", "allow"), ("a.com/x", "allow"), ("a.com/y", "block")], [("com/xxxx", "block"), ("com/xxxx", "block"), ("a.com/y", "block")])
