@@ -5,20 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.storage import written
+
 
 def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """start, node, depth: what each of starts(start, node) reaches over edges(src, dst), at its least depth.
 
-    Every hop joins once and keeps the least depth of a pair before the next, so walks never pile up. Nodes stay by a
-    loop of length 0 on those that were reached.
+    Only the frontier, the pairs met first in the hop before, is joined with the edges; pairs met already are left out. Every
+    hop is written, so no hop is computed twice, and the walk ends early where nothing new is met. Runs at once.
     """
-    at = starts.select("start", "node").distinct().withColumn("depth", F.lit(0))
-    steps = edges.select("src", "dst").distinct().withColumn("more", F.lit(1))
-    ends = edges.select(F.col("src").alias("n")).union(edges.select("dst")).union(starts.select("node")).distinct()
-    steps = steps.union(ends.select("n", "n", F.lit(0)))
-    for _ in range(hops):
-        at = at.join(steps, at["node"] == steps["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
-    return at
+    steps = edges.select("src", "dst").where("src <> dst").distinct()
+    now = written(starts.select("start", "node").distinct().withColumn("depth", F.lit(0)))
+    seen = now
+    for hop in range(1, hops + 1):
+        met = now.join(steps, now["node"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
+        now = written(met.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        if now.isEmpty():
+            break
+        seen = seen.union(now)
+    return seen
+
+
+def paths(edges: DataFrame, hops: int) -> DataFrame:
+    """start, node, nodes, evidence, length: every trail of one edge to `hops` edges over edges(src, dst, evidence).
+
+    nodes lists all nodes from the first on, evidence the evidence of each edge, so evidence[0] is the first edge's.
+    """
+    step = edges.select("src", "dst", "evidence").distinct()
+    now = step.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("nodes"), F.array("evidence").alias("evidence"), F.array(F.struct("src", "dst")).alias("used"))
+    out = now
+    more = step.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("evidence").alias("why"))
+    for _ in range(hops - 1):
+        now = (
+            now.join(more, "node")
+            .where(~F.array_contains("used", F.struct(F.col("node").alias("src"), F.col("to").alias("dst"))))
+            .select("start", F.col("to").alias("node"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("evidence", F.array("why")).alias("evidence"), F.concat("used", F.array(F.struct(F.col("node").alias("src"), F.col("to").alias("dst")))).alias("used"))
+        )
+        out = out.union(now)
+    return out.select("start", "node", "nodes", "evidence", F.size("evidence").alias("length"))
 
 
 def trails(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:

@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of both by key, all columns of the last generation; in `new`, the row last in `order` wins."""
-    latest = new.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(order)))).where("_r = 1").drop("_r")
+    """Rows of both by key, all columns of the last generation; in `new`, the row last in `order` wins, nulls first, ties by the other columns."""
+    rest = [c for c in new.columns if c not in keys]
+    sortable = [c for c in rest if new.schema[c].dataType.typeName() not in ("map", "variant")]
+    latest = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order, *sortable)).alias("r")).select(*keys, "r.*")
     return old.join(latest, keys, "left_anti").unionByName(latest)
 
 
+def upsert_edges(old: DataFrame, new: DataFrame, order: str, key: str | None = None) -> DataFrame:
+    """Edges of both by (src, dst), and by the property `key` where edges are told apart by one; the last properties win."""
+    return upsert(old, new, ["src", "dst", *([key] if key else [])], order)
+
+
+def set_properties(nodes: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """nodes with the columns of more(key, ...) set where it has the key and a value; nodes without keep what they had."""
+    names = [c for c in more.columns if c != key]
+    joined = nodes.join(more.select(key, *(F.col(c).alias(f"_new_{c}") for c in names)), key, "left")
+    for c in names:
+        joined = joined.withColumn(c, F.coalesce(f"_new_{c}", c) if c in nodes.columns else F.col(f"_new_{c}"))
+    return joined.drop(*(f"_new_{c}" for c in names))
+
+
 def delete_stale(nodes: DataFrame, edges: DataFrame, changed: DataFrame, rebuilt: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without what changed files held and the rebuild didn't bring back.
 
@@ -31,11 +47,53 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return new.union(removed).union(both)
 
 
-def summary(new: int, removed: int, chains: int, delta: float, score: float) -> str:
-    """One line on a diff; a positive delta is worse."""
-    way = f"DEGRADED by {delta:.1f} points" if delta > 0 else f"IMPROVED by {-delta:.1f} points" if delta < 0 else "NEUTRAL"
-    parts = [f"{n} {what}" for n, what in ((new, "new finding(s)"), (removed, "node(s) removed"), (chains, "new vulnerability chain(s)")) if n]
-    return f"Posture {way} (score: {score:.1f}/100)." + (f" {', '.join(parts).capitalize()}." if parts else "")
+def diff_chains(chains: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame:
+    """change, src, dst, evidence, confidence: chains(src, dst, ...) with an end among new(uid), and a broken one for each removed(uid)."""
+    uids = new.select("uid").distinct()
+    touched = chains.join(uids, F.col("src") == F.col("uid"), "left_semi").union(chains.join(uids, F.col("dst") == F.col("uid"), "left_semi")).distinct()
+    none = F.lit(None)
+    broken = removed.select(F.lit("broken").alias("change"), F.col("uid").alias("src"), none.cast("string").alias("dst"), F.lit("node_removed").alias("evidence"), none.cast("double").alias("confidence"))
+    return touched.select(F.lit("new").alias("change"), F.col("src").cast("string"), F.col("dst").cast("string"), "evidence", "confidence").union(broken.withColumn("src", F.col("src").cast("string")))
+
+
+#: Types of nodes that count as findings in a summary.
+FINDING_TYPES = ("sast", "dependency", "config", "chain")
+
+
+def summary(diffs: DataFrame) -> DataFrame:
+    """diffs(types of new nodes, n_removed, n_chains, delta, score) with a line of text on each; a positive delta is worse.
+
+    Fixed text: the wording is what readers of summaries expect.
+    """
+    found = F.size(F.filter("types", lambda t: t.isin(*FINDING_TYPES)))
+    points = F.format_string("%.1f", F.abs("delta"))
+    way = F.when(F.col("delta") > 0, F.concat(F.lit("DEGRADED by "), points, F.lit(" points"))).when(F.col("delta") < 0, F.concat(F.lit("IMPROVED by "), points, F.lit(" points"))).otherwise("NEUTRAL")
+    parts = [F.when(n > 0, F.concat(n.cast("string"), F.lit(text))) for n, text in ((found, " new finding(s)"), (F.col("n_removed"), " node(s) removed"), (F.col("n_chains"), " new vulnerability chain(s)"))]
+    more = F.concat_ws(", ", *parts)
+    head = F.concat(F.lit("Posture "), way, F.lit(" (score: "), F.format_string("%.1f", "score"), F.lit("/100)."))
+    return diffs.withColumn("summary", F.concat(head, F.when(more != "", F.concat(F.lit(" "), more, F.lit("."))).otherwise("")))
+
+
+def by_commit(findings: DataFrame) -> DataFrame:
+    """sha, introduced, resolved: findings(uid, introduced_in, resolved_in) by the commits that brought and ended them, sorted."""
+    one = lambda c, name: findings.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("sha")).agg(F.sort_array(F.collect_list("uid")).alias(name))
+    return one("introduced_in", "introduced").join(one("resolved_in", "resolved"), "sha", "full")
+
+
+#: Counts of a snapshot by severity, in a map.
+COUNTED = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+
+
+def snapshot(findings: DataFrame, commits: DataFrame) -> DataFrame:
+    """commits(commit_sha, ts, repo, score, chain_count, change) with counts, a map of open findings(severity) for COUNTED; 0 where there are none."""
+    own = findings.groupBy().pivot("severity", list(COUNTED)).agg(F.count(F.lit(1)))
+    counts = F.create_map(*(x for s in COUNTED for x in (F.lit(s), F.coalesce(F.col(s), F.lit(0)).cast("long"))))
+    return commits.crossJoin(own.select(counts.alias("counts")))  # one row of counts
+
+
+def record(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Snapshots by commit: a commit that is analysed again replaces its snapshot."""
+    return upsert(old, new, ["commit_sha"], "ts")
 
 
 def newest(snapshots: DataFrame, n: int) -> DataFrame:
@@ -44,8 +102,14 @@ def newest(snapshots: DataFrame, n: int) -> DataFrame:
     return snapshots.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
 
 
-def trend(snapshots: DataFrame, n: int) -> DataFrame:
-    """repo, newest, oldest, delta, direction over the n newest snapshots: two points either way count as stable."""
+def trend(snapshots: DataFrame, n: int, repos: DataFrame | None = None) -> DataFrame:
+    """repo, newest, oldest, delta, direction over the n newest snapshots: two points either way count as stable.
+
+    An oldest score of 0 counts as missing, and the newest stands for it. repos(repo): those without snapshots are unknown.
+    """
     t = newest(snapshots, n).groupBy("repo").agg(F.min_by("score", "r").alias("newest"), F.max_by("score", "r").alias("oldest"))
+    t = t.withColumn("oldest", F.coalesce(F.nullif("oldest", F.lit(0.0)), "newest"))
+    t = repos.select("repo").distinct().join(t, "repo", "left") if repos is not None else t
     delta = F.round(F.col("newest") - F.col("oldest"), 1)
-    return t.withColumn("delta", delta).withColumn("direction", F.when(delta > 2, "improving").when(delta < -2, "degrading").otherwise("stable"))
+    direction = F.when(delta > 2, "improving").when(delta < -2, "degrading").when(delta.isNotNull(), "stable").otherwise("unknown")
+    return t.withColumn("delta", delta).withColumn("direction", direction)

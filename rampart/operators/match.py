@@ -3,31 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIN = 64
 
 
 def containing(findings: DataFrame, functions: DataFrame, bin_lines: int = BIN) -> DataFrame:
-    """find, fn: the function with the least span that holds each finding's line, of the same path or base name.
+    """find, fn: the function with the least span that holds each finding's line, of the same path or else base name.
 
     findings(find, file, line), functions(fn, file, start, end). A function is listed once for each bin of lines that
-    it spans, so the interval join becomes an equality join on base name and bin. Ties: the same path, span, start, fn.
+    it spans, so the interval join becomes an equality join, on path and bin; only findings that no function of their path
+    holds are joined again, on base name and bin. Ties: span, start, fn.
     """
-    base = lambda c: F.substring_index(c, "/", -1)
-    spans = functions.select("fn", F.col("file").alias("at"), "start", "end", base("file").alias("base"), F.explode(F.sequence(F.floor(F.col("start") / bin_lines), F.floor(F.col("end") / bin_lines))).alias("bin"))
-    asked = findings.select("find", "file", "line", base("file").alias("base"), F.floor(F.col("line") / bin_lines).alias("bin"))
-    both = asked.join(spans, ["base", "bin"]).where("line between start and end")
-    best = F.min(F.struct((F.col("at") != F.col("file")).alias("other"), (F.col("end") - F.col("start")).alias("span"), "start", "fn"))
-    return both.groupBy("find").agg(best.alias("b")).select("find", F.col("b.fn").alias("fn"))
+    spans = functions.select("fn", "file", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bin_lines), F.floor(F.col("end") / bin_lines))).alias("bin"))
+    asked = findings.select("find", "file", "line", F.floor(F.col("line") / bin_lines).alias("bin"))
+    best = F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "start", "fn")).alias("b")
+
+    def within(asked: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+        return asked.join(spans, [key, "bin"]).where("line between start and end").groupBy("find").agg(best).select("find", "b.fn")
+
+    base = F.substring_index("file", "/", -1).alias("base")
+    same = within(asked, spans, "file")
+    rest = asked.join(same, "find", "left_anti").select("find", "line", "bin", base)
+    return same.union(within(rest, spans.select("fn", base, "start", "end", "bin"), "base"))
 
 
 def dedupe_scans(findings: DataFrame) -> DataFrame:
     """One finding for each file, line and weakness (or rule): the longest description, then the source that sorts first."""
     kind = F.coalesce(F.nullif("cwe_id", F.lit("")), "rule_id")
-    order = W.partitionBy("file", "line", "_kind").orderBy(F.desc(F.length("description")), "source", "seq")
-    return findings.withColumn("_kind", kind).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_kind")
+    rest = [c for c in findings.columns if c not in ("file", "line")]
+    best = F.min_by(F.struct(*rest), F.struct(-F.length("description"), "source", "seq"))
+    return findings.withColumn("_kind", kind).groupBy("file", "line", "_kind").agg(best.alias("r")).select("file", "line", "r.*").select(*findings.columns)
 
 
 def kappa(pairs: DataFrame) -> DataFrame:
@@ -48,3 +54,29 @@ def detection(pairs: DataFrame) -> DataFrame:
     return counts.select(
         "tp", "fp", "fn", "n", F.expr("try_divide(tp, tp + fp)").alias("precision"), F.expr("try_divide(tp, tp + fn)").alias("recall")
     )
+
+
+def truth(findings: DataFrame, known: DataFrame) -> DataFrame:
+    """gid, f: findings(f, cwe_id, file, title) that mean known(gid, cwe_id, file, title): the same weakness, or a path that
+    ends in the known file and a title with one of the known title's words of more than four letters.
+
+    Both arms are equality joins: on the weakness, and on the last characters of the path, as many as each known file has.
+    """
+    by_cwe = findings.join(known.where("cwe_id is not null and cwe_id <> ''").select("gid", "cwe_id"), "cwe_id").select("gid", "f")
+    files = known.where("file is not null and file <> ''").select("gid", F.col("file").alias("tail"), F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 4).alias("words"))
+    lengths = files.agg(F.collect_set(F.length("tail")).alias("lengths"))  # one row; few lengths
+    ends = F.array_distinct(F.transform("lengths", lambda n: F.right("file", n)))
+    tails = findings.crossJoin(F.broadcast(lengths)).select("f", "title", F.explode(ends).alias("tail"))
+    by_file = tails.join(files, "tail").where(F.exists("words", lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), w))).select("gid", "f")
+    return by_cwe.union(by_file).distinct()
+
+
+def upgrades(rated: DataFrame) -> DataFrame:
+    """n, correct, upgrade_precision, upgrade_recall of rated(raw, truth, guess) severities: one row.
+
+    An upgrade is a severity that differs from the raw one; without any, precision and recall are 1.
+    """
+    due, done = F.col("raw") != F.col("truth"), F.col("raw") != F.col("guess")
+    counts = rated.agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("guess")).alias("correct"), F.count_if(due).alias("due"), F.count_if(done).alias("done"), F.count_if(due & done).alias("both"))
+    rate = lambda a: F.coalesce(F.expr(f"try_divide(both, {a})"), F.lit(1.0))
+    return counts.select("n", "correct", rate("done").alias("upgrade_precision"), rate("due").alias("upgrade_recall"))

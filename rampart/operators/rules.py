@@ -9,15 +9,25 @@ from rampart.operators.expand import reach
 from rampart.plans.projection import Graph
 
 
+#: The most calls that any rule follows from an endpoint.
+MOST_HOPS = 6
+
+
 def endpoint_reach(g: Graph, hops: int) -> DataFrame:
-    """ep, fn, depth: what each endpoint's handler reaches over calls."""
-    starts = g.handled_by.select(F.col("ep").alias("start"), F.col("fn").alias("node"))
-    return reach(starts, g.calls, hops).select(F.col("start").alias("ep"), F.col("node").alias("fn"), "depth")
+    """ep, fn, depth: what each endpoint's handler reaches over calls.
+
+    It is walked once for a graph, to MOST_HOPS; all rules and the severity in context filter the same written table.
+    """
+    most = max(hops, MOST_HOPS)
+    if ("reach", most) not in g.memo:
+        starts = g.handled_by.select(F.col("ep").alias("start"), F.col("fn").alias("node"))
+        g.memo["reach", most] = reach(starts, g.calls, most).select(F.col("start").alias("ep"), F.col("node").alias("fn"), "depth")
+    return g.memo["reach", most].where(F.col("depth") <= hops)
 
 
 def personal_access(g: Graph) -> DataFrame:
     """fn, ds, name: functions that touch stores of personal data."""
-    return g.access.join(F.broadcast(g.stores.where("contains_pii")), "ds").select("fn", "ds", "name").distinct()
+    return g.access.join(g.stores.where("contains_pii"), "ds").select("fn", "ds", "name").distinct()
 
 
 def taint_edges(g: Graph) -> DataFrame:
@@ -29,8 +39,10 @@ def taint_edges(g: Graph) -> DataFrame:
 
 def tainted_endpoints(g: Graph) -> DataFrame:
     """ep: endpoints whose handler reaches a tainted function over three taint edges or fewer."""
-    starts = g.handled_by.select(F.col("ep").alias("start"), F.col("fn").alias("node"))
-    hit = reach(starts, taint_edges(g), 3).join(g.functions.where("tainted"), F.col("node") == F.col("fn"), "left_semi")
+    if "taint" not in g.memo:
+        starts = g.handled_by.select(F.col("ep").alias("start"), F.col("fn").alias("node"))
+        g.memo["taint"] = reach(starts, taint_edges(g), 3)
+    hit = g.memo["taint"].join(g.functions.where("tainted"), F.col("node") == F.col("fn"), "left_semi")
     return hit.select(F.col("start").alias("ep")).distinct()
 
 
@@ -42,6 +54,12 @@ def _chains(pairs: DataFrame, rule: str, sure: float, likely: float) -> DataFram
     )
 
 
+def sql_flaws(findings: DataFrame) -> DataFrame:
+    """Findings that mean SQL injection: by weakness, or by what their rule, title or description says."""
+    words = F.col("rule_id").contains("sql") | F.col("title").contains("SQL") | F.col("description").contains("SQL inject")
+    return findings.where(F.coalesce(F.col("cwe_id").isin("CWE-89", "CWE-564"), F.lit(False)) | F.coalesce(words, F.lit(False)))
+
+
 def rule1_sqli_pii(g: Graph) -> DataFrame:
     """SQL injection that a public endpoint reaches, whose calls also reach personal data.
 
@@ -49,7 +67,7 @@ def rule1_sqli_pii(g: Graph) -> DataFrame:
     """
     public = g.endpoints.where("is_public").select("ep", "path")
     reached = endpoint_reach(g, 6).join(public, "ep")
-    flaws = g.findings.where(F.col("cwe_id").isin("CWE-89", "CWE-564")).join(g.affects, "f").select("f", "fn")
+    flaws = sql_flaws(g.findings).join(g.affects, "f").select("f", "fn")
     holes = reached.join(flaws, "fn").select("ep", "path", "f").distinct()
     stores = reached.join(personal_access(g), "fn").select("ep", "ds").distinct()
     taint = tainted_endpoints(g).withColumn("taint", F.lit(True))
@@ -76,3 +94,34 @@ def rule3_supply_chain(g: Graph) -> DataFrame:
 
 def all_chains(g: Graph) -> DataFrame:
     return rule1_sqli_pii(g).unionByName(rule2_missing_auth_pii(g))
+
+
+def chain_edges(g: Graph) -> DataFrame:
+    """f, target, label, target_name, evidence, confidence: the chains as edges to the stores that they end in."""
+    chains = all_chains(g).join(g.stores.select("ds", F.col("name").alias("target_name")), "ds")
+    taint = F.when(F.col("has_taint"), " Tainted request data was followed to it.").otherwise("")
+    what = F.when(F.col("rule") == "sqli_pii", "is reached from a public endpoint whose calls can be made to read personal data in").otherwise("leaves an endpoint without authentication whose calls touch personal data in")
+    evidence = F.concat(F.lit("Finding "), what, F.lit(" "), "target_name", F.lit(" (first path: "), "ep_path", F.lit(")."), taint)
+    return chains.select("rule", "f", F.col("ds").alias("target"), F.lit("DataStore").alias("label"), "target_name", evidence.alias("evidence"), "confidence")
+
+
+def chain_counts(g: Graph) -> DataFrame:
+    """rule, n: how many edges or rows each rule gives, in the order in which they run."""
+    rules = (("taint", taint_edges(g)), ("sqli_pii", rule1_sqli_pii(g)), ("missing_auth_pii", rule2_missing_auth_pii(g)), ("supply_chain", rule3_supply_chain(g)))
+    out = None
+    for name, df in rules:
+        own = df.agg(F.lit(name).alias("rule"), F.count("*").alias("n")).select("rule", "n")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def reachable_findings(g: Graph) -> DataFrame:
+    """f: findings that some rule has met from a public endpoint."""
+    return all_chains(g).select("f").union(rule3_supply_chain(g).select("f")).distinct()
+
+
+def exposed_at(targets: DataFrame, g: Graph) -> DataFrame:
+    """f, ep: endpoints of findings(f, label, node): the endpoint itself, or those that the function handles."""
+    itself = targets.where("label = 'Endpoint'").select("f", F.col("node").alias("ep")).join(g.endpoints.select("ep"), "ep", "left_semi").select("f", "ep")
+    handled = targets.where("label = 'Function'").join(g.handled_by, F.col("node") == F.col("fn")).select("f", "ep")
+    return itself.union(handled).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import columns as C
 from rampart.operators.expand import reach, reverse
-from rampart.operators.rules import all_chains, endpoint_reach, personal_access
+from rampart.operators.rules import all_chains, endpoint_reach, personal_access, reachable_findings
 from rampart.plans.projection import Graph
 
 
@@ -18,7 +18,7 @@ def finding_context(g: Graph) -> DataFrame:
     """
     levels = g.endpoints.select("ep", "is_public", F.least("zone_level", F.lit(2)).alias("level"))
     by_fn = endpoint_reach(g, 5).join(levels, "ep").groupBy("fn").agg(F.max("is_public").alias("is_public"), F.min("level").alias("auth_level"))
-    touching = personal_access(g).select(F.col("fn").alias("start"), F.col("fn").alias("node")).distinct()
+    touching = personal_access(g).select(F.lit(0).alias("start"), F.col("fn").alias("node")).distinct()
     near = reach(touching, g.calls, 3).union(reach(touching, reverse(g.calls), 3)).select(F.col("node").alias("fn")).distinct()
     chained = all_chains(g).select("f").distinct()
     open_ = g.findings.where("status = 'open'").join(g.affects, "f", "left")
@@ -60,8 +60,13 @@ def scores(findings: DataFrame) -> DataFrame:
 
 
 def top_risks(g: Graph, n: int = 10) -> DataFrame:
-    """The n worst open findings, with the sorted paths of the endpoints that their functions handle."""
-    ranked = g.findings.where("status = 'open'").orderBy(C.severity_index(F.col("raw_severity")).desc(), "f").limit(n)
-    paths = g.affects.join(g.handled_by, "fn").join(g.endpoints, "ep").join(F.broadcast(ranked.select("f")), "f").groupBy("f")
+    """The n worst open findings, with the sorted paths of the endpoints that their functions handle.
+
+    Of one severity, findings that no rule has met from a public endpoint come first, as their mark is null; then by f.
+    """
+    rank = F.when(F.col("raw_severity").isin(*C.WEIGHTS), C.severity_index(F.col("raw_severity"))).otherwise(0)
+    marked = g.findings.where("status = 'open'").join(reachable_findings(g).withColumn("reachable", F.lit(True)), "f", "left")
+    ranked = marked.orderBy(rank.desc(), F.desc_nulls_first("reachable"), "f").limit(n)
+    paths = g.affects.join(g.handled_by, "fn").join(g.endpoints, "ep").join(F.broadcast(ranked.select("f")), "f").groupBy("f")  # n rows
     paths = paths.agg(F.array_join(F.sort_array(F.collect_set("path")), ",").alias("endpoints"))
-    return ranked.join(paths, "f", "left").select("f", "raw_severity", "cwe_id", F.coalesce("endpoints", F.lit("")).alias("endpoints"))
+    return ranked.join(paths, "f", "left").select("f", "raw_severity", "cwe_id", "reachable", F.coalesce("endpoints", F.lit("")).alias("endpoints"))

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rampart.plans.projection import Graph
 
 _WRITES = re.compile(r"\b(create|merge|delete|detach|set|remove|drop|insert|update|alter|truncate|call|cache|refresh|add|load|use)\b", re.I)
+#: Calls that reach out of the query: into the JVM, into Python, to files and other sources.
+_REACHES_OUT = re.compile(r"\b(try_)?(reflect|java_method)\s*\(|\bpython_\w+\s*\(|\b(read_files|read_kafka|input_file_\w+|version|current_catalog)\s*\(", re.I)
+_FILES = re.compile(r"\b(parquet|orc|json|csv|text|xml|avro|binaryfile|delta|jdbc|hive)\s*\.", re.I)
 MOST_ROWS = 20
 #: Questions by words that all stand in them, and the SQL that answers.
 QUESTIONS = (
@@ -24,16 +27,21 @@ QUESTIONS = (
 
 def register(g: Graph) -> None:
     """The graph's tables as temporary views."""
-    for name, df in vars(g).items():
+    for name, df in g.tables().items():
         df.createOrReplaceTempView(name)
 
 
 def ask_sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
-    """The rows of a reading statement; anything that could change state raises ValueError.
+    """The rows of a reading statement; anything that could change state or reach out of the query raises ValueError.
 
-    Words are looked at outside string literals; a statement must begin with select, with or values.
+    Words are looked at outside string literals and comments, whether quoted or not; a statement must begin with select, with
+    or values. Functions that call into the JVM or Python, and files named as tables, are refused.
     """
     bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
+    bare = re.sub(r"/\*.*?\*/|--[^\n]*", " ", bare, flags=re.S)
+    plain = re.sub(r'[`"]', "", bare)
+    if _REACHES_OUT.search(plain) or _FILES.search(re.sub(r"\s*\.\s*", ".", plain)):
+        raise ValueError("a statement may not reach out of the query")
     if _WRITES.search(bare) or not re.match(r"\s*(select|with|values)\b", bare, re.I) or ";" in bare.rstrip().rstrip(";"):
         raise ValueError("only reading statements are allowed")
     return spark.sql(text.rstrip().rstrip(";"), args=args or {})

@@ -15,7 +15,7 @@ def _sql(body: str) -> str:
     return "with " + GRAPH_SQL.strip() + body
 
 
-@query(_sql("select ep, path, zone_level from g_endpoint where is_public and zone_level = 0"))
+@query(_sql("select ep, path, zone_level from g_endpoint where is_public"))
 def public_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public endpoints of every zone."""
     return project(spark, sf_dir).endpoints.where("is_public").select("ep", "path", "zone_level")
@@ -47,7 +47,7 @@ g_treach as (with recursive r(ep, fn, depth) as (select ep, fn, 0 from g_handled
   select distinct ep, fn from r),
 g_tainted as (select distinct ep from g_treach join g_function using (fn) where tainted),
 g_sqli as (select f.f, p.ds, min(e.path) as ep_path, bool_or(t.ep is not null) as has_taint
-  from (select distinct ep, f from g_reach join g_affects using (fn) join g_finding using (f) where cwe_id = 'CWE-89') f
+  from (select distinct ep, f from g_reach join g_affects using (fn) join g_finding using (f) where cwe_id in ('CWE-89', 'CWE-564') or contains(rule_id, 'sql') or contains(title, 'SQL') or contains(description, 'SQL inject')) f
   join (select distinct ep, ds from g_reach join g_pii using (fn)) p using (ep)
   join g_endpoint e on e.ep = f.ep and e.is_public left join g_tainted t on t.ep = f.ep group by 1, 2),
 g_noauth as (select f.f, p.ds, min(e.path) as ep_path, bool_or(t.ep is not null) as has_taint
@@ -126,7 +126,7 @@ def reach_depth6(spark, sf_dir):
 
 _TRAILS = """,
 g_trail as (with recursive t(ep, fn, path, used, n) as (
-    select ep, fn, cast(fn as varchar), cast([] as varchar[]), 0 from g_handled_by join g_endpoint using (ep) where is_public and zone_level = 0
+    select ep, fn, cast(fn as varchar), cast([] as varchar[]), 0 from g_handled_by join g_endpoint using (ep) where is_public
     union all select ep, dst, path || '>' || dst, list_append(used, src || '>' || dst), n + 1 from t join g_calls on fn = src
       where n < 5 and not list_contains(used, src || '>' || dst))
   select * from t)
@@ -145,7 +145,7 @@ def pii_paths_from_public(spark, sf_dir):
     return _trails(g, 5).join(rules.personal_access(g), "fn").select("ep", F.col("name").alias("store"), F.array_join("path", ">").alias("path"))
 
 
-@query("with " + GRAPH_SQL.strip() + _TRAILS + "select distinct ep, ds, path, n + 1 as hops from g_trail join g_access using (fn) where access = 'write' order by hops, ep, ds, path limit 20")
+@query("with " + GRAPH_SQL.strip() + _TRAILS + "select * from (select distinct ep, ds, path, n + 1 as hops from g_trail join g_access using (fn)) qualify row_number() over (partition by ep order by hops, ds, path) <= 20")
 def trace_dataflow(spark, sf_dir):
     """The 20 shortest trails from each public endpoint to stores that are read or written."""
     g = project(spark, sf_dir)
@@ -176,7 +176,7 @@ def blast_radius(spark, sf_dir):
 
 @query("with " + GRAPH_SQL.strip() + _TRAILS + """
 select f, path, hops from (select f, t.path, n + 1 as hops, row_number() over (partition by f order by n, t.path, ep) as r
-  from g_trail t join g_affects using (fn) where f % 7 = 0) where r <= 5""")
+  from g_trail t join g_affects using (fn)) where r <= 5""")
 def public_paths_to_finding_topk(spark, sf_dir):
     """The five shortest trails from public endpoints into each finding's function.
 
@@ -228,9 +228,14 @@ def score_interpretation(spark, sf_dir):
     return own.withColumn("reading", C.interpretation(F.col("score")))
 
 
-@query(_sql("""select f, raw_severity, cwe_id, coalesce((select string_agg(distinct path, ',' order by path) from g_affects a join g_handled_by h using (fn) join g_endpoint e using (ep) where a.f = x.f), '') as endpoints
-from (select * from g_finding where status = 'open'
-  order by case raw_severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, f limit 10) x"""))
+_MET = """, g_met as (select f from g_chain union select distinct f from g_finding join g_affects_dep using (f) join g_uses using (dep) join g_reach using (fn) join g_endpoint using (ep)
+  where type = 'dependency' and is_public and depth <= 5)
+"""
+
+
+@query(_deep(_MET + """select f, raw_severity, cwe_id, reachable, coalesce((select string_agg(distinct path, ',' order by path) from g_affects a join g_handled_by h using (fn) join g_endpoint e using (ep) where a.f = x.f), '') as endpoints
+from (select *, case when f in (select f from g_met) then true end as reachable from g_finding where status = 'open'
+  order by case raw_severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, reachable desc nulls first, f limit 10) x"""))
 def top_risks(spark, sf_dir):
     return severity.top_risks(project(spark, sf_dir))
 
@@ -271,7 +276,7 @@ def all_chains(spark, sf_dir):
 def chains_for_finding(spark, sf_dir):
     """Each finding's chains and the stores that they end in."""
     g = project(spark, sf_dir)
-    named = rules.all_chains(g).join(F.broadcast(g.stores), "ds").groupBy("f")
+    named = rules.all_chains(g).join(g.stores, "ds").groupBy("f")
     return named.agg(F.count("*").alias("n_chains"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("stores"), F.max("confidence").alias("confidence"))
 
 
@@ -290,3 +295,98 @@ def exploitability(spark, sf_dir):
     return base.join(chains, "f", "left").join(by_fn, "f", "left").select(
         "f", "contextual_severity", F.coalesce("n_chains", F.lit(0)).alias("n_chains"), F.coalesce("hops", F.lit(-1)).alias("hops"), F.coalesce("stores", F.lit("")).alias("stores")
     )
+
+
+_EDGES = """, g_edge as (select rule, f, c.ds as target, 'DataStore' as label, s.name as target_name, 'Finding ' || case rule
+    when 'sqli_pii' then 'is reached from a public endpoint whose calls can be made to read personal data in' else 'leaves an endpoint without authentication whose calls touch personal data in' end
+    || ' ' || s.name || ' (first path: ' || ep_path || ').' || case when has_taint then ' Tainted request data was followed to it.' else '' end as evidence, confidence
+  from g_chain c join g_datastore s using (ds))
+"""
+
+
+@query(_deep(_EDGES + "select * from g_edge"))
+def chain_edges(spark, sf_dir):
+    """Chains as edges from findings to stores, with their evidence."""
+    return rules.chain_edges(project(spark, sf_dir))
+
+
+@query(_deep(_EDGES + "select rule, f, target, confidence from g_edge order by confidence desc, rule, f, target limit 50"))
+def top_chains(spark, sf_dir):
+    """The 50 surest chains."""
+    edges = rules.chain_edges(project(spark, sf_dir))
+    return edges.select("rule", "f", "target", "confidence").orderBy(F.desc_nulls_first("confidence"), "rule", "f", "target").limit(50)
+
+
+@query(_deep("""select 'taint' as rule, count(*) as n from g_taint union all select 'sqli_pii', count(*) from g_sqli union all select 'missing_auth_pii', count(*) from g_noauth
+union all select 'supply_chain', count(*) from (select distinct f, dep, path, fn, depth from g_finding join g_affects_dep using (f) join g_uses using (dep) join g_reach using (fn) join g_endpoint using (ep)
+  where type = 'dependency' and is_public and depth <= 5)"""))
+def chain_counts(spark, sf_dir):
+    """How many edges each rule gives."""
+    return rules.chain_counts(project(spark, sf_dir))
+
+
+@query(_deep(_MET + "select f, coalesce(f in (select f from g_met), false) as reachable_from_public from g_finding"))
+def reachable_marks(spark, sf_dir):
+    """Findings with the mark that rules set on those they met."""
+    from rampart.operators import history
+
+    g = project(spark, sf_dir)
+    marks = rules.reachable_findings(g).withColumn("reachable_from_public", F.lit(True))
+    return history.set_properties(g.findings.select("f", F.lit(False).alias("reachable_from_public")), marks, "f")
+
+
+@query(_sql("""select a.f, h.ep from g_affects a join g_handled_by h using (fn) where a.f % 3 <> 0 union select f, f % 97 as ep from g_affects where f % 3 = 0 and f % 97 in (select ep from g_endpoint)"""))
+def finding_endpoints(spark, sf_dir):
+    """Endpoints that findings stand at: their own, where they affect an endpoint, or those that their function handles."""
+    g = project(spark, sf_dir)
+    targets = g.affects.select("f", F.when(F.col("f") % 3 == 0, "Endpoint").otherwise("Function").alias("label"), F.when(F.col("f") % 3 == 0, F.col("f") % 97).otherwise(F.col("fn")).alias("node"))
+    return rules.exposed_at(targets, g)
+
+
+@query(_sql("select f, raw_severity, title from g_finding where status = 'open' order by raw_severity, f"))
+def open_findings_by_severity_text(spark, sf_dir):
+    """Open findings in the order of their severity's text."""
+    return project(spark, sf_dir).findings.where("status = 'open'").select("f", "raw_severity", "title").orderBy(F.asc_nulls_last("raw_severity"), "f")
+
+
+@query(_sql("select ep, path, is_public, zone_level from g_endpoint order by is_public desc, path"))
+def endpoints_listed(spark, sf_dir):
+    """Public endpoints first, then by path."""
+    return project(spark, sf_dir).endpoints.orderBy(F.desc("is_public"), "path")
+
+
+_LINKS = "with recursive " + GRAPH_SQL.strip() + """,
+g_link as (select a.f as src, b.f as dst, 'E' || a.f || '-' || b.f as evidence from g_finding a join g_finding b on b.f = a.f + 3 where a.cwe_id in ('CWE-89', 'CWE-306') and b.cwe_id <> ''),
+w(start, node, nodes, ev, n) as (select src, dst, src || '>' || dst, evidence, 1 from g_link union all select start, dst, nodes || '>' || dst, ev, n + 1 from w join g_link on src = node where n < 5)
+"""
+
+
+def _links(g):
+    """Findings three numbers apart, as edges from one finding to another."""
+    a = g.findings.where(F.col("cwe_id").isin("CWE-89", "CWE-306")).select(F.col("f").alias("src"))
+    b = g.findings.where("cwe_id <> ''").select(F.col("f").alias("dst"))
+    return a.join(b, F.col("dst") == F.col("src") + 3).withColumn("evidence", F.concat(F.lit("E"), F.col("src").cast("string"), F.lit("-"), F.col("dst").cast("string")))
+
+
+@query(_LINKS + "select distinct f, nodes, n as length, ev as evidence from (select start as f, * from w union all select node, * from w)")
+def chain_paths(spark, sf_dir):
+    """Chains of one to five edges that begin or end at each finding: nodes, length, evidence of the first edge."""
+    p = expand.paths(_links(project(spark, sf_dir)), 5)
+    out = p.select(F.col("start").alias("f"), "nodes", "length", "evidence").union(p.select("node", "nodes", "length", "evidence")).distinct()
+    return out.select("f", F.array_join("nodes", ">").alias("nodes"), "length", F.col("evidence")[0].alias("evidence"))
+
+
+@query(_LINKS + "select start, node, n as length, list_contains(string_split(nodes, '>'), '9') as by_nine from w")
+def path_predicates(spark, sf_dir):
+    """Chains with a test over all of their nodes."""
+    p = expand.paths(_links(project(spark, sf_dir)), 5)
+    return p.select("start", "node", "length", F.exists("nodes", lambda x: x == 9).alias("by_nine"))
+
+
+@query(_sql("""select node, label from (select cast(fn as varchar) as node, 'Function' as label from g_function union all select cast(ep as varchar), 'Endpoint' from g_endpoint
+  union all select cast(ds as varchar), 'DataStore' from g_datastore union all select cast(f as varchar), 'Finding' from g_finding)"""))
+def node_labels(spark, sf_dir):
+    """All nodes with their labels."""
+    from rampart.operators import build
+
+    return build.nodes(project(spark, sf_dir))

@@ -6,7 +6,7 @@ dependencies brands, snapshots the events of a day.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,10 +23,20 @@ class Graph:
     handled_by: DataFrame  # ep, fn
     stores: DataFrame  # ds, name, contains_pii
     access: DataFrame  # fn, ds, access
-    findings: DataFrame  # f, type, raw_severity, status, cwe_id
+    findings: DataFrame  # f, type, raw_severity, status, cwe_id, rule_id, title, description
     affects: DataFrame  # f, fn
     uses: DataFrame  # fn, dep
     affects_dep: DataFrame  # f, dep
+    services: DataFrame | None = None  # service, name, type, exposure_level
+    zones: DataFrame | None = None  # zone, name, level, auth_mechanism
+    dependencies: DataFrame | None = None  # dep, name, version, pinned, known_cves
+    belongs_to: DataFrame | None = None  # ep, service
+    in_zone: DataFrame | None = None  # ep, zone
+    memo: dict = field(default_factory=dict, compare=False, repr=False)  # what traversals have written already
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The relations that the graph has, by name."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "memo" and getattr(self, f.name) is not None}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +89,9 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
             severity.alias("raw_severity"),
             status.alias("status"),
             cwe.alias("cwe_id"),
+            F.expr("if(o_custkey % 31 = 0, 'py.sql-format', concat('rule-', o_custkey % 9))").alias("rule_id"),
+            F.expr("if(o_custkey % 37 = 0, 'SQL built from parts', concat('Finding ', o_orderkey))").alias("title"),
+            F.expr("if(o_custkey % 41 = 0, 'Possible SQL injection', '')").alias("description"),
         ),
         affects=affects,
         uses=part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("fn"), F.col("p_brand").alias("dep")),
@@ -114,7 +127,9 @@ g_access as (select distinct l_partkey as fn, s_nationkey as ds, case when l_ret
 g_finding as (select o_orderkey as f, case when o_orderkey % 10 = 0 then 'dependency' else 'sast' end as type,
   case o_orderpriority when '1-URGENT' then 'CRITICAL' when '2-HIGH' then 'HIGH' when '3-MEDIUM' then 'MEDIUM' when '4-NOT SPECIFIED' then 'LOW' else 'INFO' end as raw_severity,
   case o_orderstatus when 'O' then 'open' when 'F' then 'resolved' else 'suppressed' end as status,
-  case o_custkey % 5 when 0 then 'CWE-89' when 1 then 'CWE-306' when 2 then 'CWE-918' when 3 then 'CWE-798' else '' end as cwe_id from orders),
+  case o_custkey % 5 when 0 then 'CWE-89' when 1 then 'CWE-306' when 2 then 'CWE-918' when 3 then 'CWE-798' else '' end as cwe_id,
+  case when o_custkey % 31 = 0 then 'py.sql-format' else 'rule-' || o_custkey % 9 end as rule_id, case when o_custkey % 37 = 0 then 'SQL built from parts' else 'Finding ' || o_orderkey end as title,
+  case when o_custkey % 41 = 0 then 'Possible SQL injection' else '' end as description from orders),
 g_affects as (select l_orderkey as f, min(l_partkey) as fn from lineitem group by 1),
 g_uses as (select p_partkey as fn, p_brand as dep from part where p_size % 3 = 0),
 g_affects_dep as (select f, p_brand as dep from g_affects join part on fn = p_partkey where f % 10 = 0),

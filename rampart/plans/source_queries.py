@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from rampart.operators import build
+from rampart.operators import build, rules
 from rampart.plans.registry import query
 from rampart.sources import code
+from rampart.storage import shared_dir, written
 from rampart.streaming import events
 
 
@@ -85,7 +86,77 @@ def taint_flows(spark, sf_dir):
 def uses_edges(spark, sf_dir):
     """Functions and the required packages that their file imports."""
     wanted = spark.sql("select * from values ('Flask'), ('SQLite3'), ('Requests') as t(name)")
-    return build.dependency_edges(_facts(spark, sf_dir), F.broadcast(wanted))
+    return build.dependency_edges(_facts(spark, sf_dir), wanted)
+
+
+_APP = """import sqlite3
+from flask import request, Flask
+
+def load_%1$s(value):
+    cursor.execute("SELECT * FROM %3$s WHERE a = " + value)
+    return value
+
+@app.route("/p/%1$s", methods=["GET"])
+%2$sdef view_%1$s(item):
+    name = request.args.get("q")
+    return load_%1$s(name)
+"""
+
+
+def _repository(spark, sf_dir):
+    """The graph of one file for each part, with scanner, audit and requirement rows."""
+    p = _t(spark, sf_dir, "part")
+    guard = F.when(F.col("p_size") % 3 == 0, "@login_required\n").otherwise("")
+    table = F.when(F.col("p_size") % 5 == 0, "users").otherwise("stock")
+    path = F.concat(F.lit("app/m"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    files = p.select(path.alias("path"), F.format_string(_APP, F.col("p_partkey").cast("string"), guard, table).alias("text"))
+    scans = p.where("p_size % 4 = 0").select(
+        F.lit("bandit").alias("tool"), F.lit("B608").alias("rule_id"), F.lit("Possible SQL injection").alias("description"), F.lit("MEDIUM").alias("severity"), F.lit("CWE-89").alias("cwe_id"), path.alias("file"), F.lit(5).alias("line"),
+    )
+    issues = p.where("p_size = 7").select(path.alias("path"), F.lit(1).alias("n"), F.lit("debug_mode_enabled").alias("kind"), F.lit("MEDIUM").alias("severity"), F.lit("DEBUG = True").alias("evidence"))
+    wanted = spark.sql("select * from values ('Flask', '2.0', true), ('SQLite3', null, false), ('Requests', '1.0', true) as t(name, version, pinned)")
+    audit = spark.sql("select * from values ('flask', 'CVE-1', 'HIGH', 'd'), ('other', 'CVE-2', 'HIGH', 'd') as t(package, cve_id, severity, description)")
+    return build.graph(written(code.facts(files)), wanted, scans, audit, issues)
+
+
+_R = "with p as (select cast(p_partkey as varchar) as s, p_size as z, p_size % 3 <> 0 as open, p_size % 4 = 0 as scanned, p_size % 5 = 0 as pii from part) "
+
+
+@query(_R + """select label, cast(n as bigint) as n from (select 'Function' as label, 2 * count(*) as n from p union all select 'Endpoint', count(*) from p union all select 'DataStore', count(distinct pii) from p
+  union all select 'Finding', count(*) filter (scanned) + count(*) filter (open) + count(*) filter (z = 7) + 1 from p union all select 'Service', 1 union all select 'TrustZone', 4 union all select 'Dependency', 3) where n > 0""")
+def repository_nodes(spark, sf_dir):
+    """Nodes of the graph that sources and reports give, by label."""
+    return build.nodes(_repository(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(_R + """select 'find:bandit:B608:app/m' || s || '.py:5' as f, 'sast' as type, 'app.m' || s || '.load_' || s as at from p where scanned
+union all select 'find:builtin:missing-auth:app/m' || s || '.py:9', 'sast', 'app.m' || s || '.view_' || s from p where open
+union all select 'find:config_analyzer:debug_mode_enabled:app/m' || s || '.py:1', 'config', null from p where z = 7 union all select 'find:pip-audit:CVE-1:Flask:0', 'dependency', 'dep:Flask:2.0'""")
+def repository_findings(spark, sf_dir):
+    """Findings of all kinds with what they affect."""
+    g = _repository(spark, sf_dir)
+    at = g.affects.select("f", F.col("fn").alias("at")).union(g.affects_dep.select("f", "dep"))
+    return g.findings.select("f", "type").join(at, "f", "left")
+
+
+@query(_R + """select 'sqli_pii' as rule, 'find:bandit:B608:app/m' || s || '.py:5' as f, 'ds:sqlite:users' as target, cast(1.0 as double) as confidence from p where scanned and open and pii
+union all select 'missing_auth_pii', 'find:builtin:missing-auth:app/m' || s || '.py:9', 'ds:sqlite:users', 1.0 from p where open and pii""")
+def repository_chains(spark, sf_dir):
+    """Chains of the graph that sources and reports give."""
+    return rules.chain_edges(_repository(spark, sf_dir)).select("rule", "f", "target", "confidence")
+
+
+@query(_R + """select 'ep:GET:/p/' || s as ep, 'svc:app' as service, 'tz:public' as zone, 'app.m' || s || '.view_' || s as fn, 'flask' as framework from p""")
+def repository_endpoints(spark, sf_dir):
+    """Endpoints with their service, zone, handler and framework."""
+    g = _repository(spark, sf_dir)
+    return g.endpoints.select("ep", "framework").join(g.belongs_to, "ep").join(g.in_zone, "ep").join(g.handled_by, "ep").select("ep", "service", "zone", "fn", "framework")
+
+
+@query(_R + "select 'app.m' || s || '.load_' || s as fn, 'sql_injection' as sink, 'value' as source from p")
+def taint_edges_by_sink(spark, sf_dir):
+    """One edge for each function and kind of sink."""
+    return build.taint_edges(_facts(spark, sf_dir)).select("fn", "sink", "source")
 
 
 def _hooks(spark, sf_dir):
@@ -126,6 +197,6 @@ def push_changed_files(spark, sf_dir):
 @query("select event_type as repo, date_trunc('hour', ts) as start, count(*) as n, count(*) filter (event_type = 'error') as errors from events group by 1, 2")
 def stream_events_to_snapshots(spark, sf_dir):
     """The event stream by hour, through a checkpointed stream that takes all there is."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    out = events.run_once(events.hourly(events.event_stream(spark, sf_dir)), shared)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"  # all events are asked for, so nothing is resumed
+    out = events.run_once(events.hourly(events.event_stream(spark, sf_dir)), folder)
     return out.select("repo", F.col("start").cast("timestamp_ntz").alias("start"), "n", "errors")

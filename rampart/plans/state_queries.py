@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rampart.functions import columns as C
-from rampart.operators import history, match, retrieval
+from rampart.operators import history, knowledge, match, retrieval
 from rampart.plans.projection import GRAPH_SQL, project, snapshots
 from rampart.plans.registry import query
 from rampart.sources import config
@@ -245,7 +245,7 @@ def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, 5)
 
 
-_DENSE = """vq as (select vec_id as query_id, embedding as q from embeddings where vec_id < 40),
+_DENSE = """vq as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0),
 cs as (select query_id, vec_id as id, round(list_dot_product(embedding::double[], q::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q::double[], q::double[]))), 9) as score
   from embeddings, vq),
 dense as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from cs)
@@ -264,7 +264,7 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 5)
 
 
-_FUSE = _BM.strip() + "," + _DENSE + """,
+_FUSE = _BM.strip() + "," + _DENSE.replace("vec_id % 50 = 0", "vec_id in (select item_id from benchmark)") + """,
 fu as (select query_id, id, round(1 / (60 + coalesce(d.rank, 21)) + 1 / (60 + coalesce(s.rank, 21)), 9) as score
   from (select * from dense where rank <= 20) d full join (select * from sparse where rank <= 20) s using (query_id, id)),
 fused as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from fu)
@@ -332,3 +332,80 @@ def severity_compare(spark, sf_dir):
     """By true severity: how often the other rating agrees, is lower, is higher."""
     r = _rated(spark, sf_dir).select("truth", C.severity_index(F.col("truth")).alias("a"), C.severity_index(F.col("guess")).alias("b"))
     return r.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(F.expr("a = b")).alias("same"), F.count_if(F.expr("b < a")).alias("underrated"), F.count_if(F.expr("b > a")).alias("overrated"))
+
+
+@query("""with old as (select l_orderkey as src, l_partkey as dst, l_returnflag as kind, max(l_quantity) as v, max(l_linenumber) as o from lineitem where l_linenumber <= 4 group by 1, 2, 3),
+new as (select l_orderkey as src, l_partkey as dst, l_returnflag as kind, l_quantity + 1000 as v, l_linenumber as o from lineitem where l_linenumber > 3 qualify row_number() over (partition by l_orderkey, l_partkey, l_returnflag order by l_linenumber desc, l_quantity desc) = 1)
+select src, dst, kind, v from new union all select src, dst, kind, v from old where not exists (select 1 from new where new.src = old.src and new.dst = old.dst and new.kind = old.kind)""")
+def edge_upsert_by_kind(spark, sf_dir):
+    """Edges of two generations, told apart by a property; the last properties win."""
+    line = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey as dst", "l_returnflag as kind", "l_quantity as v", "l_linenumber as o")
+    old = line.where("o <= 4").groupBy("src", "dst", "kind").agg(F.max("v").alias("v"), F.max("o").alias("o"))
+    return history.upsert_edges(old, line.where("o > 3").withColumn("v", F.col("v") + 1000), "o", "kind").select("src", "dst", "kind", "v")
+
+
+_COMMITS = """with c as (select event_type || '-' || cast(cast(ts as date) as varchar) as commit_sha, event_type as repo, count(*) as n, count(distinct user_id) as users, max(ts) as ts from events group by 1, 2),
+k as (select count(*) filter (raw_severity = 'CRITICAL') as critical, count(*) filter (raw_severity = 'HIGH') as high, count(*) filter (raw_severity = 'MEDIUM') as medium, count(*) filter (raw_severity = 'LOW') as low from g_finding where status = 'open')
+"""
+
+
+@query(_SNAP + ", " + _COMMITS.replace("with c as", "c as").strip() + """
+select commit_sha, repo, critical, high, medium, low, case when length(commit_sha) % 2 = 0 then n + 1 else n end as chain_count from c, k""")
+def snapshots_by_commit(spark, sf_dir):
+    """Snapshots with a map of counts by severity; a commit that is analysed again replaces its own."""
+    g = project(spark, sf_dir)
+    c = snapshots(spark, sf_dir).select("commit_sha", "repo", "score", "chain_count", F.lit(1).alias("ts"), F.lit("NEUTRAL").alias("change"))
+    found = g.findings.where("status = 'open'").select(F.col("raw_severity").alias("severity"))
+    old = history.snapshot(found, c)
+    again = history.snapshot(found, c.where("length(commit_sha) % 2 = 0").withColumns({"ts": F.lit(2), "chain_count": F.col("chain_count") + 1}))
+    counts = [F.col("counts")[s].alias(s.lower()) for s in history.COUNTED]
+    return history.record(old, again).select("commit_sha", "repo", *counts, "chain_count")
+
+
+@query("""select repo, newest, oldest, round(newest - oldest, 1) as delta, case when newest is null then 'unknown' when round(newest - oldest, 1) > 2 then 'improving' when round(newest - oldest, 1) < -2 then 'degrading' else 'stable' end as direction
+from (select distinct event_type as repo from events union select 'none') left join (select repo, arg_min(score, r) as newest, coalesce(nullif(arg_max(score, r), 0), arg_min(score, r)) as oldest
+  from (select event_type as repo, cast(user_id % 3 * 7 as double) as score, row_number() over (partition by event_type order by ts desc, event_id) as r from events qualify r <= 5) group by repo) using (repo)""")
+def trend_with_unknown(spark, sf_dir):
+    """Trends where an oldest score of 0 counts as missing and repositories without snapshots are unknown."""
+    e = _t(spark, sf_dir, "events").selectExpr("event_type as repo", "ts as day", "event_id as commit_sha", "cast(user_id % 3 * 7 as double) as score")
+    return history.trend(e, 5, e.select("repo").union(spark.createDataFrame([("none",)], "repo string"))).select("repo", "newest", "oldest", "delta", "direction")
+
+
+_KNOWN = """with w as (select p_partkey as k, 'CWE-' || p_partkey as id, p_name as name, lower(p_type) as description, p_size as s from part)
+"""
+
+
+def _weaknesses(spark, sf_dir):
+    """Weakness entries derived from parts."""
+    return _t(spark, sf_dir, "part").selectExpr(
+        "concat('CWE-', p_partkey) as id", "p_name as name", "'Base' as abstraction", "'Draft' as status", "if(p_size % 2 = 0, 'High', '') as likelihood", "lower(p_type) as description", "cast(null as string) as extended",
+        "array_repeat(concat('Scope: ', p_brand), cast(p_size % 5 as int)) as consequences", "array_repeat(concat('[Design] ', p_brand), cast(p_size % 4 as int)) as mitigations", "array_repeat('7', cast(p_size % 15 as int)) as related",
+    )
+
+
+@query("""select 'CWE-' || p_partkey as id, 'CWE-' || p_partkey || ': ' || p_name || chr(10) || 'Abstraction: Base' || chr(10) || 'Description: ' || lower(p_type)
+  || case when p_size % 5 > 0 then chr(10) || 'Consequences: ' || array_to_string(list_transform(range(least(3, cast(p_size % 5 as integer))), lambda x: 'Scope: ' || p_brand), '; ') else '' end
+  || case when p_size % 4 > 0 then chr(10) || 'Mitigations: ' || array_to_string(list_transform(range(least(2, cast(p_size % 4 as integer))), lambda x: '[Design] ' || p_brand), '; ') else '' end
+  || case when p_size % 2 = 0 then chr(10) || 'Likelihood: High' else '' end as document, array_to_string(list_transform(range(least(10, cast(p_size % 15 as integer))), lambda x: '7'), ',') as related from part""")
+def knowledge_documents(spark, sf_dir):
+    """Weaknesses as documents: capped lists of consequences and mitigations."""
+    d = knowledge.cwe_documents(_weaknesses(spark, sf_dir))
+    return d.select("id", "document", F.col("metadata")["related_cwe_ids"].alias("related"))
+
+
+@query("""with f as (select o_custkey % 500 as cve, lower(replace(o_orderpriority, ' ', '')) as package, o_orderkey from orders)
+select 'CVE-' || cve || ':' || package as id, 'CVE-' || cve || ': text' || chr(10) || 'Package: ' || package || chr(10) || 'Severity: HIGH (CVSS: 7.5)' || chr(10) || 'Published: 2024-01-01' as document from f group by cve, package""")
+def knowledge_cve_dedupe(spark, sf_dir):
+    """Vulnerabilities as documents, one for each package that a feed names."""
+    rows = _t(spark, sf_dir, "orders").selectExpr(
+        "concat('CVE-', o_custkey % 500) as cve_id", "lower(replace(o_orderpriority, ' ', '')) as package", "'text' as description", "'HIGH' as severity", "cast(7.5 as double) as score", "'2024-01-01' as published", "cast(array() as array<string>) as affected"
+    )
+    return knowledge.cve_documents(rows).select("id", "document")
+
+
+@query("""select p_partkey as query_id, 'CWE-' || p_partkey as id, cast(1.0 as double) as score from part where p_partkey % 2 = 0""")
+def knowledge_route(spark, sf_dir):
+    """Questions that name a weakness are looked up; here all do, with and without the prefix, and half of them are known."""
+    docs = knowledge.cwe_documents(_weaknesses(spark, sf_dir)).where("cast(substring(id, 5) as int) % 2 = 0")
+    asked = _t(spark, sf_dir, "part").selectExpr("p_partkey as query_id", "if(p_partkey % 3 = 0, concat('cwe', p_partkey), concat(' CWE-', p_partkey)) as text").where("query_id % 2 = 0")
+    return knowledge.routed(asked, docs, 5, ("cwe", "nothing"))

@@ -24,6 +24,7 @@ STORES = (
     (r"session|db", r"^(delete|remove)$", "sqlalchemy", "write"),
     (r"redis|cache|r\b", r"^(get|hget|lrange|smembers|zrange|mget)$", "redis", "read"),
     (r"redis|cache|r\b", r"^(set|hset|lpush|rpush|sadd|zadd|mset|delete|expire)$", "redis", "write"),
+    (r".*", r"^open$", "filesystem", "read"),
 )
 #: Calls that tainted values must not reach, by kind; the first that fits counts.
 SINKS = (
@@ -38,6 +39,7 @@ SINKS = (
     (r"(?i)\bhttpx\.(get|post|put|delete|patch|request)\b", "ssrf"),
 )
 #: What brings request data in, and what cleans it.
+_REQUEST_PARTS = frozenset(("args", "form", "json", "data", "values", "files", "get_json"))
 REQUEST = re.compile(r"request\.(args|form|json|data|values|files|get_json)\b", re.I)
 CLEANERS = re.compile(
     r"\b(escape|sanitize|quote|bleach\.clean|html\.escape|markupsafe|re\.escape|urllib\.parse\.quote|validators\.validate|filter|strip_tags|html\.unescape|parameterize)\b",
@@ -63,6 +65,23 @@ def _own_nodes(body) -> Iterator[ast.AST]:
                 yield from _own_nodes(child)
 
 
+def _calls(node: ast.AST) -> Iterator[ast.Call]:
+    """Calls of a statement or expression, outer ones first; the expression that is called isn't looked into."""
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+        return
+    if isinstance(node, ast.Call):
+        yield node
+    for child in (*node.args, *node.keywords) if isinstance(node, ast.Call) else ast.iter_child_nodes(node):
+        yield from _calls(child)
+
+
+def _is_request(node: ast.AST) -> bool:
+    """Whether an attribute is one of a request's parts, as REQUEST says of its text."""
+    owner = getattr(node, "value", None)
+    name = owner.id if isinstance(owner, ast.Name) else owner.attr if isinstance(owner, ast.Attribute) else ""
+    return isinstance(node, ast.Attribute) and node.attr.lower() in _REQUEST_PARTS and name.lower().endswith("request")
+
+
 def auth_type(decorator: str) -> str:
     """The kind of authentication that a decorator's text means."""
     text = decorator.lower()
@@ -113,11 +132,13 @@ class _File:
         params = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs) if a.arg not in ("self", "cls")]
         decorators = [ast.unparse(d) for d in node.decorator_list]
         own = list(_own_nodes(node.body))
-        sources = any(REQUEST.search(ast.unparse(n)) for n in own if isinstance(n, ast.Attribute))
+        sources = any(map(_is_request, own))
         self.add("function", node, name=node.name, qualified=qualified, items=params, detail="; ".join(decorators), flag=sources, target=ast.get_docstring(node))
+        if node.returns is not None:
+            self.add("returns", node, name=node.name, qualified=qualified, detail=ast.unparse(node.returns))
         for d in node.decorator_list:
             self.endpoint(d, node, qualified, params, decorators)
-        for call in (n for n in own if isinstance(n, ast.Call)):
+        for call in (c for statement in node.body for c in _calls(statement)):
             self.call(call, qualified, owner)
         self.taint(node, qualified, params)
 
@@ -137,6 +158,7 @@ class _File:
         inputs = [*re.findall(r"<(?:\w+:)?(\w+)>", path), *re.findall(r"\{(\w+)\}", path), *params]
         for method in methods:
             self.add("endpoint", node, name=path, qualified=qualified, target=method, items=list(dict.fromkeys(inputs)), detail=auth or "none", flag=auth is not None)
+            self.add("framework", node, name=path, qualified=qualified, target=method, detail="fastapi" if "router" in ast.unparse(d.func).split(".")[0].lower() else "flask")
 
     def call(self, call: ast.Call, caller: str, owner: str) -> None:
         raw = ast.unparse(call.func)
@@ -149,9 +171,13 @@ class _File:
                 to = self.imports[head] + (f".{rest}" if rest else "")
         self.add("call", call, name=raw, qualified=caller, target=to or f"unresolved.{raw}", flag=to is not None)
         receiver, _, method = raw.rpartition(".")
+        if raw == "open":
+            file = next((a.value for a in call.args if isinstance(a, ast.Constant) and isinstance(a.value, str)), "file")
+            self.add("access", call, name="filesystem", qualified=caller, target="read", detail=None, items=[file])
         for who, what, kind, access in STORES:
             if re.search(who, receiver, re.I) and re.match(what, method, re.I) and receiver:
-                sql = next((x.value for a in call.args for x in ast.walk(a) if isinstance(x, ast.Constant) and isinstance(x.value, str)), None)
+                texts = [x for a in call.args for x in ast.walk(a) if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+                sql = min(texts, key=lambda x: (x.lineno, x.col_offset)).value if texts else None  # the first as it is written
                 self.add("access", call, name=kind, qualified=caller, target=access, detail=sql)
                 break
 
@@ -193,14 +219,16 @@ def facts(files: DataFrame) -> DataFrame:
             rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in _File(p or "", t or "").rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], k) for f, k in zip(FIELDS, kinds, strict=True)], names=list(FIELDS))
 
-    return files.select("path", "text").mapInArrow(run, SCHEMA)
+    return files.select("path", "text").repartition("path").mapInArrow(run, SCHEMA)
 
 
 def functions(all_: DataFrame) -> DataFrame:
-    """Functions, whether a route decorator makes them entries, and whether they handle input."""
+    """Functions with what they return and say of themselves, whether a route decorator makes them entries, and whether they handle input."""
     own = all_.where("kind = 'function'").select(
-        "file", "name", "qualified", "line", "end_line", F.col("items").alias("params"), F.col("detail").alias("decorators"), F.col("flag").alias("has_request")
+        "file", "name", "qualified", "line", "end_line", F.col("items").alias("params"), F.col("detail").alias("decorators"), F.col("flag").alias("has_request"), F.col("target").alias("docstring")
     )
+    returns = all_.where("kind = 'returns'").groupBy("file", "qualified", "line").agg(F.max("detail").alias("returns"))
+    own = own.join(returns, ["file", "qualified", "line"], "left")
     entry = F.col("decorators").rlike("(route|get|post|put|delete|patch)")
     return own.withColumns({"is_entry": entry, "handles_input": entry | (F.size("params") > 0)})
 

@@ -25,7 +25,8 @@ def scan_lines(lines: DataFrame) -> DataFrame:
     kinds = F.array(
         C.secret_kind(F.col("line")), F.when(F.col("line").rlike(C.CORS), "cors"), F.when(F.col("line").rlike(C.DEBUG), "debug_mode_enabled")
     )
-    found = lines.where(~F.col("line").rlike(C.ENVIRONMENT)).withColumn("kind", F.explode(F.array_compact(kinds)))
+    likely = F.col("line").contains("=") | F.col("line").contains("*")  # every pattern needs one of them
+    found = lines.where(likely & ~F.col("line").rlike(C.ENVIRONMENT)).withColumn("kind", F.explode(F.array_compact(kinds)))
     severity = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in SEVERITY.items()), F.lit("HIGH"))
     return found.withColumns({"severity": severity, "evidence": F.substring(F.trim("line"), 1, 200)}).drop("line")
 

@@ -27,7 +27,7 @@ def read_requirements(spark: SparkSession, path: str) -> DataFrame:
 _SEMGREP_SCHEMA = """results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,
 extra:struct<severity:string,message:string,lines:string,metadata:struct<cwe:variant>>>>"""
 _BANDIT_SCHEMA = """results array<struct<issue_severity:string,issue_cwe:struct<id:int>,filename:string,test_id:string,test_name:string,
-issue_text:string,line_number:int,code:string>>"""
+issue_text:string,line_number:int,line_range:array<int>,code:string>>"""
 _AUDIT_SCHEMA = """dependencies array<struct<name:string,version:string,vulns array<struct<id:string,description:string,fix_versions:array<string>,severity:string>>>>"""
 
 
@@ -50,6 +50,8 @@ def parse_semgrep(reports: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(cwe, r"(CWE-\d+)", 1), F.lit("")).alias("cwe_id"),
         F.col("r.path").alias("file"),
         F.col("r.start.line").alias("line"),
+        F.col("r.end.line").alias("end_line"),
+        F.col("r.extra.lines").alias("snippet"),
     )
 
 
@@ -64,6 +66,8 @@ def parse_bandit(reports: DataFrame) -> DataFrame:
         F.when(F.col("r.issue_cwe.id").isNotNull(), F.concat(F.lit("CWE-"), F.col("r.issue_cwe.id"))).alias("cwe_id"),
         F.col("r.filename").alias("file"),
         F.col("r.line_number").alias("line"),
+        F.coalesce(F.array_max("r.line_range"), "r.line_number").alias("end_line"),
+        F.col("r.code").alias("snippet"),
     )
 
 
@@ -81,17 +85,46 @@ def parse_audit(reports: DataFrame) -> DataFrame:
     )
 
 
+_WEAKNESS_SCHEMA = """_ID string, _Name string, _Abstraction string, _Status string, _Likelihood_Of_Exploit string, Description string, Extended_Description string,
+Common_Consequences struct<Consequence:array<struct<Scope:array<string>,Impact:array<string>>>>,
+Potential_Mitigations struct<Mitigation:array<struct<Phase:array<string>,Description:string>>>,
+Related_Weaknesses struct<Related_Weakness:array<struct<_CWE_ID:string>>>"""
+
+
 def read_weaknesses(spark: SparkSession, path: str) -> DataFrame:
-    """id, name, description of a weakness catalogue in XML."""
-    rows = spark.read.format("xml").option("rowTag", "Weakness").schema("_ID string, _Name string, Description string").load(path)
-    return rows.select(F.concat(F.lit("CWE-"), "_ID").alias("id"), F.col("_Name").alias("name"), F.col("Description").alias("description"))
+    """id, name, abstraction, status, likelihood, description, extended, consequences, mitigations, related of a weakness catalogue in XML."""
+    rows = spark.read.format("xml").option("rowTag", "Weakness").schema(_WEAKNESS_SCHEMA).load(path)
+    first = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
+    consequences = F.transform("Common_Consequences.Consequence", lambda c: F.trim(F.concat(first(c["Scope"]), F.lit(": "), first(c["Impact"])), F.lit(": ")))
+    mitigations = F.transform("Potential_Mitigations.Mitigation", lambda m: F.when(first(m["Phase"]) != "", F.concat(F.lit("["), first(m["Phase"]), F.lit("] "), m["Description"])).otherwise(m["Description"]))
+    return rows.where("_ID is not null and _Name is not null").select(
+        F.concat(F.lit("CWE-"), "_ID").alias("id"),
+        F.col("_Name").alias("name"),
+        F.col("_Abstraction").alias("abstraction"),
+        F.col("_Status").alias("status"),
+        F.col("_Likelihood_Of_Exploit").alias("likelihood"),
+        F.col("Description").alias("description"),
+        F.col("Extended_Description").alias("extended"),
+        consequences.alias("consequences"),
+        mitigations.alias("mitigations"),
+        F.col("Related_Weaknesses.Related_Weakness._CWE_ID").alias("related"),
+    )
 
 
 def parse_vulnerability_feed(pages: DataFrame) -> DataFrame:
-    """cve_id, score, severity, published, description of feed pages(value: JSON); newer score versions come first."""
+    """cve_id, score, severity, published, description, affected of feed pages(value: JSON[, package]); newer score versions come first.
+
+    affected: where a version range of the pages' package ends, for criteria that name it; pages without a package have none.
+    """
     metric = "array<struct<cvssData:struct<baseScore:double,baseSeverity:string>>>"
-    schema = f"vulnerabilities array<struct<cve:struct<id:string,published:string,descriptions:array<struct<lang:string,value:string>>,metrics:struct<cvssMetricV31:{metric},cvssMetricV30:{metric},cvssMetricV2:{metric}>>>>"
-    c = pages.select(F.explode(F.from_json("value", schema)["vulnerabilities"]).alias("x")).select("x.cve.*")
+    schema = f"vulnerabilities array<struct<cve:struct<id:string,published:string,descriptions:array<struct<lang:string,value:string>>,metrics:struct<cvssMetricV31:{metric},cvssMetricV30:{metric},cvssMetricV2:{metric}>,configurations:array<struct<nodes:array<struct<cpeMatch:array<struct<criteria:string,versionEndIncluding:string,versionEndExcluding:string>>>>>>>>>"
+    package = (F.col("package") if "package" in pages.columns else F.lit(None).cast("string")).alias("package")
+    c = pages.select(package, F.explode(F.from_json("value", schema)["vulnerabilities"]).alias("x")).select("package", "x.cve.*")
+    matches = F.flatten(F.flatten(F.transform("configurations", lambda x: F.transform(x["nodes"], lambda n: n["cpeMatch"]))))
+    ends = F.transform(
+        F.filter(F.coalesce(matches, F.array().cast("array<struct<criteria:string,versionEndIncluding:string,versionEndExcluding:string>>")), lambda m: F.contains(F.lower(m["criteria"]), F.lower(F.coalesce("package", F.lit("\x00"))))),
+        lambda m: F.concat(F.lit("<= "), F.coalesce(F.nullif(m["versionEndIncluding"], F.lit("")), F.nullif(m["versionEndExcluding"], F.lit("")))),
+    )
     first = [F.try_element_at(f"metrics.{m}", F.lit(1))["cvssData"] for m in ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2")]
     english = F.try_element_at(F.filter("descriptions", lambda d: d["lang"] == "en"), F.lit(1))["value"]
     return c.select(
@@ -100,4 +133,6 @@ def parse_vulnerability_feed(pages: DataFrame) -> DataFrame:
         F.coalesce(*(x["baseSeverity"] for x in first)).alias("severity"),
         F.substring("published", 1, 10).alias("published"),
         english.alias("description"),
+        "package",
+        F.array_compact(ends).alias("affected"),
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rampart.functions import columns as C
 
@@ -55,19 +55,34 @@ def hourly(events: DataFrame) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors")).select("repo", F.col("w.start").alias("start"), "n", "errors")
 
 
-def run_once(stream: DataFrame, shared: str) -> DataFrame:
-    """All that a stream has now, written batch by batch under keys, and read back.
+def quarantined(events: DataFrame, secret: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of events(id, kind, payload[, body, signature]): bad ones have no readable payload, or, with a secret, a
+    signature that isn't the body's; bad has a reason."""
+    whole = F.try_parse_json("payload")
+    reason = F.when(whole.isNull(), "bad payload")
+    if secret is not None:
+        key = secret.encode() if len(secret.encode()) <= 64 else hashlib.sha256(secret.encode()).digest()
+        inner, outer = (F.lit(bytearray(b ^ x for b in key.ljust(64, b"\0"))) for x in (0x36, 0x5C))
+        own = F.concat(F.lit("sha256="), F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.col("body").cast("binary")), 256))), 256))
+        reason = F.when(F.coalesce(own != F.col("signature"), F.lit(True)) | F.lit(not secret), "bad signature").otherwise(reason)
+    told = events.withColumn("reason", reason)
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")
 
-    A replayed batch overwrites its own folder, so processing is idempotent.
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream has had so far: what is new since the last call with this folder is written batch by batch, and all
+    is read back. The folder holds the stream's checkpoint, so a call goes on where the last one ended or failed.
+
+    A replayed batch overwrites its own folder, so processing is idempotent. Without any events there are no rows.
     """
-    name = f"{shared}/stream-{uuid.uuid4().hex}"
 
     def keep(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{name}/out/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     spark = stream.sparkSession
-    rows = spark.read.parquet(f"{name}/out")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/out")
     newest = rows.groupBy("repo", "start").agg(F.max_by(F.struct("n", "errors"), "batch").alias("last"))
     return newest.select("repo", "start", "last.n", "last.errors")

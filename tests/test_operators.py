@@ -95,9 +95,14 @@ def test_stale_nodes_go_unless_rebuilt(spark):
     assert {(r.src, r.dst) for r in left.collect()} == {("a", "c")}
 
 
-def test_summary():
-    assert history.summary(0, 0, 0, 0, 90) == "Posture NEUTRAL (score: 90.0/100)."
-    assert history.summary(2, 1, 0, 3.25, 60) == "Posture DEGRADED by 3.2 points (score: 60.0/100). 2 new finding(s), 1 node(s) removed."
+def test_summary(spark):
+    rows = [([], 0, 0, 0.0, 90.0), (["sast", "config", "function"], 1, 0, 3.5, 60.0), ([], 0, 2, -1.0, 99.9)]
+    got = [r.summary for r in history.summary(spark.createDataFrame(rows, "types array<string>, n_removed int, n_chains int, delta double, score double")).collect()]
+    assert got == [
+        "Posture NEUTRAL (score: 90.0/100).",
+        "Posture DEGRADED by 3.5 points (score: 60.0/100). 2 new finding(s), 1 node(s) removed.",
+        "Posture IMPROVED by 1.0 points (score: 99.9/100). 2 new vulnerability chain(s).",
+    ]
 
 
 def test_containing_function_prefers_path_then_span(spark):
@@ -156,8 +161,8 @@ def test_comment(spark):
     row = ("abcdef0123", "HIGH", True, ["one", "two"], 3, 2.5, "x" * 2500)
     df = spark.createDataFrame([row], "commit_sha string, risk_level string, requires_block boolean, top_issues array<string>, finding_count int, delta double, analysis string")
     text = deliver.comment(df).first().comment
-    assert text.startswith("## 🟠 Security review") and "`abcdef01`" in text and "Blocked" in text and "degraded by **2.5 points**" in text
-    assert "- one\n- two" in text and "shortened" in text and "x" * 2001 not in text
+    assert "| Risk | 🟠 HIGH |" in text and "| Commit | abcdef01 |" in text and "held until mended" in text and "worse by 2.5" in text and "1. one\n2. two" in text
+    assert text.endswith("x …") and "x" * 2001 not in text
 
 
 def test_importers_leave_out_changed_files(spark):

@@ -83,7 +83,7 @@ def test_endpoints_and_missing_auth(facts):
 
 def test_stores(facts):
     got = {(r.fn, r.store, r.pii, r.edge) for r in build.store_edges(facts).collect()}
-    assert got == {("store.Users.run", "users", True, "READS_FROM"), ("store.Users.run", "sqlalchemy", False, "WRITES_TO"), ("store.find_user", "cards", True, "WRITES_TO")}
+    assert got == {("store.Users.run", "users", True, "READS_FROM"), ("store.Users.run", "sqlalchemy", False, "WRITES_TO"), ("store.find_user", "cards", True, "WRITES_TO"), ("app.helper", "file", False, "READS_FROM")}
 
 
 def test_taint_follows_assignments_and_cleaners(facts):

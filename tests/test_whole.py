@@ -3,7 +3,6 @@
 import pytest
 
 from rampart import catalog
-from rampart.llm import mixing
 from tests.oracle import check, connect
 
 SF = "/root/testdata/sf0.001"
@@ -61,21 +60,3 @@ def test_items_from_40_on_have_a_dense_half(spark, tmp_path, name):
 def test_events_in_part_files_are_streamed(spark, con, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     check(catalog.QUERIES["stream_events_to_snapshots"](spark, str(tmp_path)), con, whole("stream_events_to_snapshots"))
-
-
-def test_rates_of_a_skewed_mixture_are_the_least_squares(spark):
-    targets = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10}
-    n = [950.0, 20.0, 20.0, 10.0]
-    cells = spark.createDataFrame([([float(i == k) for k in range(4)], x) for i, x in enumerate(n)], "soft array<double>, n double")
-    got = {r.soft.index(1.0): r.rate for r in cells.withColumn("rate", mixing.rate(mixing.fit(cells, targets), cells["soft"])).collect()}
-    for k, t in enumerate(targets.values()):  # separable domains: the least of (s r - t)^2 / t + pull s (r - 1)^2
-        s = n[k] / sum(n)
-        assert abs(got[k] - t * (1 + mixing.PULL) / (s + mixing.PULL * t)) < 1e-6
-    assert got[1] > 6 and got[3] > 8
-
-
-def test_repetition_is_bounded_only_when_asked(spark):
-    cells = spark.createDataFrame([([1.0, 0.0], 99.0), ([0.0, 1.0], 1.0)], "soft array<double>, n double")
-    targets = {"a": 0.5, "b": 0.5}
-    assert [r[0] for r in cells.select(mixing.rate(mixing.fit(cells, targets, most=4.0), cells["soft"], most=4.0)).orderBy("n").collect()][0] == 4.0
-    assert cells.select(mixing.rate(mixing.fit(cells, targets), cells["soft"]).alias("r")).where("r > 4").count() == 1
