@@ -221,3 +221,15 @@ def test_known_findings_and_chains(spark, g):
     rated = spark.createDataFrame([("LOW", "HIGH", "HIGH"), ("LOW", "LOW", "HIGH"), ("LOW", "HIGH", "LOW")], "raw string, truth string, guess string")
     u = match.upgrades(rated).first()
     assert (u.correct, u.upgrade_precision, u.upgrade_recall) == (1, 0.5, 0.5)
+
+
+def test_documents_without_a_word_fill_the_list(spark):
+    from rampart.operators import retrieval
+
+    docs = spark.createDataFrame([(i, "common word" if i == 3 else f"other{i}") for i in range(8)], "id int, text string")
+    asked = spark.createDataFrame([(1, "common"), (2, "nowhere"), (3, None)], "query_id int, text string")
+    got = {}
+    for r in retrieval.bm25(docs, asked, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score > 0))
+    assert sorted(got[1]) == [(1, 3, True), (2, 0, False), (3, 1, False)]
+    assert sorted(got[2]) == sorted(got[3]) == [(1, 0, False), (2, 1, False), (3, 2, False)]
