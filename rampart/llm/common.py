@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampart.storage import discard, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Bytes of text that a Python worker looks at in one go, so that long texts don't pile up; a longer text goes alone.
 BATCH_BYTES = 4 << 20
 #: Rows of ids and keys, of 64 bytes at most each, that may be broadcast.
@@ -37,46 +36,6 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_BYT
             at = stop
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only on a local master, where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: later stages don't depend on executors that may go.
-
-    The shuffle files of the write go when it has ended, as nothing reads them any more.
-    """
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _FOLDERS[out] = path
-    return out
-
-
-def discard(*frames: DataFrame | None) -> None:
-    """Delete the folders of written tables that nothing reads any more; other tables are left alone."""
-    for df in frames:
-        if df is not None and (path := _FOLDERS.pop(df, None)):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """A written table of a few narrow columns, to be broadcast if it has at most `most` rows, else joined by shuffling."""
     return F.broadcast(df) if df.count() <= most else df
