@@ -16,8 +16,8 @@
    and compared there by 128-bit rolling hashes of their 400 bytes. A gram that more than HOT stretches hold is not
    gathered in one task: its windows go as rows that are counted first and then joined.
 
-Pairs that a sample shows to be very common get their rank by broadcast and aren't dealt out; the sample only decides
-where rows go.
+Pairs that a sample shows to be very common get their rank by broadcast, and their rows are dealt out evenly; the sample only
+decides where rows go.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from rampart.llm.common import discard, sliced, small_side, written
 
 #: HOT: bytes of stretches with one gram that a task may gather.
 LENGTH, GRAM, STRIDE, HOT = 400, 24, 75, 4 << 20
-#: One anchor of COMMON_OF is looked at for common pairs, and one that COMMON of them have is common.
+#: One text of COMMON_OF is looked at for common pairs, and one that COMMON of its anchors have is common.
 COMMON_OF, COMMON = 16, 32
 _BLOCK = 1 << 20
 #: Two independent rolling hashes of 64 bits: the second is only taken where the first finds equals.
@@ -164,15 +164,17 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows whose keys another row has too, with their rank: the place of the first of equals when rows are sorted by keys.
 
-    Keys that are common in a sample have negative ranks and meet them by broadcast; all others are sorted.
+    Keys that are common in a sample of texts have a rank of their own, below 0, and their rows are dealt out evenly; all
+    other rows are dealt by their keys and sorted where they lie. rows is read once, and the sample's part of it.
     """
-    seen = rows.where(F.pmod(F.xxhash64("row", "i"), F.lit(COMMON_OF)) == 0)
+    seen = rows.where(F.pmod(F.xxhash64("row"), F.lit(COMMON_OF)) == 0)
     common = seen.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).select(*keys)
-    common = small_side(written(common.withColumn("name", -1 - F.monotonically_increasing_id())))
-    rare = rows.join(common.drop("name"), keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
-    equal = Window.partitionBy(*keys)
-    rare = rare.withColumn("at", F.monotonically_increasing_id()).withColumns({"name": F.min("at").over(equal), "c": F.count("*").over(equal)})
-    return rare.where("c > 1").drop("at", "c").unionByName(rows.join(common, keys))
+    common = small_side(written(common.withColumn("known", -1 - F.monotonically_increasing_id())))
+    deal = F.when(F.col("known").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64("row", "i"))
+    dealt = rows.join(common, keys, "left").withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal", *keys)
+    equal = Window.partitionBy("deal", *keys)
+    told = dealt.withColumn("at", F.monotonically_increasing_id()).withColumns({"first": F.min("at").over(equal), "c": F.count("*").over(equal)})
+    return told.where("known is not null or c > 1").withColumn("name", F.coalesce("known", "first")).drop("known", "deal", "at", "first", "c")
 
 
 def doubled(suffixes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
