@@ -48,7 +48,10 @@ def corpus():
 
 
 @pytest.mark.parametrize("wide", [False, True])
-def test_ngram_components(spark, corpus, wide):
+def test_ngram_components(spark, corpus, monkeypatch, wide):
+    if wide:  # shingles of two nodes count as common
+        monkeypatch.setattr(ngram_join, "COMMON_OF", 1)
+        monkeypatch.setattr(ngram_join, "COMMON", 2)
     got = [tuple(r) for r in ngram_join.ngram_components(frame(spark, corpus, wide).repartition(5)).collect()]
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(got, key=key) == sorted(plain.ngram_components(corpus), key=key)
@@ -88,7 +91,10 @@ def repeating():
 
 
 @pytest.mark.parametrize("wide, hot", [(False, suffix_dedup.HOT), (True, 1)])
-def test_repeats(spark, repeating, wide, hot):
+def test_repeats(spark, repeating, monkeypatch, wide, hot):
+    if hot == 1:  # every pair of two anchors counts as common, every gram as hot
+        monkeypatch.setattr(suffix_dedup, "COMMON_OF", 1)
+        monkeypatch.setattr(suffix_dedup, "COMMON", 2)
     got = [tuple(r) for r in suffix_dedup.repeats_report(frame(spark, repeating, wide).repartition(4), hot=hot).collect()]
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(got, key=key) == sorted(plain.repeats(repeating), key=key)
