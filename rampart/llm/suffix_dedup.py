@@ -170,7 +170,7 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     seen = rows.where(F.pmod(F.xxhash64("row"), F.lit(COMMON_OF)) == 0)
     common = seen.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).select(*keys)
     common = small_side(written(common.withColumn("known", -1 - F.monotonically_increasing_id())))
-    deal = F.when(F.col("known").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64("row", "i"))
+    deal = F.when(F.col("known").isNull(), F.hash(*keys)).otherwise(F.hash("row", "i"))
     dealt = rows.join(common, keys, "left").withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal", *keys)
     equal = Window.partitionBy("deal", *keys)
     told = dealt.withColumn("at", F.monotonically_increasing_id()).withColumns({"first": F.min("at").over(equal), "c": F.count("*").over(equal)})
