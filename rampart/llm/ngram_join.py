@@ -295,8 +295,8 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """
     members, _, labels = similar_classes(docs, size, percent)
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    return members.join(smallest, "label", "left").select(
+    smallest = written(members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest")))  # so that a large component's rows aren't dealt by it
+    return members.join(small_side(smallest), "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id")
     )
 
