@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import ann_projection, chat_format, decontaminate, language_id, mixing, ngram_join, rule_ensemble, sharding, suffix_dedup, url_filter
+from rampart.llm import ann_projection, chat_format, decontaminate, embedding_dedup, language_id, mixing, ngram_join, rule_ensemble, sharding, spelling, suffix_dedup, url_filter, vector_codes
 from rampart.llm.common import table
 
 
@@ -69,6 +69,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at a cosine of 0.9, and its component."""
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more with its near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite vector's product code, and its error."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -135,3 +135,60 @@ select doc_id, octet_length(b) as n_bytes, cast(coalesce(n_removed, 0) as bigint
   try(decode(case when x is null then b else unhex(x) end)) as kept
 from d left join sums using (r) left join kept using (r)
 """
+
+op12_spelling_variants = r"""
+with recursive low as (
+  select coalesce(cast(doc_id as varchar), '') as d, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+runs as (
+  select d, w, count(*) as c from (select d, unnest(regexp_extract_all(t, '[A-Za-zÀ-ÿ]+')) as w from low) where length(w) >= 7 group by all),
+hashed as (
+  select w, c, xor(list_reduce(
+      list_prepend(4294967295::bigint, flatten(list_transform(string_split(d || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: xor(v >> 1, 3988292384::bigint * (v & 1)))), 4294967295::bigint) as h
+  from runs),
+v as (
+  select word, sum(c)::bigint as n
+  from (select case when h % 31 = 0 then w[: h % length(w)] || w[h % length(w) + 2 :] else w end as word, c from hashed)
+  where length(word) >= 7 group by 1 having sum(c) >= 2),
+less as (select word, n, p, word[: p] || word[p + 2 :] as x from (select word, n, unnest(range(length(word))) as p from v)),
+pairs as (
+  select a.word, b.word as other, b.n as m from less a join less b on a.x = b.x and a.p = b.p and a.word <> b.word
+  union select l.word, v.word, v.n from less l join v on l.x = v.word
+  union select v.word, l.word, l.n from less l join v on l.x = v.word),
+near as (select word, count(*) as n_near, arg_min(other, struct_pack(a := -m, b := encode(other))) as best, max(m) as best_n from pairs group by 1),
+told as (
+  select word, case when best_n >= 10 * n then best end as form, n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * n then best_n end as form_n
+  from v left join near using (word)),
+walk as (
+  select word, word as at, form as next from told
+  union all select walk.word, told.word, told.form from walk join told on walk.next = told.word)
+select told.word, told.form, walk.at as root, told.n, told.n_near, told.form_n from told join walk on walk.word = told.word and walk.next is null
+"""
+
+_ASSIGN = """a{k} as (
+  select part, vec_id, r, x, e, away from (
+    select p.part, p.vec_id, p.r, p.x, b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as away,
+      row_number() over (partition by p.part, p.r order by away, b.e) as k
+    from parts p join b{k} b on p.part = b.part)
+  where k = 1)"""
+_MOVE = """b{next} as (
+  select b.part, b.e, coalesce(m.x, b.x) as x
+  from b{k} b left join (
+    select part, e, list(y order by i) as x
+    from (select part, e, i, cast(floor(sum(x[i]) / count(*)) as bigint) as y from (select *, unnest(range(1, len(x) + 1)) as i from a{k}) group by all)
+    group by all) m on b.part = m.part and b.e = m.e)"""
+
+op13_vector_codes = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as q, row_number() over (order by vec_id nulls last, embedding) as r
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (
+  select vec_id, r, part, q[part * len(q) // 16 + 1 : (part + 1) * len(q) // 16] as x from (select *, unnest(range(16)) as part from kept)),
+b0 as (select part, r - 1 as e, x from parts where r <= 64),
+{", ".join(_ASSIGN.format(k=k) + ", " + _MOVE.format(k=k, next=k + 1) for k in (0, 1))},
+{_ASSIGN.format(k=2)},
+codes as (select r, string_agg(lower(printf('%02x', e::integer)), '' order by part) as code, sum(away)::bigint as error from a2 group by r),
+books as (select sha256(string_agg(cast(y as varchar), ',' order by part, e, i)) as codebooks_sha256 from (select part, e, unnest(x) as y, unnest(range(len(x))) as i from b2))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from kept join codes using (r), books
+"""

@@ -138,3 +138,103 @@ def language(model, x):
 
     family = best(sorted(model["languages"]), model["families"])
     return best(model["languages"][family], model["within"])
+
+
+def near_copies(rows, like=0.9):
+    """(vec_id, n_links, component_id, kept) of rows (vec_id, vector), all pairs compared."""
+    import math
+
+    def fine(v):
+        return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    to = list(range(len(rows)))
+
+    def find(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    rows = [(i, [math.ldexp(x, -math.frexp(max(map(abs, v)))[1]) for x in v] if fine(v) else None) for i, v in rows]
+    links = [0] * len(rows)
+    size = [math.sqrt(sum(x * x for x in v)) if fine(v) else None for _, v in rows]
+    for a, (_, v) in enumerate(rows):
+        for b in range(a):
+            if size[a] and size[b] and sum(x * y for x, y in zip(v, rows[b][1], strict=False)) / (size[a] * size[b]) >= like:
+                links[a] += 1
+                links[b] += 1
+                to[find(a)] = find(b)
+    least = {}
+    for i, (vec, _) in enumerate(rows):
+        if vec is not None:
+            least[find(i)] = min(vec, least.get(find(i), vec))
+    named = [least.get(find(i)) if size[i] else vec for i, (vec, _) in enumerate(rows)]
+    return [(vec, n, c, vec is not None and vec == c) for (vec, _), n, c in zip(rows, links, named, strict=True)]
+
+
+def one_apart(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :]
+    short, long = sorted((a, b), key=len)
+    return short[i:] == long[i + 1 :]
+
+
+def variants(rows, shortest=7, often=2, every=31, times=10):
+    """(word, form, root, n, n_near, form_n) of rows (doc_id, text), all pairs of words compared."""
+    import zlib
+
+    seen = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            if h % every == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            seen[w] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= shortest and n >= often}
+    near, form = {}, {}
+    for w, n in words.items():
+        near[w] = [v for v in words if one_apart(w, v)]
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best and words[best] >= times * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return out
+
+
+def codes(rows, parts=16, entries=64, rounds=2, scale=256, bound=1 << 25):
+    """(vec_id, code, error, label_error, codebooks_sha256) of rows (vec_id, vector, label), all entries compared."""
+    import math
+
+    kept = [(i, [min(max(math.floor(scale * x), -bound), bound) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    per = -(-max(len(v) for _, v, _ in kept) // parts)
+    cut = lambda v: [tuple((v + [0] * (parts * per - len(v)))[p * per : (p + 1) * per]) for p in range(parts)]
+    first = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
+    books = [[cut(v)[p] for _, v, _ in first] for p in range(parts)]
+    away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    nearest = lambda p, x: min(range(len(books[p])), key=lambda e: (away(x, books[p][e]), e))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v, _ in kept:
+            for p, x in enumerate(cut(v)):
+                groups[p, nearest(p, x)].append(x)
+        for (p, e), own in groups.items():
+            books[p][e] = tuple(sum(c) // len(own) for c in zip(*own, strict=True))
+    told, sums = [], Counter()
+    for i, v, label in kept:
+        at = [nearest(p, x) for p, x in enumerate(cut(v))]
+        error = sum(away(x, books[p][at[p]]) for p, x in enumerate(cut(v)))
+        sums[label] += error
+        told.append((i, "".join(f"{a:02x}" for a in at), error, label))
+    digest = hashlib.sha256(",".join(str(c) for book in books for entry in book for c in entry).encode()).hexdigest()
+    return [(i, code, error, sums[label], digest) for i, code, error, label in told]
