@@ -31,7 +31,7 @@ def analyse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables about a folder by name."""
     g, more = repository(spark, root)
     return {
-        "score": severity.scores(g.findings),
+        "score": severity.scores(severity.rated(g)),
         "summary": update.self_summary(g).orderBy("measure"),
         "endpoints": g.endpoints.select("method", "path", "zone_level", "is_public", "auth_type").orderBy("is_public", "path", ascending=[False, True]),
         "chains": rules.chain_edges(g).orderBy("confidence", ascending=False),

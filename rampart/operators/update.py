@@ -80,7 +80,7 @@ def analyse(g: Graph, commit: dict, changed: DataFrame, imports: DataFrame, rebu
     paths = written(scope.affected(changed, scope.importers(imports, changed)).select("path"))
     if paths.isEmpty():
         return None
-    before = severity.scores(g.findings).select("score_exp").first()[0]
+    before = severity.scores(severity.rated(g)).select("score_exp").first()[0]
     old_uids = written(owned(g, paths))
     after = update(g, paths, rebuild(paths))
     new_uids = written(owned(after, paths))
@@ -88,13 +88,13 @@ def analyse(g: Graph, commit: dict, changed: DataFrame, imports: DataFrame, rebu
     removed = old_uids.join(new_uids, "uid", "left_anti")
     edges = rules.chain_edges(after).select(F.col("f").cast("string").alias("src"), F.col("target").cast("string").alias("dst"), "evidence", "confidence")
     chains = history.diff_chains(edges, new, removed).where("change = 'new'").count()
-    score = severity.scores(after.findings).select("score_exp").first()[0]
+    score = severity.scores(severity.rated(after)).select("score_exp").first()[0]
     counts = new.agg(F.collect_list("type").alias("types")).crossJoin(removed.agg(F.count("*").alias("n_removed")))  # one row each
     delta = round(before - score, 1)
     diff = history.summary(counts.withColumns({"n_chains": F.lit(chains), "delta": F.lit(float(delta)), "score": F.lit(float(score)), "commit_sha": F.lit(commit["sha"])}))
     rows = g.findings.sparkSession.createDataFrame([(commit["sha"], commit["ts"], commit.get("repo", ""), float(score), chains, delta)], "commit_sha string, ts string, repo string, score double, chain_count int, delta double")
     rows = rows.withColumn("change", C.change_label(F.col("delta"))).drop("delta")
-    own = history.snapshot(severity.contextual_severity(after).select(F.col("contextual_severity").alias("severity")), rows)
+    own = history.snapshot(severity.rated(after).select(F.col("contextual_severity").alias("severity")), rows)
     return after, diff, own if snapshots is None else history.record(snapshots, own)
 
 
@@ -114,5 +114,5 @@ def self_summary(g: Graph) -> DataFrame:
     labels = build.nodes(g).groupBy(F.col("label").alias("measure")).agg(F.count("*").alias("n"))
     public = g.endpoints.where("is_public").agg(F.lit("public endpoints").alias("measure"), F.count("*").alias("n")).select("measure", "n")
     chains = rules.chain_counts(g).select(F.concat(F.lit("chains: "), "rule").alias("measure"), "n")
-    severities = severity.severity_distribution(severity.contextual_severity(g), "contextual_severity").select(F.concat(F.lit("open: "), "severity").alias("measure"), "n")
+    severities = severity.severity_distribution(severity.rated(g)).select(F.concat(F.lit("open: "), "severity").alias("measure"), "n")
     return labels.union(public).union(chains).union(severities)

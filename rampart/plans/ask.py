@@ -1,28 +1,21 @@
-"""Ad hoc questions: SQL over the graph's views, guarded against commands, and answers to named questions."""
+"""Ad hoc questions: guarded SQL over the graph's views, and plans that answer named questions with their parameters."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rampart.functions import columns as C
+from rampart.operators import rules, severity
+from rampart.plans import guard
 from rampart.plans.projection import Graph
 
-_WRITES = re.compile(r"\b(create|merge|delete|detach|set|remove|drop|insert|update|alter|truncate|call|cache|refresh|add|load|use)\b", re.I)
-#: Calls that reach out of the query: into the JVM, into Python, to files and other sources.
-_REACHES_OUT = re.compile(r"\b(try_)?(reflect|java_method)\s*\(|\bpython_\w+\s*\(|\b(read_files|read_kafka|input_file_\w+|version|current_catalog)\s*\(", re.I)
-_FILES = re.compile(r"\b(parquet|orc|json|csv|text|xml|avro|binaryfile|delta|jdbc|hive)\s*\.", re.I)
 MOST_ROWS = 20
-#: Questions by words that all stand in them, and the SQL that answers.
-QUESTIONS = (
-    (("critical", "open"), "select f, cwe_id from findings where raw_severity = 'CRITICAL' and status = 'open' order by f"),
-    (("public", "without", "auth"), "select ep, path from endpoints where is_public and zone_level = 0 order by path"),
-    (("sql", "injection"), "select f, fn from findings join affects using (f) where cwe_id = 'CWE-89' order by f"),
-    (("personal",), "select distinct ep, name from handled_by join access using (fn) join stores using (ds) where contains_pii order by ep, name"),
-    (("depend",), "select dep, count(distinct fn) as functions from uses group by dep order by functions desc, dep"),
-    (("severity", "how", "many"), "select raw_severity, count(*) as n from findings where status = 'open' group by 1 order by 1"),
-    (("input", "stores"), "select distinct fn, ds from functions join access using (fn) where source order by fn, ds"),
-)
+VIEWS = tuple(f.name for f in fields(Graph) if f.name != "memo")
 
 
 def register(g: Graph) -> None:
@@ -31,26 +24,92 @@ def register(g: Graph) -> None:
         df.createOrReplaceTempView(name)
 
 
-def ask_sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
-    """The rows of a reading statement; anything that could change state or reach out of the query raises ValueError.
+def ask_sql(spark: SparkSession, text: str, args: dict | None = None, most: int | None = None) -> DataFrame:
+    """The rows of a statement that reads the graph's views, `most` of them if that is given; any other raises ValueError.
 
-    Words are looked at outside string literals and comments, whether quoted or not; a statement must begin with select, with
-    or values. Functions that call into the JVM or Python, and files named as tables, are refused.
+    What Spark's parser and analyser make of the text is held against lists of what may stand in it (guard.py), before it runs.
     """
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
-    bare = re.sub(r"/\*.*?\*/|--[^\n]*", " ", bare, flags=re.S)
-    plain = re.sub(r'[`"]', "", bare)
-    if _REACHES_OUT.search(plain) or _FILES.search(re.sub(r"\s*\.\s*", ".", plain)):
-        raise ValueError("a statement may not reach out of the query")
-    if _WRITES.search(bare) or not re.match(r"\s*(select|with|values)\b", bare, re.I) or ";" in bare.rstrip().rstrip(";"):
-        raise ValueError("only reading statements are allowed")
-    return spark.sql(text.rstrip().rstrip(";"), args=args or {})
-
-
-def answer(spark: SparkSession, question: str) -> DataFrame | None:
-    """The first rows for a named question over the registered views, or None."""
-    if not 1 <= len(question) <= 1000:
+    out = guard.reading(spark, text.rstrip().rstrip(";"), VIEWS, args)
+    return out if most is None else out.limit(most)
+
+
+def worst_findings(g: Graph) -> DataFrame:
+    rank = C.severity_index(F.col("contextual_severity"))
+    return severity.rated(g).orderBy(rank.desc_nulls_last(), "f").limit(10).select("f", "title", "contextual_severity", "cwe_id")
+
+
+def open_endpoints(g: Graph) -> DataFrame:
+    """Public endpoints that ask for no authentication; where a graph doesn't know, those that a missing-authentication finding stands at."""
+    public = g.endpoints.where("is_public")
+    if "auth_required" in g.endpoints.columns:
+        found = public.where(~F.coalesce("auth_required", F.lit(False)))
+    else:
+        flawed = g.findings.where("cwe_id = 'CWE-306' and status = 'open'").join(g.affects, "f").join(g.handled_by, "fn").select("ep")
+        found = public.join(flawed, "ep", "left_semi")
+    return found.select("ep", "path").orderBy("path", "ep")
+
+
+def chains(g: Graph) -> DataFrame:
+    return rules.chain_edges(g).select("rule", "f", "target", "target_name", "evidence", "confidence").orderBy(F.desc("confidence"), "rule", "f", "target")
+
+
+def exposed_personal_stores(g: Graph) -> DataFrame:
+    """Stores of personal data that public endpoints reach over five calls or fewer."""
+    public = g.endpoints.where("is_public").select("ep", "path")
+    reached = rules.endpoint_reach(g, 5).join(public, "ep").join(rules.personal_access(g), "fn")
+    return reached.select("path", "ds", "name").distinct().orderBy("path", "name")
+
+
+def blast(g: Graph, dependency: str) -> DataFrame:
+    """The functions that use a dependency and the endpoints that they handle; no rows for an unknown one."""
+    own = g.uses.select("dep").union(g.affects_dep.select("dep")).distinct()
+    named = g.dependencies.select("dep", "name") if g.dependencies is not None else own.select("dep", F.col("dep").cast("string").alias("name"))
+    named = named.where(F.lower("name") == dependency.lower())
+    told = named.join(g.uses, "dep", "left").join(g.handled_by, "fn", "left").groupBy("dep", "name")
+    return told.agg(F.countDistinct("fn").alias("functions"), F.countDistinct("ep").alias("endpoints")).orderBy("dep")
+
+
+def recent_snapshots(snapshots: DataFrame) -> DataFrame:
+    return snapshots.orderBy(F.desc("day"), "commit_sha").limit(10).select("commit_sha", "day", "score")
+
+
+def input_functions_at_stores(g: Graph) -> DataFrame:
+    at = g.access.join(g.stores.select("ds", "name"), "ds").groupBy("fn").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("stores"))
+    return g.functions.where("source").join(at, "fn").select("fn", "name", "stores").orderBy("fn")
+
+
+def sql_injections(g: Graph) -> DataFrame:
+    said = (F.col("cwe_id") == "CWE-89") | F.col("title").contains("SQL")
+    found = severity.rated(g).where(F.coalesce(said, F.lit(False))).join(g.affects, "f", "left")
+    return found.select("f", "title", "contextual_severity", "fn").orderBy("f", "fn")
+
+
+Plan = Callable[[Graph, DataFrame | None, re.Match], DataFrame | None]
+#: Questions by what they say, the surest first, and the plans that answer them.
+QUESTIONS: tuple[tuple[str, str, Plan], ...] = (
+    ("blast radius", r"blast\s+radius\s+of\s+(?:the\s+|package\s+|dependency\s+)*[\"'`]?(?P<name>[\w.#-]+)", lambda g, s, m: blast(g, m["name"])),
+    ("posture trend", r"posture|\btrend|improv\w+|degrad\w+|score\s+over", lambda g, s, m: s if s is None else recent_snapshots(s)),
+    ("personal data", r"(?=.*(personal|\bpii\b))(?=.*(reach|public|endpoint|expos))", lambda g, s, m: exposed_personal_stores(g)),
+    ("input at stores", r"(?=.*\binput)(?=.*(database|store|db\b))", lambda g, s, m: input_functions_at_stores(g)),
+    ("open endpoints", r"(?=.*endpoint)(?=.*(\bno\b|without|missing|lack|unauthenticated))(?=.*auth)", lambda g, s, m: open_endpoints(g)),
+    ("chains", r"\bchain", lambda g, s, m: chains(g)),
+    ("sql injection", r"\bsqli\b|\bsql\s+injection", lambda g, s, m: sql_injections(g)),
+    ("worst findings", r"(?=.*(critical|worst|severe|top|serious))(?=.*(finding|vulnerab|issue|risk))", lambda g, s, m: worst_findings(g)),
+)
+
+
+def understood(question: str) -> tuple[str, re.Match, Plan] | None:
+    """The named question that a text asks, or None. A text has from 1 to 1000 characters."""
+    if not 1 <= len(question.strip()) <= 1000:
         raise ValueError("a question has from 1 to 1000 characters")
-    said = question.lower()
-    found = next((sql for words, sql in QUESTIONS if all(w in said for w in words)), None)
-    return spark.sql(found).limit(MOST_ROWS) if found else None
+    for name, pattern, plan in QUESTIONS:
+        if found := re.search(pattern, question, re.I | re.S):
+            return name, found, plan
+    return None
+
+
+def answer(g: Graph, question: str, snapshots: DataFrame | None = None) -> DataFrame | None:
+    """The first rows that answer a question, or None if it isn't one of the named ones or needs snapshots that aren't given."""
+    found = understood(question)
+    rows = found and found[2](g, snapshots, found[1])
+    return None if rows is None else rows.limit(MOST_ROWS)

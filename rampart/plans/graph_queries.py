@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import columns as C
 from rampart.operators import expand, rules, severity
-from rampart.plans.projection import GRAPH_SQL, project
+from rampart.plans.projection import GRAPH_SQL, project, snapshots
 from rampart.plans.registry import query
 
 
@@ -194,36 +194,36 @@ def taint_hop(spark, sf_dir):
     return rules.taint_edges(project(spark, sf_dir)).withColumn("confidence", F.lit(0.9))
 
 
-@query(_sql("select raw_severity as severity, count(*) as n from g_finding where status = 'open' group by 1"))
+@query(_deep("select contextual_severity as severity, count(*) as n from g_severity group by 1"))
 def severity_distribution(spark, sf_dir):
-    return severity.severity_distribution(project(spark, sf_dir).findings.where("status = 'open'"))
+    """Open findings by severity in context."""
+    return severity.severity_distribution(severity.rated(project(spark, sf_dir)))
 
 
-_SCORES = """, w as (select count(*) as n_open, cast(coalesce(sum(case raw_severity when 'CRITICAL' then 10 when 'HIGH' then 5 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end), 0) as bigint) as total
-  from g_finding where status = 'open'),
-s as (select *, case when n_open = 0 then 100.0 else round(exp(-(cast(total as double) / n_open) / 5.0) * 100.0, 1) end as score_exp, greatest(0, 100 - total) as score_linear from w)"""
+_WEIGHT = "case contextual_severity when 'CRITICAL' then 10 when 'HIGH' then 5 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end"
+_SCORES = f""", w as (select count(*) as n_open, cast(coalesce(sum({_WEIGHT}), 0) as bigint) as total from g_severity),
+s as (select *, case when n_open = 0 then 100.0 else round(exp(-(cast(total as double) / n_open) / 5.0) * 100.0, 1) end as score_exp, greatest(0, 100 - total) as score_linear from w)
+"""
 
 
-@query(_sql(_SCORES + "select n_open, total, score_exp from s"))
+@query(_deep(_SCORES + "select n_open, total, score_exp from s"))
 def posture_score_exp(spark, sf_dir):
-    return severity.scores(project(spark, sf_dir).findings).select("n_open", "total", "score_exp")
+    return severity.scores(severity.rated(project(spark, sf_dir))).select("n_open", "total", "score_exp")
 
 
-@query(_sql(_SCORES + "select total, score_linear from s"))
+@query(_deep(_SCORES + "select total, score_linear from s"))
 def posture_score_linear(spark, sf_dir):
-    return severity.scores(project(spark, sf_dir).findings).select("total", "score_linear")
+    return severity.scores(severity.rated(project(spark, sf_dir))).select("total", "score_linear")
 
 
-@query("with " + GRAPH_SQL.strip() + """, w as (select module, count(*) as n_open,
-    sum(case raw_severity when 'CRITICAL' then 10 when 'HIGH' then 5 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end) as total
-  from g_finding join g_affects using (f) join g_function using (fn) where status = 'open' group by 1),
+@query(_deep(f""", w as (select module, count(*) as n_open, sum({_WEIGHT}) as total from g_severity join g_affects using (f) join g_function using (fn) group by 1),
 s as (select module, n_open, round(exp(-(cast(total as double) / n_open) / 5.0) * 100.0, 1) as score from w)
-select *, case when score >= 90 then 'GOOD' when score >= 70 then 'FAIR' when score >= 50 then 'POOR' else 'CRITICAL' end as reading from s""")
+select *, case when score >= 90 then 'GOOD' when score >= 70 then 'FAIR' when score >= 50 then 'POOR' else 'CRITICAL' end as reading from s"""))
 def score_interpretation(spark, sf_dir):
     """The score of each module and what it means."""
     g = project(spark, sf_dir)
-    own = g.findings.where("status = 'open'").join(g.affects, "f").join(g.functions.select("fn", "module"), "fn")
-    own = own.groupBy("module").agg(F.count("*").alias("n_open"), F.sum(C.weight(F.col("raw_severity"))).cast("double").alias("total"))
+    own = severity.rated(g).join(g.affects, "f").join(g.functions.select("fn", "module"), "fn")
+    own = own.groupBy("module").agg(F.count("*").alias("n_open"), F.sum(C.weight(F.col("contextual_severity"))).cast("double").alias("total"))
     own = own.select("module", "n_open", C.score_exp(F.col("total"), F.col("n_open")).alias("score"))
     return own.withColumn("reading", C.interpretation(F.col("score")))
 
@@ -233,22 +233,30 @@ _MET = """, g_met as (select f from g_chain union select distinct f from g_findi
 """
 
 
-@query(_deep(_MET + """select f, raw_severity, cwe_id, reachable, coalesce((select string_agg(distinct path, ',' order by path) from g_affects a join g_handled_by h using (fn) join g_endpoint e using (ep) where a.f = x.f), '') as endpoints
-from (select *, case when f in (select f from g_met) then true end as reachable from g_finding where status = 'open'
-  order by case raw_severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, reachable desc nulls first, f limit 10) x"""))
+_RANKED = """, g_ranked as (select *, row_number() over (order by case contextual_severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, reachable desc nulls first, f) as r
+  from (select f, contextual_severity, cwe_id, case when f in (select f from g_met) then true end as reachable from g_severity join g_finding using (f)))
+"""
+
+
+@query(_deep(_MET + _RANKED + """select f, contextual_severity, cwe_id, reachable, coalesce((select string_agg(distinct path, ',' order by path) from g_affects a join g_handled_by h using (fn) join g_endpoint e using (ep) where a.f = x.f), '') as endpoints
+from g_ranked x where r <= 10"""))
 def top_risks(spark, sf_dir):
+    """The ten worst open findings by severity in context."""
     return severity.top_risks(project(spark, sf_dir))
 
 
-@query(_sql(_SCORES + """, c as (select count(*) filter (raw_severity = 'CRITICAL') as critical, count(*) filter (raw_severity = 'HIGH') as high from g_finding where status = 'open')
-select score_exp as score, n_open, critical, high, (select count(*) from g_endpoint where is_public) as public_endpoints, (select count(*) from g_endpoint) as endpoints from s, c"""))
+@query(_deep(_MET + _RANKED + _SCORES.rstrip() + """, c as (select count(*) filter (contextual_severity = 'CRITICAL') as critical, count(*) filter (contextual_severity = 'HIGH') as high,
+    count(*) filter (contextual_severity = 'MEDIUM') as medium, count(*) filter (contextual_severity = 'LOW') as low from g_severity),
+newest as (select *, row_number() over (order by day desc, commit_sha) as r from g_snapshot order by r limit 10),
+ends as (select arg_min(score, r) as a, arg_max(score, r) as b from newest),
+t as (select a as current_score, coalesce(nullif(b, 0.0), a) as previous_score, round(a - coalesce(nullif(b, 0.0), a), 1) as delta from ends)
+select score_exp as score, case when score_exp >= 90 then 'GOOD' when score_exp >= 70 then 'FAIR' when score_exp >= 50 then 'POOR' else 'CRITICAL' end as reading, n_open, critical, high, medium, low,
+  case when delta > 2 then 'improving' when delta < -2 then 'degrading' else 'stable' end as direction, delta, current_score, previous_score,
+  (select string_agg(cast(f as varchar), ',' order by cast(f as varchar)) from g_ranked where r <= 5) as top_risks, (select count(*) from g_chain) as chain_count,
+  (select count(*) from g_endpoint where is_public) as public_endpoints, (select count(*) from g_endpoint) as endpoints from s, c, t"""))
 def dashboard(spark, sf_dir):
-    """One row: score, open findings by severity, endpoints."""
-    g = project(spark, sf_dir)
-    counts = g.findings.where("status = 'open'").agg(F.count_if(F.col("raw_severity") == "CRITICAL").alias("critical"), F.count_if(F.col("raw_severity") == "HIGH").alias("high"))
-    ends = g.endpoints.agg(F.count_if("is_public").alias("public_endpoints"), F.count("*").alias("endpoints"))
-    rows = severity.scores(g.findings).select(F.col("score_exp").alias("score"), "n_open")
-    return rows.crossJoin(counts).crossJoin(ends)  # one row each
+    """One row: score, findings by severity, trend, worst findings, chains, endpoints."""
+    return severity.dashboard(project(spark, sf_dir), snapshots(spark, sf_dir))
 
 
 @query(_deep("select * from g_chain where rule = 'sqli_pii'"))

@@ -219,7 +219,17 @@ def facts(files: DataFrame) -> DataFrame:
             rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in _File(p or "", t or "").rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], k) for f, k in zip(FIELDS, kinds, strict=True)], names=list(FIELDS))
 
-    return files.select("path", "text").repartition("path").mapInArrow(run, SCHEMA)
+    own = files.select("path", "text")
+    return own.repartition(_tasks(own), "path").mapInArrow(run, SCHEMA)
+
+
+def _tasks(df: DataFrame, task_bytes: int = 16 << 20) -> int:
+    """How many tasks parse df: at least as many as there are cores, as texts compress well and parsing costs far more than reading.
+
+    The number is given, as adaptive execution would bring small partitions together into one task.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(100_000, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)))
 
 
 def functions(all_: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_chains_severities_and_score(spark, g):
     assert counts["sqli_pii"] == 1 and counts["supply_chain"] > 0
     own = {r.f: r.contextual_severity for r in severity.contextual_severity(g).collect()}
     assert own["find:bandit:B608:./db.py:3"] == "CRITICAL" and own["find:bandit:B105:gone.py:1"] == "LOW"
-    assert severity.scores(g.findings).first().score_exp < 100
+    assert severity.scores(severity.rated(g)).first().score_exp < 100
     assert {r.measure: r.n for r in update.self_summary(g).collect()}["public endpoints"] == 3
 
 
@@ -136,16 +136,6 @@ def test_bad_events_are_put_aside(spark):
     assert {r.id: r.reason for r in events.quarantined(rows)[1].collect()} == {3: "bad payload"}
 
 
-@pytest.mark.parametrize("text", ["select reflect('java.lang.System', 'exit', 0)", "select `java_method`('a', 'b')", "select 1 from csv.`/etc/passwd`", "select * from \"parquet\" . `x`", "select /* */ try_reflect('a', 'b')", "select python_worker_logs()", "drop table t"])
-def test_statements_may_not_reach_out(spark, text):
-    with pytest.raises(ValueError):
-        ask.ask_sql(spark, text)
-
-
-def test_reading_statements_pass(spark):
-    assert ask.ask_sql(spark, "select 'reflect(x)' as a -- drop\n").first().a == "reflect(x)"
-
-
 def test_reviews_in_the_usual_format(spark):
     rows = [(1, "Done.\nRISK_LEVEL: HIGH\nTOP_ISSUES: SQLi, Missing auth\nREQUIRES_BLOCK: YES"), (2, "risk_level: critical\nrequires_block: no\ntop_issues: XSS"), (3, "nothing"), (4, None)]
     got = {r.id: (r.risk_level, r.requires_block, r.top_issues) for r in deliver.parse_review(spark.createDataFrame(rows, "id int, text string")).collect()}
