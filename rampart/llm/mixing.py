@@ -1,16 +1,23 @@
 """Mixing to target weights: soft domain membership, and document rates fitted by projected gradient least squares.
 
 A multinomial logistic regression over hashed words, learnt from a labelled table, gives each document posteriors p over
-domains. Every document has a rate r >= 0 of its own; the rates minimise, from r = 1 on,
+domains. Every document has a rate r >= 0 of its own; the rates minimise
 
-    sum over domains k of (T_k(r) - t_k)^2 / s_k,      T_k(r) = sum over documents of (tokens / all tokens) r p_k,
+    sum over domains k of (T_k(r) - t_k)^2 / s_k  +  NEARNESS x sum over documents of w (r - 1)^2,
 
-t_k the target share and s_k the larger of t_k and FLOOR. A step moves each rate against its gradient, the sum over k of
-p_k (T_k - t_k) / s_k, and projects it onto r >= 0 (and r <= most, if that is asked for). It reads the documents once and
-brings back one sum for each domain and the length of the step, which choose the next step's pace (Barzilai and Borwein's,
-held down where the error would grow). Rates follow from p by the paces and gradients of all steps, so nothing is written
-between most steps. A document is then taken floor(r) times, and once more by a draw of probability r - floor(r) that
-its id decides. Over documents only DataFrame functions and Spark ML's own transformers run.
+w a document's share of all tokens, T_k(r) = sum over documents of w r p_k the share that domain k is then expected to have,
+t_k its target, and s_k the larger of t_k and FLOOR. The second term, small beside the first, chooses among all rates that
+fit alike those nearest to 1. With g_k = (T_k - t_k) / s_k, a projected gradient step of pace 1 / NEARNESS leads from any
+rates to
+
+    r = max(0, 1 - sum over k of p_k y_k),      y = g / NEARNESS
+
+(held to `most` too, if that is asked for). So all rates follow from y, one number a domain, and at the minimum the step
+leads back to the rates that it starts from. That fixed point is where a convex function of y is least; each pass over the
+documents brings back its value, its gradient (the T_k) and its curvature (sums of w p_k p_l over rates that aren't held),
+Newton's step and shorter ones are tried within one pass, and the fit ends when the projected gradient step moves no y by
+more than NEAR of the largest. A document is then taken floor(r) times, and once more by a draw of probability r - floor(r)
+that its id decides. Over documents only DataFrame functions and Spark ML's own transformers run.
 """
 
 from __future__ import annotations
@@ -19,22 +26,23 @@ from functools import reduce
 from math import inf, isfinite
 from operator import add
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import discard, free_name, written
+from rampart.llm.common import free_name, written
 
 #: Shares of tokens by domain: languages, and texts labelled as poor.
 TARGETS = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10, "poor": 0.0}
 #: SAMPLE: labelled documents that the classifier is fitted on, at most about so many, chosen by a hash of their ids.
 SAMPLE, BUCKETS, PENALTY, ROUNDS = 4000, 1 << 14, 1e-4, 30
-#: The fit ends when the projected gradient is NEAR 0, when 8 steps have lowered the error by less than a share of SETTLED, or
-#: after STEPS; FLOOR bounds the weight of small targets; after CUT steps the rates so far are written.
-NEAR, SETTLED, STEPS, FLOOR, CUT, MOST = 1e-6, 1e-4, 60, 0.02, 12, inf
-Steps = list[tuple[float, list[float]]]
+#: NEARNESS: the weight of rates near 1; NEAR: where the fit ends; FLOOR: least weight of a target; HALVES: shorter steps tried.
+NEARNESS, NEAR, FLOOR, HALVES, MOST = 0.01, 1e-6, 0.1, 6, inf
+#: Passes after which a fit that hasn't ended is an error: it ends in about ten.
+PASSES = 200
 
 
 def words(text: Column) -> Column:
@@ -79,62 +87,59 @@ def with_posteriors(docs: DataFrame, model: LogisticRegressionModel | list[float
     return told.withColumn(soft, F.concat(vector_to_array(p), rest)).drop(w, unit, p)
 
 
-def rate(soft: Column, steps: Steps, start: Column | None = None, most: float = MOST) -> Column:
-    """The rate that the steps lead to, from 1 or from `start`."""
-    r = F.lit(1.0) if start is None else start
-    for pace, slope in steps:
-        r = F.greatest(r - pace * reduce(add, [soft[k] * e for k, e in enumerate(slope)]), F.lit(0.0))
-        r = F.least(r, F.lit(most)) if isfinite(most) else r
-    return r
+def _inner(soft: Column, y: list[float]) -> Column:
+    return reduce(add, [soft[k] * v for k, v in enumerate(y)])
+
 
+def rate(soft: Column, y: list[float], most: float = MOST) -> Column:
+    """The rate that y gives to a document of these posteriors."""
+    r = F.greatest(1.0 - _inner(soft, y), F.lit(0.0)) if y else F.lit(1.0)
+    return F.least(r, F.lit(most)) if isfinite(most) else r
 
-def fit(rows: DataFrame, targets: dict[str, float], most: float = MOST, steps: int = STEPS, near: float = NEAR) -> Steps:
-    """The steps of the descent over rows(n, soft): tokens and posteriors of each document."""
+
+def fit(rows: DataFrame, targets: dict[str, float], most: float = MOST, nearness: float = NEARNESS, near: float = NEAR) -> list[float]:
+    """y of the least squares over rows(n, soft), tokens and posteriors of each document; no numbers if there are no tokens."""
     whole = sum(targets.values())
     if not targets or min(targets.values()) < 0 or whole <= 0:
         raise ValueError("targets must be nonnegative and some of them positive")
-    want = [w / whole for w in targets.values()]
-    scale = [max(w, FLOOR) for w in want]
+    want = np.array([w / whole for w in targets.values()])
+    scale = nearness * np.maximum(want, FLOOR)
     ks = range(len(want))
     total = rows.agg(F.sum("n")).first()[0] or 0
     if not total:
         return []
-
-    base, since, done, made = rows.select("n", "soft", F.lit(1.0).alias("r")), [], [], None
-
-    def after(pending: Steps) -> tuple[list[float], float]:
-        """Shares of the domains after the pending steps, and the squared length of the last of them."""
-        moved = base.select("n", "soft", rate(F.col("soft"), pending[:-1], F.col("r"), most).alias("was"))
-        moved = moved.select("n", "soft", "was", rate(F.col("soft"), pending[-1:], F.col("was"), most).alias("r"))
-        sums = [F.sum(F.col("n") * F.col("r") * F.col("soft")[k]) for k in ks]
-        row = moved.agg(*sums, F.sum(F.col("n") * (F.col("r") - F.col("was")) * (F.col("r") - F.col("was")))).first()
-        return [row[k] / total for k in ks], row[len(want)] / total
-
-    error = lambda t: sum((t[k] - want[k]) ** 2 / scale[k] for k in ks)
-    slopes = lambda t: [round((t[k] - want[k]) / scale[k], 12) for k in ks]
-    shares, _ = after([(0.0, [0.0] * len(want))])
-    sure = 1 / max(shares[k] / scale[k] for k in ks)  # a pace that never lets the error grow
-    pace, slope, last = sure, slopes(shares), [error(shares)]
-    for _ in range(steps):
-        now, length = after([*since, (pace, slope)])
-        if error(now) > max(last[-4:]) * (1 + 1e-9) and pace > sure:
-            pace = sure
-            continue
-        since.append((pace, slope))
-        if length**0.5 <= near * pace:
-            break
-        curve = sum((slopes(now)[k] - slope[k]) * (now[k] - shares[k]) for k in ks)
-        shares, slope = now, slopes(now)
-        last.append(error(now))
-        if len(last) > 8 and last[-9] - min(last[-8:]) <= SETTLED * last[-9]:
-            break
-        pace = float(f"{max(sure, length / curve if curve > 0 else sure):.12g}")
-        if len(since) == CUT:
-            before, made = made, written(base.select("n", "soft", rate(F.col("soft"), since, F.col("r"), most).alias("r")))
-            discard(before)
-            base, done, since = made, done + since, []
-    discard(made)
-    return done + since
+    p = F.col("soft")
+
+    def value(y: np.ndarray, held: float) -> float:
+        return held + float(want @ y) + 0.5 * float(scale @ (y * y))
+
+    def look(start: np.ndarray, step: np.ndarray) -> tuple[list[float], np.ndarray, np.ndarray]:
+        """At start + step the function's value, shares and curvature, and its value after each halving of the step."""
+        tries = [start + step * 0.5**h for h in range(HALVES)]
+        free = rows.select("n", "soft", *((1.0 - _inner(p, y.tolist())).alias(f"z{h}") for h, y in enumerate(tries)))
+        r = lambda h: F.greatest(F.least(F.col(f"z{h}"), F.lit(most)) if isfinite(most) else F.col(f"z{h}"), F.lit(0.0))
+        inside = (F.col("z0") > 0) & (F.col("z0") < F.lit(most))
+        held = [F.sum(F.col("n") * r(h) * (F.col(f"z{h}") - 0.5 * r(h))) for h in range(HALVES)]
+        shares = [F.sum(F.col("n") * r(0) * p[k]) for k in ks]
+        curve = [F.sum(F.when(inside, F.col("n") * p[k] * p[j]).otherwise(0.0)) for k in ks for j in ks if j <= k]
+        row = [x / total for x in free.agg(*held, *shares, *curve).first()]
+        bend = np.zeros((len(want), len(want)))
+        bend[np.tril_indices(len(want))] = row[HALVES + len(want) :]
+        return [value(y, v) for y, v in zip(tries, row, strict=False)], np.array(row[HALVES : HALVES + len(want)]), bend + np.tril(bend, -1).T
+
+    y, step = np.zeros(len(want)), np.zeros(len(want))
+    values, shares, bend = look(y, step)
+    for _ in range(PASSES):
+        slope = scale * y - (shares - want)
+        if np.abs(slope / scale).max() <= near * max(1.0, np.abs(y).max()):
+            return y.tolist()
+        step, before = -np.linalg.solve(bend + np.diag(scale), slope), values[0]
+        values, shares, bend = look(y, step)
+        if (best := int(np.argmin(values))) and values[0] > before - 1e-4 * abs(float(slope @ step)):
+            step = step * 0.5**best
+            values, shares, bend = look(y, step)
+        y = y + step
+    raise RuntimeError("the rates didn't settle")
 
 
 def copies(r: Column, *key: Column) -> Column:
@@ -162,7 +167,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(with_posteriors(own, learn(own, labelled, domains), domains, "n", "soft").select("doc_id", "n", "soft"))
     p, names = F.col("soft"), F.array(*map(F.lit, domains))
-    told = rows.withColumn("rate", F.round(rate(p, fit(rows, targets, most), most=most), 9))
+    told = rows.withColumn("rate", F.round(rate(p, fit(rows, targets, most), most), 9))
     return told.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
@@ -177,8 +182,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     domains = list(targets)
     n, soft, times = (free_name(docs, c) for c in ("n", "soft", "times"))
     told = written(with_posteriors(docs, learn(docs, labelled, domains), domains, n, soft))
-    steps = fit(told.select(F.col(n).alias("n"), F.col(soft).alias("soft")), targets, most)
-    r = F.round(rate(F.col(soft), steps, most=most), 9)
+    y = fit(told.select(F.col(n).alias("n"), F.col(soft).alias("soft")), targets, most)
+    r = F.round(rate(F.col(soft), y, most), 9)
     told = told.withColumn(times, copies(r, F.col("doc_id").cast("long"), F.col(n)))
     again = told.where(F.col(times) > 0).withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(times))))
     return again.select(*(F.col(f"`{c}`") for c in docs.columns))

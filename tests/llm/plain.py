@@ -105,12 +105,23 @@ def softmax_of_words(text, weights, base, index_of):
     return [x / sum(e) for x in e]
 
 
-def rates(soft, steps):
-    """Rates after steps (pace, slope by domain), from 1."""
-    r = [1.0] * len(soft)
-    for pace, slope in steps:
-        r = [max(0.0, x - pace * sum(a * b for a, b in zip(p, slope, strict=True))) for p, x in zip(soft, r, strict=True)]
-    return r
+def least_rates(n, soft, want, scale, nearness, steps=1500, most=float("inf")):
+    """Rates >= 0 of the penalised least squares, and its value, by accelerated projected gradients over all rates."""
+    import numpy as np
+
+    w, p = np.array(n, float) / sum(n), np.array(soft)
+    want, scale = np.array(list(want)), np.array(list(scale))
+    misses = lambda r: p.T @ (w * r) - want
+    value = lambda r: _value(np.array(r))
+    _value = lambda r: float((misses(r) ** 2 / scale).sum() + nearness * (w * (r - 1) ** 2).sum())
+    steepest = 2 * ((p * p / scale).sum(axis=1) * w).sum() + 2 * nearness
+    r = ahead = np.ones(len(w))
+    t = 1.0
+    for _ in range(steps):
+        new = np.clip(ahead - (2 * p @ (misses(ahead) / scale) + 2 * nearness * (ahead - 1)) / steepest, 0, most)
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, r = new + (before - 1) / t * (new - r), new
+    return r, value(r), value
 
 
 def rule_score(model, stats):

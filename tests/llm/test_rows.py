@@ -203,21 +203,30 @@ def test_posteriors_and_rates_match_plain_ones_and_the_targets(spark):
         want = plain.softmax_of_words(r.text, weights, base, index)
         assert max(abs(a - b) for a, b in zip(r.soft, want, strict=False)) < 1e-9 and abs(sum(r.soft) - 1) < 1e-9
     rows = told.select("n", "soft").collect()
-    steps = mixing.fit(told, mixing.TARGETS)
-    r, n = plain.rates([x.soft for x in rows], steps), [x.n for x in rows]
-    total = sum(n)
     want = list(mixing.TARGETS.values())
-    scale = [max(w, mixing.FLOOR) for w in want]
-    shares = lambda r: [sum(a * b * x.soft[k] for a, b, x in zip(n, r, rows, strict=True)) / total for k in range(len(want))]
-    error = lambda t: sum((a - w) ** 2 / s for a, w, s in zip(t, want, scale, strict=True))
-    now = shares(r)
-    assert all(abs(a - w) < 0.03 for a, w in zip(now, want, strict=True)) and error(now) < 0.1 * error(shares([1.0] * len(r)))
-    slope = [(a - w) / s for a, w, s in zip(now, want, scale, strict=True)]
-    for pace in (0.01, 0.1, 1.0):  # no projected step down the gradient lowers the error by a hundredth
-        moved = plain.rates([x.soft for x in rows], [*steps, (pace, slope)])
-        assert error(shares(moved)) > 0.99 * error(now)
+    least, lowest, value = plain.least_rates([x.n for x in rows], [x.soft for x in rows], want, [max(w, mixing.FLOOR) for w in want], mixing.NEARNESS)
+    y = mixing.fit(told, mixing.TARGETS)
+    r = [max(0.0, 1 - sum(a * b for a, b in zip(x.soft, y, strict=True))) for x in rows]
+    assert lowest * (1 - 1e-6) <= value(r) <= lowest * (1 + 1e-6) and max(abs(a - b) for a, b in zip(r, least, strict=True)) < 0.05
+    total = sum(x.n for x in rows)
+    shares = [sum(x.n * a * x.soft[k] for x, a in zip(rows, r, strict=True)) / total for k in range(len(want))]
+    assert all(abs(a - w) < 0.01 for a, w in zip(shares, want, strict=True) if w) and shares[-1] < 0.04
     got = sorted(x.rate for x in mixing.mixing_rates(docs, labelled).collect())
-    assert max(abs(a - b) for a, b in zip(got, sorted(r), strict=True)) < 1e-3 and got[0] >= 0
+    assert max(abs(a - b) for a, b in zip(got, sorted(r), strict=True)) < 1e-3 and got[0] >= 0 and got[-1] < 4
+
+
+@pytest.mark.parametrize("most", [math.inf, 1.5])
+def test_rates_are_the_least_of_all(spark, most):
+    """A hot domain with a third of all tokens whose target is tiny, one without documents, and rates that are held."""
+    rng = random.Random(5)
+    soft = [(1.0, 0.0, 0.0)] * 40 + [(x, 1 - x, 0.0) for x in (rng.random() for _ in range(80))]
+    rows = [(rng.randrange(1, 9) * (5 if k < 40 else 1), list(p)) for k, p in enumerate(soft)] + [(0, [0.2, 0.3, 0.5])]
+    targets = {"a": 0.05, "b": 0.85, "c": 0.1}
+    y = mixing.fit(spark.createDataFrame(rows, "n long, soft array<double>"), targets, most=most)
+    r = [min(most, max(0.0, 1 - sum(a * b for a, b in zip(p, y, strict=True)))) for _, p in rows]
+    least, lowest, value = plain.least_rates([n for n, _ in rows], [p for _, p in rows], targets.values(), [max(w, mixing.FLOOR) for w in targets.values()], mixing.NEARNESS, most=most)
+    assert abs(value(r) - lowest) <= 1e-6 * lowest and min(r) >= 0 and max(r) <= most
+    assert mixing.fit(spark.createDataFrame([(0, [0.5, 0.5, 0.0])], "n long, soft array<double>"), targets) == []
 
 
 def test_taken_rows_are_as_many_as_copies(spark):
