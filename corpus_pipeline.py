@@ -28,7 +28,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; a document taken twice has two rows."""
+    """Documents as often as their rates say; a document taken more than once has as many rows."""
     return mixing.mix(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
 
 
