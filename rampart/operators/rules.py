@@ -60,28 +60,47 @@ def sql_flaws(findings: DataFrame) -> DataFrame:
     return findings.where(F.coalesce(F.col("cwe_id").isin("CWE-89", "CWE-564"), F.lit(False)) | F.coalesce(words, F.lit(False)))
 
 
-def rule1_sqli_pii(g: Graph) -> DataFrame:
+def _support1(g: Graph, reached: DataFrame, tainted: DataFrame) -> DataFrame:
     """SQL injection that a public endpoint reaches, whose calls also reach personal data.
 
     Findings and stores are brought to one row for each endpoint before they meet, so functions never multiply.
     """
     public = g.endpoints.where("is_public").select("ep", "path")
-    reached = endpoint_reach(g, 6).join(public, "ep")
+    reached = reached.where(F.col("depth") <= 6).join(public, "ep")
     flaws = sql_flaws(g.findings).join(g.affects, "f").select("f", "fn")
     holes = reached.join(flaws, "fn").select("ep", "path", "f").distinct()
     stores = reached.join(personal_access(g), "fn").select("ep", "ds").distinct()
-    taint = tainted_endpoints(g).withColumn("taint", F.lit(True))
-    return _chains(holes.join(stores, "ep").join(taint, "ep", "left"), "sqli_pii", 1.0, 0.90)
+    return holes.join(stores, "ep").join(tainted.withColumn("taint", F.lit(True)), "ep", "left").select(F.lit("sqli_pii").alias("rule"), "ep", "f", "ds", "path", "taint")
 
 
-def rule2_missing_auth_pii(g: Graph) -> DataFrame:
+def _support2(g: Graph, reached: DataFrame, handled: DataFrame, tainted: DataFrame) -> DataFrame:
     """A handler without authentication whose calls reach personal data."""
     public = g.endpoints.where("is_public").select("ep", "path")
     flaws = g.findings.where("cwe_id = 'CWE-306'").join(g.affects, "f").select("f", "fn")
-    open_ = public.join(g.handled_by, "ep").join(flaws, "fn").select("ep", "path", "f")
-    stores = endpoint_reach(g, 5).join(personal_access(g), "fn").select("ep", "ds").distinct()
-    taint = tainted_endpoints(g).withColumn("taint", F.lit(True))
-    return _chains(open_.join(stores, "ep").join(taint, "ep", "left"), "missing_auth_pii", 1.0, 0.95)
+    open_ = public.join(handled, "ep").join(flaws, "fn").select("ep", "path", "f")
+    stores = reached.where(F.col("depth") <= 5).join(personal_access(g), "fn").select("ep", "ds").distinct()
+    return open_.join(stores, "ep").join(tainted.withColumn("taint", F.lit(True)), "ep", "left").select(F.lit("missing_auth_pii").alias("rule"), "ep", "f", "ds", "path", "taint")
+
+
+def support(g: Graph, reached: DataFrame, handled: DataFrame, tainted: DataFrame) -> DataFrame:
+    """rule, ep, f, ds, path, taint: what endpoints add to the chains, by what they reach(ep, fn, depth), handle and taint."""
+    return _support1(g, reached, tainted).unionByName(_support2(g, reached, handled, tainted))
+
+
+def chains_of(support: DataFrame) -> DataFrame:
+    """The chains that support rows make up."""
+    one = _chains(support.where("rule = 'sqli_pii'"), "sqli_pii", 1.0, 0.90)
+    return one.unionByName(_chains(support.where("rule = 'missing_auth_pii'"), "missing_auth_pii", 1.0, 0.95))
+
+
+def rule1_sqli_pii(g: Graph) -> DataFrame:
+    """SQL injection and personal data behind one public endpoint."""
+    return _chains(_support1(g, endpoint_reach(g, 6), tainted_endpoints(g)), "sqli_pii", 1.0, 0.90)
+
+
+def rule2_missing_auth_pii(g: Graph) -> DataFrame:
+    """Personal data behind a handler without authentication."""
+    return _chains(_support2(g, endpoint_reach(g, 5), g.handled_by, tainted_endpoints(g)), "missing_auth_pii", 1.0, 0.95)
 
 
 def rule3_supply_chain(g: Graph) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -40,6 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few narrow columns that may be broadcast.
+FEW = 200_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows, else joined by shuffling. Its size is looked at, so give what is cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the folders of written tables that nothing reads any more; other tables are left alone."""
     for df in frames:
