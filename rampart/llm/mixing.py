@@ -15,7 +15,7 @@ rates to
 (held to `most` too, if that is asked for). So all rates follow from y, one number a domain, and at the minimum the step
 leads back to the rates that it starts from. That fixed point is where a convex function of y is least; each pass over the
 documents brings back its value, its gradient (the T_k) and its curvature (sums of w p_k p_l over rates that aren't held),
-Newton's step and shorter ones are tried within one pass, and the fit ends when the projected gradient step moves no y by
+Newton's step, halved where the function wouldn't fall, leads to the next, and the fit ends when the projected gradient step moves no y by
 more than NEAR of the largest. A document is then taken floor(r) times, and once more by a draw of probability r - floor(r)
 that its id decides. Over documents only DataFrame functions and Spark ML's own transformers run.
 """
@@ -39,8 +39,8 @@ from rampart.llm.common import free_name, written
 TARGETS = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10, "poor": 0.0}
 #: SAMPLE: labelled documents that the classifier is fitted on, at most about so many, chosen by a hash of their ids.
 SAMPLE, BUCKETS, PENALTY, ROUNDS = 4000, 1 << 14, 1e-4, 30
-#: NEARNESS: the weight of rates near 1; NEAR: where the fit ends; FLOOR: least weight of a target; HALVES: shorter steps tried.
-NEARNESS, NEAR, FLOOR, HALVES, MOST = 0.01, 1e-6, 0.1, 6, inf
+#: NEARNESS: the weight of rates near 1; NEAR: where the fit ends; FLOOR: least weight of a target.
+NEARNESS, NEAR, FLOOR, MOST = 0.01, 1e-6, 0.1, inf
 #: Passes after which a fit that hasn't ended is an error: it ends in about ten.
 PASSES = 200
 
@@ -110,35 +110,30 @@ def fit(rows: DataFrame, targets: dict[str, float], most: float = MOST, nearness
         return []
     p = F.col("soft")
 
-    def value(y: np.ndarray, held: float) -> float:
-        return held + float(want @ y) + 0.5 * float(scale @ (y * y))
-
-    def look(start: np.ndarray, step: np.ndarray) -> tuple[list[float], np.ndarray, np.ndarray]:
-        """At start + step the function's value, shares and curvature, and its value after each halving of the step."""
-        tries = [start + step * 0.5**h for h in range(HALVES)]
-        free = rows.select("n", "soft", *((1.0 - _inner(p, y.tolist())).alias(f"z{h}") for h, y in enumerate(tries)))
-        r = lambda h: F.greatest(F.least(F.col(f"z{h}"), F.lit(most)) if isfinite(most) else F.col(f"z{h}"), F.lit(0.0))
-        inside = (F.col("z0") > 0) & (F.col("z0") < F.lit(most))
-        held = [F.sum(F.col("n") * r(h) * (F.col(f"z{h}") - 0.5 * r(h))) for h in range(HALVES)]
-        shares = [F.sum(F.col("n") * r(0) * p[k]) for k in ks]
-        curve = [F.sum(F.when(inside, F.col("n") * p[k] * p[j]).otherwise(0.0)) for k in ks for j in ks if j <= k]
-        row = [x / total for x in free.agg(*held, *shares, *curve).first()]
+    def look(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The function's value at y, the shares of the domains, and the curvature."""
+        free = rows.select("n", "soft", (1.0 - _inner(p, y.tolist())).alias("z"))
+        r = F.greatest(F.least("z", F.lit(most)) if isfinite(most) else F.col("z"), F.lit(0.0))
+        free = free.select("soft", "z", r.alias("r"), (F.col("n") * r).alias("m"), F.when((F.col("z") > 0) & (F.col("z") < F.lit(most)), F.col("n")).otherwise(0).alias("bent"))
+        shares = [F.sum(F.col("m") * p[k]) for k in ks]
+        curve = [F.sum(F.col("bent") * p[k] * p[j]) for k in ks for j in ks if j <= k]
+        held, *row = (x / total for x in free.agg(F.sum(F.col("m") * (F.col("z") - 0.5 * F.col("r"))), *shares, *curve).first())
         bend = np.zeros((len(want), len(want)))
-        bend[np.tril_indices(len(want))] = row[HALVES + len(want) :]
-        return [value(y, v) for y, v in zip(tries, row, strict=False)], np.array(row[HALVES : HALVES + len(want)]), bend + np.tril(bend, -1).T
+        bend[np.tril_indices(len(want))] = row[len(want) :]
+        return held + float(want @ y) + 0.5 * float(scale @ (y * y)), np.array(row[: len(want)]), bend + np.tril(bend, -1).T
 
-    y, step = np.zeros(len(want)), np.zeros(len(want))
-    values, shares, bend = look(y, step)
+    y = np.zeros(len(want))
+    value, shares, bend = look(y)
     for _ in range(PASSES):
         slope = scale * y - (shares - want)
         if np.abs(slope / scale).max() <= near * max(1.0, np.abs(y).max()):
             return y.tolist()
-        step, before = -np.linalg.solve(bend + np.diag(scale), slope), values[0]
-        values, shares, bend = look(y, step)
-        if (best := int(np.argmin(values))) and values[0] > before - 1e-4 * abs(float(slope @ step)):
-            step = step * 0.5**best
-            values, shares, bend = look(y, step)
-        y = y + step
+        step = -np.linalg.solve(bend + np.diag(scale), slope)
+        now = look(y + step)
+        while now[0] > value + 1e-4 * float(slope @ step) + 1e-12 * abs(value):
+            step = step / 2
+            now = look(y + step)
+        y, (value, shares, bend) = y + step, now
     raise RuntimeError("the rates didn't settle")
 
 
