@@ -68,37 +68,27 @@ class Buckets:
 
     def read(self, name: str, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
         """A table, or some of its buckets; files of other buckets aren't opened."""
-        m = self.manifest(version)
+        return self._read(self.manifest(version), name, buckets)
+
+    def _read(self, m: Manifest, name: str, buckets: list[int] | None) -> DataFrame:
         schema = T.StructType.fromJson(m.schemas[name])
         wanted = m.versions.get(name, {}) if buckets is None else {b: v for b, v in m.versions.get(name, {}).items() if int(b) in set(buckets)}
         paths = [f"{self.folder}/data/{name}/v={v}/b={b}" for b, v in wanted.items()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def commit(self, changes: dict[str, tuple[DataFrame, list[int] | None]], tag: int | None = None) -> Manifest:
-        """Put in place changes(rows, buckets) by table: the rows are all that these buckets hold from now on; None: all buckets.
-
-        Rows of other buckets are refused by leaving them out, so the caller gives the rows of whole buckets. A commit whose
-        tag isn't beyond the newest manifest's is one that has been made already, and does nothing.
-        """
+    def draft(self, tag: int | None = None) -> Draft | None:
+        """A commit to be made; None if one of this tag, or a later one, has been made already."""
         old = self.manifest()
-        if tag is not None and tag <= old.tag:
-            return old
-        new = Manifest(old.version + 1, old.tag if tag is None else tag, dict(old.schemas), {k: dict(v) for k, v in old.versions.items()})
-        self.written = 0
+        return None if tag is not None and tag <= old.tag else Draft(self, old, old.tag if tag is None else tag)
+
+    def commit(self, changes: dict[str, tuple[DataFrame, list[int] | None]], tag: int | None = None) -> Manifest:
+        """Put in place changes(rows, buckets) by table, as `Draft.put` takes them; nothing if the tag has been committed."""
+        own = self.draft(tag)
+        if own is None:
+            return self.manifest()
         for name, (df, buckets) in changes.items():
-            rows = df.withColumn("b", self.bucket(self.keys[name]))
-            own = range(self.n) if buckets is None else buckets
-            at = f"{self.folder}/data/{name}/v={new.version}"
-            if own:
-                rows = rows if buckets is None else rows.where(F.col("b").isin(*own))
-                rows.repartition(min(len(own), self.n), "b").write.mode("overwrite").partitionBy("b").parquet(at)
-            made = {n.removeprefix("b=") for n in self._names("data", name, f"v={new.version}") if n.startswith("b=")}
-            self.written += len(made)
-            new.schemas[name] = df.schema.jsonValue()
-            kept = {b: v for b, v in new.versions.get(name, {}).items() if int(b) not in set(own)}
-            new.versions[name] = kept | dict.fromkeys(sorted(made, key=int), new.version)
-        self._put(new)
-        return new
+            own.put(name, df, buckets)
+        return own.publish()
 
     def _put(self, m: Manifest) -> None:
         fs, jvm = self._fs(), self.spark._jvm
@@ -129,3 +119,33 @@ class Buckets:
                 for b in unused if len(unused) < len(own) else [""]:
                     fs.delete(self._path("data", name, v, b) if b else self._path("data", name, v), True)
         return gone
+
+
+class Draft:
+    """A commit in the making: tables that it has put can be read from it; nobody else sees them before it is published."""
+
+    def __init__(self, store: Buckets, old: Manifest, tag: int):
+        self.store = store
+        self.manifest = Manifest(old.version + 1, tag, dict(old.schemas), {k: dict(v) for k, v in old.versions.items()})
+        store.written = 0
+
+    def put(self, name: str, df: DataFrame, buckets: list[int] | None = None) -> None:
+        """Write a table's rows: all that these buckets hold from now on; None: all buckets. Rows of other buckets are left out."""
+        s, m = self.store, self.manifest
+        rows = df.withColumn("b", s.bucket(s.keys[name]))
+        own = range(s.n) if buckets is None else buckets
+        if own:
+            rows = rows if buckets is None else rows.where(F.col("b").isin(*own))
+            rows.repartition(min(len(own), s.n), "b").write.mode("overwrite").partitionBy("b").parquet(f"{s.folder}/data/{name}/v={m.version}")
+        made = {n.removeprefix("b=") for n in s._names("data", name, f"v={m.version}") if n.startswith("b=")} if own else set()
+        s.written += len(made)
+        m.schemas[name] = df.schema.jsonValue()
+        kept = {b: v for b, v in m.versions.get(name, {}).items() if int(b) not in set(own)}
+        m.versions[name] = kept | dict.fromkeys(sorted(made, key=int), m.version)
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        return self.store._read(self.manifest, name, buckets)
+
+    def publish(self) -> Manifest:
+        self.store._put(self.manifest)
+        return self.manifest

@@ -122,11 +122,12 @@ def config_findings(issues: DataFrame) -> DataFrame:
     return _findings(rows, "config", F.lit("config_analyzer"))
 
 
-def dependency_nodes(requirements: DataFrame, audit: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def dependency_nodes(requirements: DataFrame, audit: DataFrame, manifest: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(dependencies, findings, affects) of requirements(name, version, pinned) and audit(package, cve_id, severity, description).
 
     Packages meet by name, case left out. Every requirement is a dependency with the list of its known vulnerabilities, empty
-    if there are none; vulnerabilities of other packages are left out.
+    if there are none; vulnerabilities of other packages are left out. A vulnerability stands in the manifest file, or, where
+    none is named, under the package's name; its id goes by the package's name.
     """
     own = requirements.select("name", F.coalesce("version", F.lit("")).alias("version"), "pinned", F.lower("name").alias("key")).dropDuplicates(["name", "version"])
     own = own.withColumn("dep", C.uid("dep", F.col("name"), F.col("version")))
@@ -139,15 +140,17 @@ def dependency_nodes(requirements: DataFrame, audit: DataFrame) -> tuple[DataFra
         F.col("name").alias("file"), F.lit(0).alias("line"),
     )
     affects = rows.select(C.uid("find", "pip-audit", F.col("rule_id"), F.col("file"), "0").alias("f"), "dep").distinct()
-    return dependencies, _findings(rows, "dependency", F.lit("pip-audit")), affects
+    found = _findings(rows, "dependency", F.lit("pip-audit"))
+    return dependencies, found.withColumn("file", F.lit(manifest)) if manifest else found, affects
 
 
-def graph(facts: DataFrame, requirements: DataFrame | None = None, scans: DataFrame | None = None, audit: DataFrame | None = None, issues: DataFrame | None = None, service: str = "app", repo: str = "", known: DataFrame | None = None) -> Graph:
+def graph(facts: DataFrame, requirements: DataFrame | None = None, scans: DataFrame | None = None, audit: DataFrame | None = None, issues: DataFrame | None = None, service: str = "app", repo: str = "", known: DataFrame | None = None, manifest: str = "") -> Graph:
     """The whole property graph of a repository's facts and reports; rules, severities and scores run on it.
 
     Functions, stores, endpoints and dependencies are named by their ids, functions by their qualified names. An endpoint
     has an edge to its handler only if that is known. Missing tables count as empty. known(fn): functions of other files that
-    calls may lead to, where the facts are those of changed files alone.
+    calls may lead to, where the facts are those of changed files alone. manifest: the requirements' file, which vulnerabilities
+    of dependencies stand in, so that a change of it replaces them.
     """
     spark = facts.sparkSession
     empty = lambda schema: spark.createDataFrame([], schema)
@@ -168,7 +171,7 @@ def graph(facts: DataFrame, requirements: DataFrame | None = None, scans: DataFr
     handlers = functions.select(F.col("fn").alias("handler"))
     handled = ends.join(handlers, "handler", "left_semi").select("ep", F.col("handler").alias("fn"))
     stores = store_edges(facts).withColumn("ds", C.uid("ds", F.col("kind"), F.col("store")))
-    dependencies, cves, affects_dep = dependency_nodes(requirements, audit)
+    dependencies, cves, affects_dep = dependency_nodes(requirements, audit, manifest)
     found = scan_findings(scans)
     spans = nodes.select(F.col("qualified").alias("fn"), "file", F.col("line").alias("start"), F.col("end_line").alias("end"))
     affects = containing(found.select(F.col("f").alias("find"), "file", "line"), spans).select(F.col("find").alias("f"), "fn")

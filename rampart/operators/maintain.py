@@ -20,6 +20,17 @@ from rampart.plans.projection import Graph
 from rampart.storage import discard, few, written
 
 
+class Table:
+    """Rows that are asked for by the values of a column; this one holds them as one DataFrame."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def at(self, column: str, values: DataFrame) -> DataFrame:
+        """At least the rows whose column has one of values(column)."""
+        return self.rows
+
+
 @dataclass
 class Change:
     """What became of a reach table: pairs that are gone, and pairs that are new or have another depth."""
@@ -39,62 +50,77 @@ def difference(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFram
     return written(b.exceptAll(a)), written(a.exceptAll(b))
 
 
-def _fallen(reached: DataFrame, edges: DataFrame, removed: DataFrame, ended: DataFrame, hops: int) -> list[DataFrame]:
+def _fallen(reached: Table, edges: Table, removed: DataFrame, ended: DataFrame, hops: int) -> list[DataFrame]:
     """Pairs (start, node, depth), a table for each level, whose depth no path has any more."""
-    levels = [written(reached.where("depth = 0").join(few(ended.select("start", "node").distinct()), ["start", "node"], "left_semi"))]
-    lost = few(removed.select("src", F.col("dst").alias("to")).distinct())
-    suspects = written(reached.join(lost, F.col("node") == F.col("src")).select("start", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")))
+    pair = ["start", "node"]
+    ended, lost = ended.select(*pair).distinct(), removed.select("src", F.col("dst").alias("to")).distinct()
+    levels = [written(reached.at("node", ended).where("depth = 0").join(few(ended), pair, "left_semi"))]
+    suspects = written(reached.at("node", lost.select(F.col("src").alias("node"))).join(few(lost), F.col("node") == F.col("src")).select("start", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")))
+    last = suspects.agg(F.max("depth")).first()[0] or 0  # of the levels that have lost edges of their own
     for depth in range(1, hops + 1):
-        after = few(levels[-1].select("start", F.col("node").alias("src"))).join(edges, "src").select("start", F.col("dst").alias("node"))
-        asked = suspects.where(F.col("depth") == depth).select("start", "node").union(after).distinct()
-        asked = written(reached.where(F.col("depth") == depth).join(few(written(asked)), ["start", "node"], "left_semi").select("start", "node"))
-        if asked.isEmpty():
-            levels.append(asked.withColumn("depth", F.lit(depth)))
-            continue
-        before = edges.join(few(asked), edges["dst"] == asked["node"]).select("start", "node", F.col("src").alias("over"))
-        up = reached.where(F.col("depth") == depth - 1).join(few(levels[-1].select("start", "node")), ["start", "node"], "left_anti").select("start", F.col("node").alias("over"))
-        held = up.join(few(written(before)), ["start", "over"]).select("start", "node").distinct()
-        levels.append(written(asked.join(held, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))))
+        before = levels[-1]
+        if before.isEmpty() and depth > last:
+            break
+        over = before.select("start", F.col("node").alias("src"))
+        after = few(over).join(edges.at("src", over), "src").select("start", F.col("dst").alias("node"))
+        asked = written(suspects.where(F.col("depth") == depth).select(*pair).union(after).distinct())
+        asked = written(reached.at("node", asked).where(F.col("depth") == depth).join(few(asked), pair, "left_semi").select(*pair))
+        into = edges.at("dst", asked.select(F.col("node").alias("dst")))
+        around = written(into.join(few(asked), into["dst"] == asked["node"]).select("start", "node", F.col("src").alias("over")))
+        up = reached.at("node", around.select(F.col("over").alias("node"))).where(F.col("depth") == depth - 1)
+        up = up.join(few(before.select(*pair)), pair, "left_anti").select("start", F.col("node").alias("over"))
+        held = up.join(few(around), ["start", "over"]).select(*pair).distinct()
+        levels.append(written(asked.join(held, pair, "left_anti").withColumn("depth", F.lit(depth))))
+        discard(around)
     discard(suspects)
     return levels
 
 
-def maintain(reached: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, begun: DataFrame, ended: DataFrame, hops: int) -> Change:
+def maintain(reached: Table | DataFrame, edges: Table | DataFrame, added: DataFrame, removed: DataFrame, begun: DataFrame, ended: DataFrame, hops: int) -> Change:
     """What becomes of reached(start, node, depth), as `expand.reach` gave it, when edges and starts have changed.
 
     edges(src, dst): all edges as they are now; added, removed: the edges that came and went; begun, ended(start, node): the
-    starts that did. Loops are left out, as in `reach`.
+    starts that did. Loops are left out, as in `reach`. reached is asked by node, edges by src and dst, so tables that are
+    kept in buckets read those of the change alone.
     """
-    steps = edges.select("src", "dst").where("src <> dst")
-    added, removed = (x.select("src", "dst").where("src <> dst") for x in (added, removed))
-    fallen = _fallen(reached, steps, removed, ended, hops)
+    reached, edges = (x if isinstance(x, Table) else Table(x) for x in (reached, edges))
+    pair = ["start", "node"]
+    added, removed = (x.select("src", "dst").where("src <> dst").distinct() for x in (added, removed))
+    fallen = _fallen(reached, edges, removed, ended, hops)
     fell = fallen[0]
     for level in fallen[1:]:
         fell = fell.union(level)
-    fell = written(fell.select("start", "node"))
-    left = reached.join(few(fell), ["start", "node"], "left_anti")
-    around = steps.join(few(fell), steps["dst"] == fell["node"]).select("start", "node", F.col("src").alias("over"))
-    again = left.withColumnRenamed("node", "over").join(few(written(around)), ["start", "over"]).select("start", "node", F.col("depth") + 1)
-    new = left.join(few(added.distinct()), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.col("depth") + 1)
-    seeds = written(begun.select("start", "node").withColumn("depth", F.lit(0)).union(again).union(new).toDF("start", "node", "depth").where(F.col("depth") <= hops).distinct())
+    fell = written(fell.select(*pair))
+    gone_pairs = few(fell)
+    left = lambda values: reached.at("node", values).join(gone_pairs, pair, "left_anti")
+    into = edges.at("dst", fell.select(F.col("node").alias("dst")))
+    around = written(into.where("src <> dst").join(few(fell), into["dst"] == fell["node"]).select("start", "node", F.col("src").alias("over")))
+    again = left(around.select(F.col("over").alias("node"))).withColumnRenamed("node", "over").join(few(around), ["start", "over"]).select("start", "node", F.col("depth") + 1)
+    new = left(added.select(F.col("src").alias("node"))).join(few(added), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.col("depth") + 1)
+    seeds = written(begun.select(*pair).withColumn("depth", F.lit(0)).union(again).union(new).toDF("start", "node", "depth").where(F.col("depth") <= hops).distinct())
+    last = seeds.agg(F.max("depth")).first()[0]
     found: list[DataFrame] = []
-    for depth in range(hops + 1):
-        asked = seeds.where(F.col("depth") == depth).select("start", "node")
+    for depth in range(hops + 1 if last is not None else 0):
+        if depth > last and found[-1].isEmpty():
+            break
+        asked = seeds.where(F.col("depth") == depth).select(*pair)
         if found:
-            asked = asked.union(few(found[-1].select("start", F.col("node").alias("src"))).join(steps, "src").select("start", F.col("dst").alias("node")))
+            over = found[-1].select("start", F.col("node").alias("src"))
+            asked = asked.union(few(over).join(edges.at("src", over).where("src <> dst"), "src").select("start", F.col("dst").alias("node")))
         asked = written(asked.distinct())
-        known = left.where(F.col("depth") <= depth).join(few(asked), ["start", "node"], "left_semi").select("start", "node")
+        known = left(asked).where(F.col("depth") <= depth).join(few(asked), pair, "left_semi").select(*pair)
         for level in found:
-            known = known.union(level.select("start", "node"))
-        found.append(written(asked.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))))
-    now = found[0]
-    for level in found[1:]:
+            known = known.union(level.select(*pair))
+        found.append(written(asked.join(known, pair, "left_anti").withColumn("depth", F.lit(depth))))
+    now = fell.withColumn("depth", F.lit(0)).limit(0)
+    for level in found:
         now = now.union(level)
     now = written(now)
-    same = written(reached.join(few(now), ["start", "node", "depth"], "left_semi").select("start", "node"))  # fell, and came back by way of new pairs
-    gone = fell.join(now, ["start", "node"], "left_anti")
-    discard(seeds, *fallen, *found)
-    return Change(gone, now.join(few(same), ["start", "node"], "left_anti"))
+    same = written(reached.at("node", now).join(few(now), [*pair, "depth"], "left_semi").select(*pair))  # fell, and came back by way of new pairs
+    gone = written(fell.join(now, pair, "left_anti"))
+    out = Change(gone, written(now.join(few(same), pair, "left_anti")))
+    discard(seeds, around, same, fell, now, *fallen, *found)
+    return out
 
 
 def ends_of(reached: DataFrame, functions: DataFrame) -> DataFrame:

@@ -98,17 +98,6 @@ def analyse(g: Graph, commit: dict, changed: DataFrame, imports: DataFrame, rebu
     return after, diff, own if snapshots is None else history.record(snapshots, own)
 
 
-def save(g: Graph, folder: str) -> None:
-    """The graph's relations as tables below a folder: a generation."""
-    for name, df in g.tables().items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
-def load(spark, folder: str, names: tuple[str, ...]) -> Graph:
-    """The generation in a folder."""
-    return Graph(**{name: spark.read.parquet(f"{folder}/{name}") for name in names})
-
-
 def self_summary(g: Graph) -> DataFrame:
     """measure, n: how many nodes of each label, public endpoints, chains and open findings by severity a graph has."""
     labels = build.nodes(g).groupBy(F.col("label").alias("measure")).agg(F.count("*").alias("n"))

@@ -226,10 +226,13 @@ def facts(files: DataFrame) -> DataFrame:
 def _tasks(df: DataFrame, task_bytes: int = 16 << 20) -> int:
     """How many tasks parse df: at least as many as there are cores, as texts compress well and parsing costs far more than reading.
 
-    The number is given, as adaptive execution would bring small partitions together into one task.
+    The number is given, as adaptive execution would bring small partitions together into one task. Where the plan's size
+    isn't known, it is that of shuffles.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(100_000, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)))
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = -(-size // task_bytes) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(100_000, max(spark.sparkContext.defaultParallelism, by_size))
 
 
 def functions(all_: DataFrame) -> DataFrame:

@@ -41,12 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-#: Rows of a few narrow columns that may be broadcast.
-FEW = 200_000
+#: Rows of a few narrow columns, or bytes by the plan's estimate, that may be broadcast.
+FEW, FEW_BYTES = 200_000, 4 << 20
 
 
 def few(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows, else joined by shuffling. Its size is looked at, so give what is cheap to count."""
+    """df, to be broadcast if it is small, else joined by shuffling. Small is what its plan, whose tables have been written and so
+    know their size, puts below FEW_BYTES; a larger estimate is settled by counting up to `most` rows."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= FEW_BYTES:
+        return F.broadcast(df)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

@@ -1,4 +1,4 @@
-"""Commits as a stream: each micro-batch of routed webhooks brings the graph to its next generation."""
+"""Commits as a stream: each micro-batch of routed webhooks brings the stored graph to its next versions."""
 
 from __future__ import annotations
 
@@ -7,35 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.operators import update
-from rampart.plans.projection import Graph
+from rampart.buckets import Buckets
+from rampart.operators import stored
 
+#: Commits that a micro-batch may hold; maxFilesPerTrigger of the source keeps it below that.
+MOST_COMMITS = 10_000
 
-def follow(pushes: DataFrame, folder: str, first: Graph, imports: DataFrame, rebuild: Callable[[str, DataFrame], Graph]) -> None:
-    """Analyse all commits that a stream pushes(sha, repo, files, ts) has now, in order of time, and keep the generations.
 
-    Below the folder: the checkpoint, graph-N after micro-batch N (the newest is read by the next), and snapshots-N. A batch
-    that failed is run again from the generation before it and overwrites what it had written, so an event is analysed at
-    least once and counted once. rebuild(sha, paths) gives the graph of the affected files after the commit. Commits that
-    touch one file follow each other, so the driver walks over the commits of a batch, whose number maxFilesPerTrigger bounds.
+def follow(pushes: DataFrame, store: Buckets, state: str, rebuild: Callable[[str, DataFrame], tuple], tell: Callable[[DataFrame], None] | None = None, keep: int = 2) -> None:
+    """Analyse all commits that a stream pushes(sha, repo, files, ts) has now, in order of time.
+
+    Each commit is put into the store under its place in the stream, so one that was analysed before its batch failed is
+    passed over when the batch runs again. rebuild(sha, paths) gives the graph and the imports of the affected files after
+    the commit; tell gets a commit's diff once it is visible, at least once. state holds the stream's checkpoint; of older
+    versions of the store, `keep` stay. Commits that touch one file follow each other, so the driver walks over the commits.
     """
-    names = tuple(first.tables())
 
     def run(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        g = update.load(spark, f"{folder}/graph-{batch - 1}", names) if batch else first
-        snapshots = spark.read.parquet(f"{folder}/snapshots-{batch - 1}") if batch else None
-        for row in df.orderBy("ts", "sha").collect():
+        for place, row in enumerate(df.orderBy("ts", "sha").collect()):
             changed = spark.createDataFrame([(p,) for p in row.files], "path string")
-            commit = {"sha": row.sha, "ts": str(row.ts), "repo": row.repo}
-            out = update.analyse(g, commit, changed, imports, lambda paths, sha=row.sha: rebuild(sha, paths), snapshots)
-            if out:
-                g, _, snapshots = out
-        update.save(g, f"{folder}/graph-{batch}")
-        if snapshots is None:
-            kind = "commit_sha string, ts string, repo string, score double, chain_count int, change string, counts map<string,bigint>"
-            snapshots = spark.createDataFrame([], kind)
-        snapshots.write.mode("overwrite").parquet(f"{folder}/snapshots-{batch}")
-
-    q = pushes.where(F.size("files") > 0).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            diff = stored.commit(store, row.sha, str(row.ts), row.repo, changed, lambda paths, sha=row.sha: rebuild(sha, paths), batch * MOST_COMMITS + place)
+            if diff is not None and tell:
+                tell(diff)
+        store.vacuum(keep)
+
+    q = pushes.where(F.size("files") > 0).writeStream.foreachBatch(run).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()

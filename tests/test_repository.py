@@ -99,19 +99,6 @@ def test_a_commit_replaces_its_files(spark, g):
     assert update.analyse(g, commit, spark.createDataFrame([("x.txt",)], "path string"), imports, rebuild) is None
 
 
-def test_commits_are_followed_as_a_stream(spark, g, tmp_path):
-    rows = [("c1", "r", ["app.py"], "2026-01-01"), ("c2", "r", ["db.py"], "2026-01-02")]
-    kind = "sha string, repo string, files array<string>, ts string"
-    folder = tmp_path / "pushes"
-    follow = lambda: commits.follow(spark.readStream.schema(kind).parquet(str(folder)), str(tmp_path / "state"), g, spark.createDataFrame([], "path string, module string"), lambda sha, paths: graph_of(spark, [], app=APP) if sha == "c1" else graph_of(spark, [], db="def get_user(n):\n    pass\n"))
-    spark.createDataFrame(rows[:1], kind).write.parquet(str(folder))
-    follow()
-    spark.createDataFrame(rows[1:], kind).write.mode("append").parquet(str(folder))
-    follow()
-    assert {r.commit_sha for r in spark.read.parquet(str(tmp_path / "state" / "snapshots-1")).collect()} == {"c1", "c2"}
-    assert {r.fn for r in spark.read.parquet(str(tmp_path / "state" / "graph-1" / "functions")).collect()} == {"app.login", "app.admin", "app.health", "db.get_user"}
-
-
 def test_a_stream_goes_on_and_may_be_empty(spark, tmp_path):
     kind = "event_id long, ts timestamp, user_id long, event_type string"
     hours = lambda: {(r.repo, r.n) for r in events.run_once(events.hourly(spark.readStream.schema(kind).parquet(str(tmp_path / "in"))), str(tmp_path / "work")).collect()}
