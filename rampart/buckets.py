@@ -1,7 +1,7 @@
 """Tables in buckets with a manifest: a commit writes the buckets that it touches, then names them all in one new file.
 
-Below a folder: `data/NAME/v=V/b=B` holds bucket B of table NAME as commit V wrote it, and `manifest/V.json` says for every
-table which version each bucket is read from. A reader takes the newest manifest, so it sees all of a commit or nothing of
+Below a folder: `data/NAME/v=W/b=B` holds bucket B of table NAME as write W left it, and `manifest/V.json` says for every
+table which write each bucket is read from. Writes of commit V are numbered from V x WRITES on, so none touches another's files. A reader takes the newest manifest, so it sees all of a commit or nothing of
 it. Manifests are put in place by a rename that fails where the name is taken, so of two writers of one version one fails.
 Versions that no kept manifest names are removed by vacuum. A manifest has tables x BUCKETS numbers; only it and bucket
 numbers reach the driver.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64
+BUCKETS, WRITES = 64, 1000
 
 
 @dataclass
@@ -24,7 +24,7 @@ class Manifest:
     version: int = -1
     tag: int = -1  # what the writer calls the commit, such as a micro-batch
     schemas: dict[str, dict] = field(default_factory=dict)
-    versions: dict[str, dict[str, int]] = field(default_factory=dict)  # by table and bucket
+    versions: dict[str, dict[str, int]] = field(default_factory=dict)  # writes by table and bucket
 
 
 class Buckets:
@@ -111,7 +111,7 @@ class Buckets:
         for name in self._names("data"):
             for v in self._names("data", name):
                 number = int(v.removeprefix("v="))
-                if number > newest:
+                if number // WRITES > newest:
                     continue  # a commit that hasn't ended
                 own = [b for b in self._names("data", name, v) if b.startswith("b=")]
                 unused = [b for b in own if (name, number, b.removeprefix("b=")) not in used]
@@ -127,21 +127,24 @@ class Draft:
     def __init__(self, store: Buckets, old: Manifest, tag: int):
         self.store = store
         self.manifest = Manifest(old.version + 1, tag, dict(old.schemas), {k: dict(v) for k, v in old.versions.items()})
+        self.writes = 0
         store.written = 0
 
     def put(self, name: str, df: DataFrame, buckets: list[int] | None = None) -> None:
         """Write a table's rows: all that these buckets hold from now on; None: all buckets. Rows of other buckets are left out."""
         s, m = self.store, self.manifest
+        write = m.version * WRITES + self.writes
+        self.writes += 1
         rows = df.withColumn("b", s.bucket(s.keys[name]))
         own = range(s.n) if buckets is None else buckets
         if own:
             rows = rows if buckets is None else rows.where(F.col("b").isin(*own))
-            rows.repartition(min(len(own), s.n), "b").write.mode("overwrite").partitionBy("b").parquet(f"{s.folder}/data/{name}/v={m.version}")
-        made = {n.removeprefix("b=") for n in s._names("data", name, f"v={m.version}") if n.startswith("b=")} if own else set()
+            rows.repartition(min(len(own), s.n), "b").write.mode("overwrite").partitionBy("b").parquet(f"{s.folder}/data/{name}/v={write}")
+        made = {n.removeprefix("b=") for n in s._names("data", name, f"v={write}") if n.startswith("b=")} if own else set()
         s.written += len(made)
         m.schemas[name] = df.schema.jsonValue()
         kept = {b: v for b, v in m.versions.get(name, {}).items() if int(b) not in set(own)}
-        m.versions[name] = kept | dict.fromkeys(sorted(made, key=int), m.version)
+        m.versions[name] = kept | dict.fromkeys(sorted(made, key=int), write)
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         return self.store._read(self.manifest, name, buckets)

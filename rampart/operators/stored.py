@@ -154,12 +154,10 @@ def commit(store: Buckets, sha: str, ts: str, repo: str, changed: DataFrame, reb
     score_before = severity.scores(severity.rated(before)).select("score_exp").first()[0]
     rebuilt, imports = rebuild(paths)
     both = _files_of(store, draft, files, rebuilt)
-    buckets = store.touched(files.select(F.col("file").alias("owner")), "owner")
-    kept = store.read("imports", buckets).join(few(files.select(F.col("file").alias("owner"))), "owner", "left_anti")
-    own = _owned_imports(imports)
-    draft.put("imports", kept.unionByName(own), sorted({*buckets, *store.touched(own, "owner")}))
-    if extra := sorted({*store.touched(own, "owner")} - {*buckets}):
-        draft.put("imports", store.read("imports", extra).join(own.select("owner"), "owner", "left_anti").unionByName(own), extra)
+    own = written(_owned_imports(imports))
+    owners = files.select(F.col("file").alias("owner")).union(own.select("owner")).distinct()
+    buckets = store.touched(owners, "owner")
+    draft.put("imports", store.read("imports", buckets).join(few(owners), "owner", "left_anti").unionByName(own), buckets)
 
     gone = written(both["functions"][0].select("fn").join(both["functions"][1].select("fn"), "fn", "left_anti").distinct())
     lost_handled, lost_affects = _without_ends(store, draft, gone)

@@ -73,3 +73,18 @@ def test_a_tag_is_committed_once(spark, store):
     assert store.read("u").count() == 1 and store.manifest().tag == 5
     store.commit({"u": (rows(spark, [("c", 1)]), None)}, tag=6)
     assert [r.file for r in store.read("u").collect()] == ["c"]
+
+
+def test_a_draft_may_put_a_table_twice(spark, store):
+    a, b = store.touched(rows(spark, [("f3", 0)]), "file"), store.touched(rows(spark, [("f4", 0)]), "file")
+    draft = store.draft()
+    draft.put("t", rows(spark, [("f3", 1)]), a)
+    draft.put("t", draft.read("t", b).where("file <> 'f4'"), b)
+    if a == b:
+        draft.put("t", draft.read("t", a).union(rows(spark, [("f3", 2)])), a)
+    assert store.read("t").where("n = 1 and file = 'f3'").isEmpty()
+    draft.publish()
+    got = {r.file: r.n for r in store.read("t").collect()}
+    assert got["f3"] in (1, 2) and "f4" not in got
+    store.vacuum()
+    assert {r.file: r.n for r in store.read("t").collect()} == got
