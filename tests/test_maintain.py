@@ -83,7 +83,7 @@ def test_chains_follow_random_changes(spark):
     reached = reach(starts_of(spark, starts(world)), g.calls, rules.MOST_HOPS)
     support = maintain.chain_support(g, reached)
     assert key(maintain.chains_of(support)) == key(rules.all_chains(g)) != []
-    for step in range(3):
+    for step in (1, 2):
         old = {k: set(v) for k, v in world.items()}
         world["calls"] = world["calls"] - set(rng.sample(sorted(world["calls"]), 3)) | {(pick(25), pick(25)) for _ in range(3)}
         if step == 1:
