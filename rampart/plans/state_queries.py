@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rampart.functions import columns as C
-from rampart.operators import history, knowledge, match, retrieval
+from rampart.operators import history, inverted, knowledge, match, retrieval
 from rampart.plans.projection import GRAPH_SQL, project, snapshots
 from rampart.plans.registry import query
 from rampart.sources import config
@@ -245,6 +245,14 @@ def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, 5)
 
 
+@query(_BM + "select query_id, rank, id, score from sparse where rank <= 5")
+def bm25_indexed_topk(spark, sf_dir):
+    """The rows of bm25_topk from an inverted index of the documents, whose blocks are skipped by their largest gains."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.bm25_indexed(inverted.build(docs), docs, items, 5)
+
+
 _DENSE = """vq as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0),
 cs as (select query_id, vec_id as id, round(list_dot_product(embedding::double[], q::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q::double[], q::double[]))), 9) as score
   from embeddings, vq),
