@@ -149,7 +149,11 @@ def pii_paths_from_public(spark, sf_dir):
 def trace_dataflow(spark, sf_dir):
     """The 20 shortest trails from each public endpoint to stores that are read or written."""
     g = project(spark, sf_dir)
-    found = _trails(g, 5).join(g.access.select("fn", "ds").distinct(), "fn").select("ep", "ds", F.array_join("path", ">").alias("path"), F.size("path").alias("hops")).distinct()
+    starts = g.endpoints.where("is_public").join(g.handled_by, "ep").select(F.col("ep").alias("start"), F.col("fn").alias("node"))
+    access = g.access.select("fn", "ds").distinct()
+    near = expand.nearest_trails(starts, g.calls, access.select(F.col("fn").alias("node")).distinct(), 5, 20)
+    found = near.select(F.col("start").alias("ep"), F.col("node").alias("fn"), "path").join(access, "fn")
+    found = found.select("ep", "ds", F.array_join("path", ">").alias("path"), F.size("path").alias("hops")).distinct()
     return found.selectExpr("*", "row_number() over (partition by ep order by hops, ds, path) as r").where("r <= 20").select("ep", "ds", "path", "hops")
 
 
@@ -180,10 +184,13 @@ select f, path, hops from (select f, t.path, n + 1 as hops, row_number() over (p
 def public_paths_to_finding_topk(spark, sf_dir):
     """The five shortest trails from public endpoints into each finding's function.
 
-    Trails are ranked once a function, before they meet its findings.
+    They are walked backwards, from the functions that have findings, and ranked once a function, before they meet its findings.
     """
     g = project(spark, sf_dir)
-    found = _trails(g, 5).join(g.affects, "fn", "left_semi").select("fn", "ep", F.array_join("path", ">").alias("path"), F.size("path").alias("hops"))
+    public = g.endpoints.where("is_public").join(g.handled_by, "ep").select("ep", "fn")
+    starts = g.affects.select(F.col("fn").alias("start"), F.col("fn").alias("node")).distinct()
+    near = expand.nearest_trails(starts, expand.reverse(g.calls), public.select(F.col("fn").alias("node")).distinct(), 5, 5)
+    found = near.join(public, near["node"] == public["fn"]).select(F.col("start").alias("fn"), "ep", F.array_join(F.reverse("path"), ">").alias("path"), F.size("path").alias("hops"))
     best = found.selectExpr("*", "row_number() over (partition by fn order by hops, path, ep) as r").where("r <= 5")
     return g.affects.join(best, "fn").select("f", "path", "hops")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,45 @@ def test_trails_use_no_edge_twice_but_may_meet_nodes_again(spark):
     assert sorted(paths) == [["a"], ["a", "b"], ["a", "b", "a"]]
 
 
+def _nearest(all_trails, goals, k):
+    """Trails to goals up to the length of each start's k-th shortest."""
+    out = set()
+    for start in {s for s, _ in all_trails}:
+        own = sorted((p for s, p in all_trails if s == start and p[-1] in goals), key=len)
+        out |= {(start, p) for p in own if len(own) < k or len(p) <= len(own[k - 1])}
+    return out
+
+
+@pytest.mark.parametrize("seed, k", [(1, 1), (2, 3), (3, 8), (4, 1000)])
+def test_nearest_trails_are_the_shortest_of_all(spark, seed, k):
+    draw = random.Random(seed)
+    graph = edges(spark, *((f"n{draw.randint(0, 8)}", f"n{draw.randint(0, 8)}") for _ in range(18)), ("n0", "n0"), ("n0", "n1"), ("n0", "n1"))
+    begin = spark.createDataFrame([("s", "n0"), ("s", "n1"), ("t", "n2"), ("t", "n2"), ("u", "n3"), ("v", "nowhere")], "start string, node string")
+    goals = spark.createDataFrame([("n4",), ("n5",), ("n0",)], "node string")
+    every = {(r.start, tuple(r.path)) for r in expand.trails(begin, graph, 4).collect()}
+    got = [(r.start, tuple(r.path)) for r in expand.nearest_trails(begin, graph, goals, 4, k).collect()]
+    assert len(got) == len(set(got)) and set(got) == _nearest(every, {"n4", "n5", "n0"}, k)
+
+
+def test_a_cycle_on_the_way_is_no_sure_arrival(spark):
+    # a > b > c > b would have to use b > c again to arrive at d, so it is none of the two trails
+    graph = edges(spark, ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"))
+    goals = spark.createDataFrame([("d",)], "node string")
+    assert [r.path for r in expand.nearest_trails(starts(spark, "a"), graph, goals, 6, 2).collect()] == [["a", "b", "c", "d"]]
+
+
+def test_nearest_trails_of_numbered_nodes(spark):
+    graph = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long")
+    begin, goals = spark.createDataFrame([(9, 1)], "start long, node long"), spark.createDataFrame([(3,)], "node long")
+    assert sorted(r.path for r in expand.nearest_trails(begin, graph, goals, 3, 2).collect()) == [[1, 2, 3], [1, 3]]
+    assert [r.path for r in expand.nearest_trails(begin, graph, goals, 3, 1).collect()] == [[1, 3]]
+
+
+def test_no_goal_no_trail(spark):
+    none = spark.createDataFrame([], "node string")
+    assert expand.nearest_trails(starts(spark, "a"), edges(spark, ("a", "b")), none, 3, 2).count() == 0
+
+
 def test_neighbours_are_undirected(spark):
     nodes = spark.createDataFrame([("b",)], "node string")
     assert {r.node for r in expand.neighbours(nodes, edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))).collect()} == {"a", "b", "c"}
