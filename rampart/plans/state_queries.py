@@ -247,10 +247,10 @@ def bm25_topk(spark, sf_dir):
 
 @query(_BM + "select query_id, rank, id, score from sparse where rank <= 5")
 def bm25_indexed_topk(spark, sf_dir):
-    """The rows of bm25_topk from an inverted index of the documents, whose blocks are skipped by their largest gains."""
+    """The rows of bm25_topk from an inverted index of the words asked for, whose blocks are skipped by their largest gains."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25_indexed(inverted.build(docs), docs, items, 5)
+    return retrieval.bm25_indexed(inverted.build(docs, inverted.asked(items)), docs, items, 5)
 
 
 _DENSE = """vq as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0),
