@@ -76,21 +76,40 @@ def detection(pairs: DataFrame) -> DataFrame:
     )
 
 
-def truth(findings: DataFrame, known: DataFrame) -> DataFrame:
-    """gid, f: findings(f, cwe_id, file, title) that mean known(gid, cwe_id, file, title): the same weakness, or a path that
-    ends in the known file and a title with one of the known title's words of more than four letters.
+def truth(findings: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """gid, f, and columns `more` of the findings: findings(f, cwe_id, file, title) that mean known(gid, cwe_id, file, title): the
+    same weakness, or a path that ends in the known file and a title with one of the known title's words of more than four letters.
 
     Both arms are equality joins: on the weakness, and on the last characters of the path, as many as each known file has.
     """
-    by_cwe = findings.join(known.where("cwe_id is not null and cwe_id <> ''").select("gid", "cwe_id"), "cwe_id").select("gid", "f")
+    by_cwe = findings.join(known.where("cwe_id is not null and cwe_id <> ''").select("gid", "cwe_id"), "cwe_id").select("gid", "f", *more)
     files = known.where("file is not null and file <> ''").select("gid", F.col("file").alias("tail"), F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 4).alias("words"))
     lengths = files.agg(F.collect_set(F.length("tail")).alias("lengths"))  # one row; few lengths
     ends = F.array_distinct(F.transform("lengths", lambda n: F.right("file", n)))
-    tails = findings.crossJoin(F.broadcast(lengths)).select("f", "title", F.explode(ends).alias("tail"))
-    by_file = tails.join(files, "tail").where(F.exists("words", lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), w))).select("gid", "f")
+    tails = findings.crossJoin(F.broadcast(lengths)).select("f", "title", *more, F.explode(ends).alias("tail"))
+    by_file = tails.join(files, "tail").where(F.exists("words", lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), w))).select("gid", "f", *more)
     return by_cwe.union(by_file).distinct()
 
 
+def _alike(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows(key, cwe_id, file, title) by what they say: classes(key, said, n), key the least of a class, and members(key, said)."""
+    members = rows.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("cwe_id", "file", "title"))).alias("said"))
+    return members.groupBy("said").agg(F.min(key).alias(key), F.count("*").alias("n")), members
+
+
+def truth_counts(findings: DataFrame, known: DataFrame) -> DataFrame:
+    """gid, hits, first_match: how many findings mean each known one that any does, as `truth` says, and the least of them.
+
+    Findings that say the same meet known ones that say the same once, so their pairs are never made.
+    """
+    found, _ = _alike(findings, "f")
+    asked, members = _alike(known, "gid")
+    met = truth(found.select("f", "n", F.inline("said")), asked.select("gid", F.inline("said")), "n")
+    counts = met.groupBy("gid").agg(F.sum("n").alias("hits"), F.min("f").alias("first_match"))
+    said = counts.join(asked.select("gid", "said"), "gid").select("said", "hits", "first_match")
+    return members.join(said, "said").select("gid", "hits", "first_match")
+
+
 def upgrades(rated: DataFrame) -> DataFrame:
     """n, correct, upgrade_precision, upgrade_recall of rated(raw, truth, guess) severities: one row.
 

@@ -91,8 +91,7 @@ def truth_match_by_file(spark, sf_dir):
     """Known findings met by weakness, or by file and a word of the title."""
     known = _t(spark, sf_dir, "part").where("p_size <= 5").selectExpr("p_partkey as gid", "if(p_partkey % 3 = 0, null, concat('CWE-', p_size)) as cwe_id", "concat('m', p_partkey % 50, '.py') as file", "concat('Unsafe ', lower(p_name)) as title")
     found = _t(spark, sf_dir, "orders").selectExpr("o_orderkey as f", "concat('CWE-', o_custkey % 300) as cwe_id", "concat('src/m', o_custkey % 60, '.py') as file", "if(o_orderkey % 9 = 0, 'unsafe call', 'other') as title")
-    hits = match.truth(found, known).groupBy("gid").agg(F.count("f").alias("hits"), F.min("f").alias("first_match"))
-    return known.select("gid").join(hits, "gid", "left").select("gid", F.coalesce("hits", F.lit(0)).alias("hits"), "first_match")
+    return known.select("gid").join(match.truth_counts(found, known), "gid", "left").select("gid", F.coalesce("hits", F.lit(0)).alias("hits"), "first_match")
 
 
 _SCANNED = """with s as (select ['B608', 'B310', 'B106', 'B104', 'B999'][cast(l_linenumber % 5 as integer) + 1] as rule_id, ['LOW', 'MEDIUM', 'HIGH'][cast(l_partkey % 3 as integer) + 1] as severity, l_orderkey * 10 + l_linenumber as seq from lineitem),

@@ -1,5 +1,7 @@
 """Steps whose rows must not grow faster than their input: groups of equal rows meet as one."""
 
+from pyspark.sql import functions as F
+
 from rampart.operators import match
 from tests.rows import most_rows
 
@@ -16,3 +18,14 @@ def test_lines_and_functions_of_a_place_do_not_multiply(spark):
     rows, most = most_rows(match.containing(found, fns))
     assert {r.find: r.fn for r in rows} == want and len(rows) == len(want)
     assert most <= 4000  # pairs of the same place: some 50,000
+
+
+def test_findings_that_say_the_same_meet_known_ones_once(spark):
+    known = spark.range(120).selectExpr("id as gid", "if(id % 3 = 0, null, concat('CWE-', id % 4)) as cwe_id", "concat('m', id % 5, '.py') as file", "'Unsafe call of it' as title")
+    found = spark.range(300).selectExpr("id as f", "concat('CWE-', id % 7) as cwe_id", "if(id % 11 = 0, null, concat('src/m', id % 6, '.py')) as file", "if(id % 2 = 0, 'UNSAFE thing', null) as title")
+    found = found.union(found.where("f % 10 = 0").selectExpr("f", "'CWE-1'", "'x/m2.py'", "'unsafe'"))  # some say two things
+    pairs = match.truth(found, known)
+    want = {(r.gid, r.hits, r.first) for r in pairs.groupBy("gid").agg(F.count("f").alias("hits"), F.min("f").alias("first")).collect()}
+    rows, most = most_rows(match.truth_counts(found, known))
+    assert {(r.gid, r.hits, r.first_match) for r in rows} == want and len(rows) == len(want) > 100
+    assert most < 3000 < pairs.count()
