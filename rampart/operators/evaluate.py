@@ -42,8 +42,9 @@ def rank(severity: Column) -> Column:
 def scanner(scans: DataFrame, known: DataFrame) -> DataFrame:
     """gid, detected, severity, underrated: the first scanner row (rule_id, severity, seq) of a known finding's tests, tests in
     their order; underrated if it ranks below the raw severity."""
+    least = scans.groupBy("rule_id").agg(F.min(F.struct("seq", "severity")).alias("s"))  # one row a test, before tests are dealt out
     asked = known.select("gid", "raw", F.posexplode("tests").alias("place", "rule_id"))
-    first = asked.join(scans, "rule_id").groupBy("gid").agg(F.min_by("severity", F.struct("place", "seq", "severity")).alias("severity"))
+    first = asked.join(least, "rule_id").groupBy("gid").agg(F.min_by("s.severity", F.struct("place", "s")).alias("severity"))
     told = known.select("gid", "raw").join(first, "gid", "left")
     return told.select("gid", F.col("severity").isNotNull().alias("detected"), "severity", (F.col("severity").isNotNull() & (rank(F.col("severity")) < rank(F.col("raw")))).alias("underrated"))
 

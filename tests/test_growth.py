@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rampart.operators import match
+from rampart.operators import evaluate, expand, match, rules
+from rampart.plans.projection import project
 from tests.rows import most_rows
 
 
@@ -29,3 +30,59 @@ def test_findings_that_say_the_same_meet_known_ones_once(spark):
     rows, most = most_rows(match.truth_counts(found, known))
     assert {(r.gid, r.hits, r.first_match) for r in rows} == want and len(rows) == len(want) > 100
     assert most < 3000 < pairs.count()
+
+
+def test_met_findings_never_meet_each_rule_s_rows(spark):
+    """The findings that rules meet are those of their rows, of which there are many more."""
+    g = project(spark, "/root/testdata/sf0.001")
+    g.findings = g.findings.withColumn("type", F.lit("dependency"))
+    g.affects_dep = g.findings.select("f", F.lit("Brand#11").alias("dep"))
+    g.uses = g.functions.select("fn", F.lit("Brand#11").alias("dep"))
+    want = rules.all_chains(g).select("f").union(rules.rule3_supply_chain(g).select("f")).distinct()
+    assert sorted(rules.chained_findings(g).collect()) == sorted(rules.all_chains(g).select("f").distinct().collect())
+    rows, most = most_rows(rules.reachable_findings(g))
+    assert sorted(rows) == sorted(want.collect()) and rows
+    assert most <= 10_000 < rules.rule3_supply_chain(g).count()
+
+
+def test_reach_reads_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(50).selectExpr("id as src", "id + 1 as dst").mapInArrow(one, "src long, dst long")
+    starts = spark.createDataFrame([(0, 0)], "start long, node long")
+    assert {(r.node, r.depth) for r in expand.reach(starts, edges, 5).collect()} == {(i, i) for i in range(6)}
+    assert seen.value == 50
+
+
+def test_scanner_rows_are_brought_to_one_a_test_before_they_are_dealt(spark):
+    known = spark.createDataFrame([("a", "HIGH", ["t1", "t0"]), ("b", "LOW", ["t9"])], "gid string, raw string, tests array<string>")
+    scans = spark.range(2000).selectExpr("concat('t', id % 2) as rule_id", "if(id < 4, 'LOW', 'HIGH') as severity", "2000 - id as seq")
+    told = evaluate.scanner(scans, known)
+    assert {(r.gid, r.detected, r.severity, r.underrated) for r in told.collect()} == {("a", True, "HIGH", False), ("b", False, None, False)}
+    assert "Aggregate [rule_id" in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_engine_takes_the_first_finding_of_those_that_say_the_same(spark):
+    known = spark.createDataFrame([("a", "CWE-1", "HIGH", "x.py", "An unsafe call")], "gid string, cwe_id string, contextual string, file string, title string")
+    found = spark.range(3000).selectExpr("id as f", "if(id % 2 = 0, 'CWE-1', 'CWE-2') as cwe_id", "'s/x.py' as file", "if(id > 6, 'unsafe', 'no') as title", "'LOW' as raw_severity", "if(id = 0, 'HIGH', 'LOW') as contextual_severity")
+    rows, most = most_rows(evaluate.engine(found.where("f <> 2"), known))
+    assert [tuple(r) for r in rows] == [("a", True, "HIGH", True, True)]
+    assert match.truth(found, known).count() > 2990
+
+
+def test_trails_carry_only_what_is_asked_of_them(spark):
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (1, 2, "c"), (2, 3, None), (3, None, "d")], "src int, dst int, evidence string")
+    p = expand.paths(edges, 4)
+    got = {(tuple(r.nodes), tuple(r.evidence), r.first, r.length) for r in p.collect()}
+    want, now = set(), {((s, d), (e,)) for s, d, e in map(tuple, edges.collect())}
+    while now and len(next(iter(now))[1]) <= 4:
+        want |= {(n, e, e[0], len(e)) for n, e in now}
+        now = {(n + (d,), e + (w,)) for n, e in now for s, d, w in map(tuple, edges.collect()) if s == n[-1] and (s, d) not in zip(n, n[1:])}
+    assert got == want
+    plan = p.select("start", "node", "length", "nodes")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(evidence" not in plan and "used" not in plan
