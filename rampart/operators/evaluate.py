@@ -52,7 +52,8 @@ def scanner(scans: DataFrame, known: DataFrame) -> DataFrame:
 def engine(findings: DataFrame, known: DataFrame) -> DataFrame:
     """gid, detected, contextual, correct, upgraded: the first finding(f, cwe_id, file, title, raw_severity, contextual_severity)
     that means each known one."""
-    hits = match.truth(findings, known).join(findings.select("f", "raw_severity", "contextual_severity"), "f")
+    said = findings.groupBy("cwe_id", "file", "title").agg(F.min(F.struct("f", "raw_severity", "contextual_severity")).alias("h")).select("cwe_id", "file", "title", "h.*")
+    hits = match.truth(said, known, "raw_severity", "contextual_severity")
     first = hits.groupBy("gid").agg(F.min_by(F.struct("raw_severity", "contextual_severity"), "f").alias("h"))
     told = known.select("gid", F.col("contextual").alias("due")).join(first, "gid", "left")
     return told.select(
