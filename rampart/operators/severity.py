@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rampart.functions import columns as C
 from rampart.operators import history
 from rampart.operators.expand import reach, reverse
-from rampart.operators.rules import all_chains, endpoint_reach, personal_access, reachable_findings
+from rampart.operators.rules import all_chains, chained_findings, endpoint_reach, once, reachable_findings
 from rampart.plans.projection import Graph
 from rampart.storage import written
 
@@ -20,12 +20,12 @@ def finding_context(g: Graph) -> DataFrame:
     """
     levels = g.endpoints.select("ep", "is_public", F.least("zone_level", F.lit(2)).alias("level"))
     by_fn = endpoint_reach(g, 5).join(levels, "ep").groupBy("fn").agg(F.max("is_public").alias("is_public"), F.min("level").alias("auth_level"))
-    touching = personal_access(g).select(F.lit(0).alias("start"), F.col("fn").alias("node")).distinct()
+    touching = once(g, "personal_access").select(F.lit(0).alias("start"), F.col("fn").alias("node")).distinct()
     if "near" not in g.memo:
-        g.memo["near"] = reach(touching, g.calls, 3).union(reach(touching, reverse(g.calls), 3)).select(F.col("node").alias("fn")).distinct()
+        g.memo["near"] = reach(touching, once(g, "calls"), 3).union(reach(touching, reverse(once(g, "calls")), 3)).select(F.col("node").alias("fn")).distinct()
     near = g.memo["near"]
-    chained = all_chains(g).select("f").distinct()
-    open_ = g.findings.where("status = 'open'").join(g.affects, "f", "left")
+    chained = chained_findings(g)
+    open_ = g.findings.where("status = 'open'").join(once(g, "affects"), "f", "left")
     yes = F.lit(True)
     return (
         open_.join(by_fn, "fn", "left")
@@ -79,7 +79,7 @@ def top_risks(g: Graph, n: int = 10) -> DataFrame:
     rank = F.when(F.col("contextual_severity").isin(*C.WEIGHTS), C.severity_index(F.col("contextual_severity"))).otherwise(0)
     marked = rated(g).join(reachable_findings(g).withColumn("reachable", F.lit(True)), "f", "left")
     ranked = marked.orderBy(rank.desc(), F.desc_nulls_first("reachable"), "f").limit(n)
-    paths = g.affects.join(g.handled_by, "fn").join(g.endpoints, "ep").join(F.broadcast(ranked.select("f")), "f").groupBy("f")  # n rows
+    paths = once(g, "affects").join(once(g, "handled_by"), "fn").join(g.endpoints, "ep").join(F.broadcast(ranked.select("f")), "f").groupBy("f")  # n rows
     paths = paths.agg(F.array_join(F.sort_array(F.collect_set("path")), ",").alias("endpoints"))
     return ranked.join(paths, "f", "left").select("f", "contextual_severity", "cwe_id", "reachable", F.coalesce("endpoints", F.lit("")).alias("endpoints"))
 
