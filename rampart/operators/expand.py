@@ -29,22 +29,24 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
 
 def paths(edges: DataFrame, hops: int) -> DataFrame:
-    """start, node, nodes, evidence, length: every trail of one edge to `hops` edges over edges(src, dst, evidence).
+    """start, node, nodes, evidence, first, length: every trail of one edge to `hops` edges over edges(src, dst, evidence).
 
-    nodes lists all nodes from the first on, evidence the evidence of each edge, so evidence[0] is the first edge's.
+    nodes lists all nodes from the first on, evidence the evidence of each edge, first the first edge's. Which edges a trail has
+    used is read from its nodes, and a caller that leaves evidence or first out doesn't carry it.
     """
     step = edges.select("src", "dst", "evidence").distinct()
-    now = step.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("nodes"), F.array("evidence").alias("evidence"), F.array(F.struct("src", "dst")).alias("used"))
+    now = step.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("nodes"), F.array("evidence").alias("evidence"), F.col("evidence").alias("first"), F.lit(1).alias("length"))
     out = now
     more = step.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("evidence").alias("why"))
-    for _ in range(hops - 1):
-        now = (
-            now.join(more, "node")
-            .where(~F.array_contains("used", F.struct(F.col("node").alias("src"), F.col("to").alias("dst"))))
-            .select("start", F.col("to").alias("node"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("evidence", F.array("why")).alias("evidence"), F.concat("used", F.array(F.struct(F.col("node").alias("src"), F.col("to").alias("dst")))).alias("used"))
+    for length in range(1, hops):
+        used = F.lit(False)
+        for i in range(length):
+            used = used | ((F.col("nodes")[i] == F.col("node")) & F.col("nodes")[i + 1].eqNullSafe(F.col("to")))
+        now = now.join(more, "node").where(~used).select(
+            "start", F.col("to").alias("node"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("evidence", F.array("why")).alias("evidence"), "first", F.lit(length + 1).alias("length")
         )
         out = out.union(now)
-    return out.select("start", "node", "nodes", "evidence", F.size("evidence").alias("length"))
+    return out
 
 
 def trails(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
