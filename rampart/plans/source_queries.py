@@ -31,13 +31,13 @@ def load_%1$s(value):
 """
 
 
-def _facts(spark, sf_dir):
-    """Facts of one source file for each part."""
+def _facts(spark, sf_dir, *kinds):
+    """Facts of some kinds of one source file for each part; not yet written, for who reads them once."""
     verbs = F.when(F.col("p_size") % 2 == 0, '"GET"').otherwise('"GET", "POST"')
     guard = F.when(F.col("p_size") % 3 == 0, "@login_required\n").otherwise("")
     table = F.when(F.col("p_size") % 5 == 0, "users").otherwise("stock")
     text = F.format_string(_SOURCE, F.col("p_partkey").cast("string"), verbs, guard, table)
-    return code.facts(_t(spark, sf_dir, "part").select(F.concat(F.lit("app/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text")))
+    return code.facts(_t(spark, sf_dir, "part").select(F.concat(F.lit("app/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text")), kinds)
 
 
 _P = "with p as (select p_partkey as k, cast(p_partkey as varchar) as s, p_size, case when p_size % 3 = 0 then 1 else 0 end as g from part) "
@@ -47,7 +47,7 @@ _P = "with p as (select p_partkey as k, cast(p_partkey as varchar) as s, p_size,
 union all select 'app.m' || s || '.load_' || s, cast(9 + g as integer), cast(11 + g as integer), 'value', false, false from p""")
 def parse_functions(spark, sf_dir):
     """Function nodes of the sources."""
-    n = build.function_nodes(_facts(spark, sf_dir))
+    n = build.function_nodes(written(_facts(spark, sf_dir, "function")))
     return n.select("qualified", "line", "end_line", F.array_join("params", ",").alias("params"), "is_entry", "has_request")
 
 
@@ -55,30 +55,30 @@ def parse_functions(spark, sf_dir):
 union all select 'app.m' || s || '.load_' || s, 'unresolved.helper_' || s || '.run' from p""")
 def parse_calls(spark, sf_dir):
     """Call edges: a function defined below its caller isn't known yet when the call is met."""
-    return build.call_edges(_facts(spark, sf_dir))[0]
+    return build.call_edges(written(_facts(spark, sf_dir, "function", "call")))[0]
 
 
 @query(_P + """select '/p/' || s || '/<int:item>' as path, m as method, 'app.m' || s || '.view_' || s as handler, p_size % 3 = 0 as auth_required, case when p_size % 3 = 0 then 'session' else 'none' end as auth_type, 'public' as zone
 from p, (values ('GET'), ('POST')) v(m) where m = 'GET' or p_size % 2 = 1""")
 def endpoint_extract(spark, sf_dir):
-    return build.endpoint_nodes(_facts(spark, sf_dir)).select("path", "method", "handler", "auth_required", "auth_type", "zone")
+    return build.endpoint_nodes(written(_facts(spark, sf_dir, "endpoint"))).select("path", "method", "handler", "auth_required", "auth_type", "zone")
 
 
 @query(_P + """select 'find:builtin:missing-auth:app/m' || s || '.py:5' as uid, 'app.m' || s || '.view_' || s as handler from p where p_size % 3 <> 0""")
 def missing_auth_findings(spark, sf_dir):
     """Findings for public endpoints without authentication; both methods of a handler make one."""
-    return build.missing_auth(build.endpoint_nodes(_facts(spark, sf_dir))).select("uid", "handler")
+    return build.missing_auth(build.endpoint_nodes(written(_facts(spark, sf_dir, "endpoint")))).select("uid", "handler")
 
 
 @query(_P + """select 'app.m' || s || '.load_' || s as fn, case when p_size % 5 = 0 then 'users' else 'stock' end as store, p_size % 5 = 0 as pii, 'READS_FROM' as edge from p""")
 def datastore_access(spark, sf_dir):
     """Store accesses: the table that the literal part of the SQL names."""
-    return build.store_edges(_facts(spark, sf_dir)).select("fn", "store", "pii", "edge")
+    return build.store_edges(_facts(spark, sf_dir, "access")).select("fn", "store", "pii", "edge")
 
 
 @query(_P + """select 'app.m' || s || '.load_' || s as fn, 'sql_injection' as sinks, 'value' as sources from p""")
 def taint_flows(spark, sf_dir):
-    t = build.taint_marks(_facts(spark, sf_dir))
+    t = build.taint_marks(_facts(spark, sf_dir, "taint"))
     return t.select("fn", F.array_join("sinks", ",").alias("sinks"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -86,7 +86,7 @@ def taint_flows(spark, sf_dir):
 def uses_edges(spark, sf_dir):
     """Functions and the required packages that their file imports."""
     wanted = spark.sql("select * from values ('Flask'), ('SQLite3'), ('Requests') as t(name)")
-    return build.dependency_edges(_facts(spark, sf_dir), wanted)
+    return build.dependency_edges(written(_facts(spark, sf_dir, "function", "imports")), wanted)
 
 
 _APP = """import sqlite3
@@ -156,7 +156,7 @@ def repository_endpoints(spark, sf_dir):
 @query(_R + "select 'app.m' || s || '.load_' || s as fn, 'sql_injection' as sink, 'value' as source from p")
 def taint_edges_by_sink(spark, sf_dir):
     """One edge for each function and kind of sink."""
-    return build.taint_edges(_facts(spark, sf_dir)).select("fn", "sink", "source")
+    return build.taint_edges(_facts(spark, sf_dir, "taint")).select("fn", "sink", "source")
 
 
 def _hooks(spark, sf_dir):
