@@ -7,11 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bytes by the plan's estimate, of columnar files that grow some twentyfold when sorted, that a task may take.
+TASK_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to as many tasks as its size asks for, so that no task's part grows with it; to those of shuffles at least."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-size // TASK_BYTES)) if size < 1 << 50 else least, *keys)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of both by key, all columns of the last generation; in `new`, the row last in `order` wins, nulls first, ties by the other columns."""
     rest = [c for c in new.columns if c not in keys]
     sortable = [c for c in rest if new.schema[c].dataType.typeName() not in ("map", "variant")]
-    latest = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order, *sortable)).alias("r")).select(*keys, "r.*")
+    latest = dealt(new, *keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order, *sortable)).alias("r")).select(*keys, "r.*")
     return old.join(latest, keys, "left_anti").unionByName(latest)
 
 

@@ -348,7 +348,7 @@ select src, dst, kind, v from new union all select src, dst, kind, v from old wh
 def edge_upsert_by_kind(spark, sf_dir):
     """Edges of two generations, told apart by a property; the last properties win."""
     line = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey as dst", "l_returnflag as kind", "l_quantity as v", "l_linenumber as o")
-    old = line.where("o <= 4").groupBy("src", "dst", "kind").agg(F.max("v").alias("v"), F.max("o").alias("o"))
+    old = history.dealt(line.where("o <= 4"), "src", "dst", "kind").groupBy("src", "dst", "kind").agg(F.max("v").alias("v"), F.max("o").alias("o"))
     return history.upsert_edges(old, line.where("o > 3").withColumn("v", F.col("v") + 1000), "o", "kind").select("src", "dst", "kind", "v")
 
 
