@@ -10,9 +10,8 @@ from rampart.llm.common import discard, written
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every larger end has one edge and is no edge's smaller end: then the smaller ends are the labels."""
-    twice = edges.groupBy("u").agg(F.count("v").alias("c")).where("c > 1").select("u")
-    inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
-    return twice.union(inner).isEmpty()
+    ends = edges.selectExpr("u as node", "1 as large", "0 as small").union(edges.selectExpr("v", "0", "1"))
+    return ends.groupBy("node").agg(F.sum("large").alias("large"), F.max("small").alias("small")).where("large > 1 or large = 1 and small = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@
 4. Each list is cut in blocks by set size and by the shingle's position in the node's order. In a round, each open list
    names heads, which only meet the blocks whose sizes and positions leave enough overlap; the other blocks are skipped.
    Nodes of the head's component are skipped too. Heads grow fourfold each round; a list is closed when one component
-   holds all its nodes or each was a head.
+   holds all its nodes or each was a head. Once all open lists have few pairs, each node is a head and no round follows,
+   as a round costs the driver more than those pairs cost the executors.
 5. Answers of a head are derived from those of its lead, the head that it shares most with: where the lead was compared
    with a node, their overlap, plus what the head has beyond its lead, bounds the head's overlap with that node, and
    pairs that the bound excludes are answered without a comparison.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import WordHash, discard, free_name, sliced, small_side, windows, written
+from rampart.llm.common import SMALL_ROWS, WordHash, discard, free_name, sliced, small_side, windows, written
 from rampart.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -38,6 +39,8 @@ SIZE, PERCENT = 5, 80
 COMMON_OF, COMMON = 16, 32
 #: Blocks of positions in a list: twentieths of the node's set.
 POSITIONS = 20
+#: Pairs in open lists that are met in one round.
+FEW_PAIRS = 1 << 14
 
 
 def shingle_set(text: bytes | None, seen: WordHash, size: int = SIZE) -> np.ndarray:
@@ -177,31 +180,42 @@ def _met_blocks(n: Column, percent: int) -> Column:
     return F.flatten(F.array_compact(F.array(*blocks)))
 
 
-def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a: head, b, n_a, n_b) to compare, the lists that stay open, and the table of heads."""
+def _pairs_left(lists: DataFrame) -> float:
+    """How many pairs of nodes the lists have, a pair counted in each list that has both."""
+    m = F.col("m").cast("double")
+    return lists.groupBy("token").agg(F.count("node").alias("m")).agg(F.sum(m * (m - 1) / 2)).first()[0] or 0.0
+
+
+def _round(lists: DataFrame, labels: DataFrame | None, heads_each: int | None, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Pairs (a: head, b, n_a, n_b) to compare, the lists that stay open, and the table of heads.
+
+    Without heads_each every node is a head, a pair has its smaller node first, and no list stays open.
+    """
     own = lists.join(labels, "node", "left") if labels is not None else lists.withColumn("label", F.lit(None).cast("long"))
-    own = own.withColumn("linked", F.col("label").isNotNull() & F.lit(heads_each > 1)).withColumn("label", F.coalesce("label", "node"))
-    part = F.pmod(F.xxhash64("node"), F.lit(heads_each))
+    own = own.withColumn("linked", F.col("label").isNotNull() & F.lit(heads_each != 1)).withColumn("label", F.coalesce("label", "node"))
+    part = F.pmod(F.xxhash64("node"), F.lit(heads_each)) if heads_each else F.col("node")
     heads = own.groupBy("token", part.alias("part")).agg(
         F.min(F.struct("linked", "alone", "node", "n", "pos", "label")).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")
     )
-    still = heads.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
-    heads = written(heads.join(still, "token").select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "pos", "label"))))
+    heads = heads.selectExpr("*", "min(lo) over (partition by token) as least", "max(hi) over (partition by token) as most").where("least < most")
+    heads = written(heads.select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "pos", "label"))))
     by_block = heads.withColumn("block", F.explode(_met_blocks(F.col("h_n"), percent)))
     by_block = by_block.select("*", "block.band", "block.place").drop("block")
     both = F.floor(((F.col("n") + F.col("h_n")) * percent + 99 + percent) / (100 + percent))  # the overlap that similar sets need
     pairs = (
         own.withColumns({"band": _band(F.col("n"), percent), "place": _place(F.col("pos"), F.col("n"))})
         .join(by_block, ["token", "band", "place"])
-        .where(F.col("label") != F.col("h_label"))
+        .where(F.col("label") != F.col("h_label") if heads_each else (F.col("label") != F.col("h_label")) & (F.col("h_node") < F.col("node")))
         .where(F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent)
         .where((F.col("pos") <= F.col("n") - both + 1) & (F.col("h_pos") <= F.col("h_n") - both + 1))
         .select(F.col("h_node").alias("a"), F.col("node").alias("b"), F.col("h_n").alias("n_a"), F.col("n").alias("n_b"))
         .distinct()
     )
-    open_ = small_side(written(heads.select("token").distinct()))
-    used = heads.select("token", F.col("h_node").alias("node"))
-    rest = lists.join(open_, "token", "left_semi").join(used, ["token", "node"], "left_anti")
+    if not heads_each:
+        return pairs, None, heads
+    used = heads.groupBy("token").agg(F.collect_list("h_node").alias("used"))
+    used = F.broadcast(used) if heads.count() <= SMALL_ROWS else used
+    rest = lists.join(used, "token").where(~F.array_contains("used", F.col("node"))).select(lists.columns)
     return pairs, rest, heads
 
 
@@ -219,9 +233,10 @@ def _derived(pairs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     lead = lead.select("a", "l.lead", "l.lead_common")
     known = compared.select(F.col("a").alias("lead"), "b", F.col("common").alias("lead_b"))
     bound = F.least(F.col("lead_b") + F.col("n_a") - F.col("lead_common"), "n_a", "n_b")
-    told = pairs.join(lead, "a").join(known, ["lead", "b"]).where(~similar(bound, F.col("n_a"), F.col("n_b"), percent))
-    done = compared.select("a", "b").union(compared.select("b", "a")).union(told.select("a", "b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    asked = pairs.join(lead, "a", "left").join(known, ["lead", "b"], "left")
+    asked = asked.where(F.col("lead_b").isNull() | similar(bound, F.col("n_a"), F.col("n_b"), percent)).select(pairs.columns)
+    done = compared.select("a", "b").union(compared.select("b", "a"))
+    return asked.join(done, ["a", "b"], "left_anti")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -265,8 +280,8 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     texts = written(_texts(docs).join(small_side(wanted), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
     lists = _lists(texts, size, percent)
     compared, links, labels, heads_each = None, None, None, 1
-    while not lists.isEmpty():
-        pairs, rest, heads = _round(lists, labels, heads_each, percent)
+    while lists is not None and (left := _pairs_left(lists)):
+        pairs, rest, heads = _round(lists, labels, heads_each if left > FEW_PAIRS else None, percent)
         pairs = written(_derived(pairs, compared, percent) if compared is not None else pairs)
         found = written(_compare(pairs, texts, size))
         if compared is not None:
@@ -274,12 +289,13 @@ def similar_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
             discard(*before)
         else:
             compared = found
-        rest = written(rest)
+        rest = written(rest) if rest is not None else None
         discard(pairs, heads, lists)
         lists, heads_each = rest, heads_each * 4
         links = compared.where(similar(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
         discard(labels)
         labels = written(components(links))
+    discard(lists)
     discard(texts, wanted)
     if links is None:
         links, labels = (docs.sparkSession.createDataFrame([], s) for s in ("a long, b long", "node long, label long"))
@@ -310,9 +326,12 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     members, _, labels = similar_classes(docs, size, percent)
     told = members.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    best = written(told.groupBy("label").agg(F.min_by(F.struct("h1", "h2"), order).alias("b")).select("label", "b.*"))
-    gone = written(told.join(best.withColumn("stays", F.lit(True)), ["label", "h1", "h2"], "left").where("stays is null").select("h1", "h2").distinct())
-    again = written(told.join(best, ["label", "h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"))
+    best = written(told.groupBy("label").agg(F.min_by(F.struct("h1", "h2"), order).alias("b"), F.count("*").alias("c")).where("c > 1").select("label", "b.*"))
+    stays = (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))
+    met = told.join(small_side(best).withColumnsRenamed({"h1": "b1", "h2": "b2"}), "label")
+    met = written(met.groupBy("h1", "h2").agg(F.max(stays).alias("stays"), F.count("*").alias("c")).where("not stays or c > 1"))
+    discard(best)
+    gone, again = met.where("not stays").select("h1", "h2"), met.where("stays").select("h1", "h2")
     m1, m2 = free_name(docs, "h1"), free_name(docs, "h2")
     marks = row_marks(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
     marked = docs.withColumns({m1: marks[0], m2: marks[1]})

@@ -165,3 +165,28 @@ def test_a_hits_column_and_sentences_of_many_items(spark):
     sliced = decontaminate.find_hits(docs, items, slice_bytes=3000).first()
     assert sorted(sliced["_hits"]["items"]) == sorted(r["_hits"]["items"])
     assert sum(x.n for x in sliced["_hits"].runs) == sum(x.n for x in r["_hits"].runs) == 75
+
+
+def _overlapping(count=12):
+    """Texts that share blocks of words with those around them, each too few to be similar, and one near copy."""
+    blocks = [" ".join(f"b{b}w{i}" for i in range(30)) for b in range(2 * count)]
+    texts = [" ".join(blocks[(2 * t + i) % len(blocks)] for i in range(10)) for t in range(count)]
+    return [(i, t) for i, t in enumerate([*texts, texts[3] + " more"])]
+
+
+def test_few_open_pairs_need_one_round(spark, monkeypatch):
+    """Rounds are what the driver's memory goes by: each has its own exchanges and broadcasts."""
+    rows, rounds, compare = _overlapping(), [], ngram_join._compare
+    monkeypatch.setattr(ngram_join, "_compare", lambda pairs, *a: compare(rounds.append(pairs.count()) or pairs, *a))
+    got = [tuple(r) for r in ngram_join.ngram_components(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(plain.ngram_components(rows))
+    assert len(rounds) == 1 and 0 < rounds[0] <= len(rows) * (len(rows) - 1) / 2  # a pair is compared once
+
+
+def test_rounds_of_few_heads_agree_with_brute_force(spark, monkeypatch):
+    rows, rounds, round_ = _overlapping(), [], ngram_join._round
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "_round", lambda *a: rounds.append(a[2]) or round_(*a))
+    got = [tuple(r) for r in ngram_join.ngram_components(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(plain.ngram_components(rows))
+    assert len(rounds) > 1 and None not in rounds
