@@ -172,3 +172,17 @@ def test_upserts_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch, tmp_pa
     told = history.upsert_edges(new.where("o < 900"), new.where("o >= 500"), "o")
     assert sorted(told.collect()) == want and len(want) == len({(r.src, r.dst) for r in want})
     assert history.dealt(new, "src", "dst").rdd.getNumPartitions() > 4
+
+
+def test_rows_of_one_dependency_are_made_by_several_tasks(spark, monkeypatch):
+    """Rule 3 gives findings times uses of a dependency: more than one task of a dependency shares them."""
+    monkeypatch.setattr(rules, "TASK_ROWS", 2000)
+    g = project(spark, "/root/testdata/sf0.001")
+    g.affects_dep = g.findings.where("type = 'dependency'").select("f", F.lit("Brand#11").alias("dep"))
+    g.uses = g.functions.select("fn", F.lit("Brand#11").alias("dep"))
+    public = g.endpoints.where("is_public").select("ep", "path")
+    used = rules.endpoint_reach(g, 5).join(public, "ep").select("path", "fn", "depth").distinct()
+    want = used.crossJoin(g.affects_dep).select("f", "dep", "path", "fn", "depth")
+    rows = rules.rule3_supply_chain(g).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > 1
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(map(tuple, want.collect())) and len(rows) > 4000
