@@ -18,7 +18,8 @@
 6. Pairs that remain are compared exactly on the sets of their whole texts. Links between classes give components.
 
 Hashes have 64 bits for shingles and 128 for sets and rows. Shingles that a sample of nodes shows to be very common are
-counted before rows are dealt out and never dealt by themselves; the sample only decides where rows go.
+never dealt by themselves, and the sample's count stands for theirs; it only decides where rows go and in which order, the
+same for all nodes, a node's shingles come.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampart.llm.common import SMALL_ROWS, WordHash, discard, free_name, sliced, small_side, windows, written
@@ -102,16 +103,15 @@ def _needed(n: Column, percent: int) -> Column:
 def _counted(tokens: DataFrame) -> DataFrame:
     """tokens(token, node, ...) with df, how many have the token; those of one node alone go.
 
-    Common tokens are counted first and meet their counts by broadcast, so no task holds all rows of one; the others are
-    dealt by token once, and counted where they lie.
+    Tokens are dealt by token once and counted where they lie. Rows of common tokens are dealt out evenly instead, so no task
+    holds all rows of one; their df is what the sample makes it, as df only sets an order, and one that all nodes agree on.
     """
     seen = tokens.where(F.pmod(F.xxhash64("node"), F.lit(COMMON_OF)) == 0)
-    common = written(seen.groupBy("token").agg(F.count("node").alias("c")).where(F.col("c") >= COMMON).select("token"))
-    few = small_side(common)
-    rare = tokens.join(few, "token", "left_anti").repartition("token")
-    rare = rare.join(rare.groupBy("token").agg(F.count("node").alias("df")).where("df > 1"), "token")
-    much = tokens.join(few, "token", "left_semi")
-    return rare.unionByName(much.join(small_side(written(much.groupBy("token").agg(F.count("node").alias("df")))), "token"))
+    common = seen.groupBy("token").agg((F.count("node") * COMMON_OF).alias("known")).where(F.col("known") >= COMMON * COMMON_OF)
+    deal = F.when(F.col("known").isNull(), F.col("token")).otherwise(F.xxhash64("token", "node"))
+    dealt = tokens.join(small_side(written(common)), "token", "left").withColumn("deal", deal).repartition("deal")
+    df = F.coalesce("known", F.count("*").over(Window.partitionBy("deal")))
+    return dealt.withColumn("df", df).where("df > 1").drop("known", "deal")
 
 
 def _prefix_lists(tokens: DataFrame, whole: Column, kept: Column) -> DataFrame:

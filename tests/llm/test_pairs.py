@@ -70,6 +70,18 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark, corpus):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == want
 
 
+def test_common_tokens_take_no_join_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_OF", 4)
+    monkeypatch.setattr(ngram_join, "COMMON", 8)
+    rows = [(t, n) for n in range(200) for t in (1, 2, 1000 + n, 5000 + n // 2)]
+    counted = ngram_join._counted(spark.createDataFrame(rows, "token long, node long"))
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = counted.collect()
+    assert sorted((r.token, r.node) for r in got) == sorted(r for r in rows if not 1000 <= r[0] < 1200)
+    df = {(r.token, r.df) for r in got}
+    assert len(df) == len({t for t, _ in df}) and all(n == 2 if t >= 5000 else n > 2 for t, n in df)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(20)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
