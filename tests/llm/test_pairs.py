@@ -112,6 +112,14 @@ def test_repeats(spark, repeating, monkeypatch, wide, hot):
     assert sorted(got, key=key) == sorted(plain.repeats(repeating), key=key)
 
 
+def test_doubling_reads_each_table_once(spark, repeating):
+    more = ["b", "cover", "inner", "need"]
+    signed = suffix_dedup._signatures(frame(spark, repeating), 400).where("places is not null")
+    suffixes = signed.selectExpr("row", "posexplode(a) as (i, a)", *more).selectExpr("row", "i", "a", *(f"{c}[i] as {c}" for c in more))
+    ranked, _, made = suffix_dedup.doubled(suffixes)
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == len(made) > 1
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.repeats_report(frame(spark, [])).collect() == []
 
